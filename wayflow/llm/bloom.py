@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 MOST_WORDS = 1 << 25
 _WORDS_A_BUCKET = 2048
-#: Above this many hashes in one word its 4-bit counters could overflow; all its cells then count as repeated.
+#: Above this many hashes in one word its 4-bit counters could overflow; all its cells then count as repeated, as they do where the sum itself does.
 _FULL = 15
 
 
@@ -49,11 +49,11 @@ def repeated(hashes: DataFrame, h: Column, words: int) -> DataFrame:
     counted = (
         hashes.select(word.alias("word"), first.alias("c1"), second.alias("c2"))
         .groupBy("word")
-        .agg(F.sum(one("c1") + one("c2")).alias("counters"), F.count(F.lit(1)).alias("n"))
+        .agg(F.try_sum(one("c1") + one("c2")).alias("counters"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
     cells = counted.select("word", "counters", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("cell"))
-    return _bitmaps(cells.where((F.col("n") > _FULL) | (F.expr("shiftright(counters, 4 * cell) & 15") > 1)))
+    return _bitmaps(cells.where(F.col("counters").isNull() | (F.col("n") > _FULL) | (F.expr("shiftright(counters, 4 * cell) & 15") > 1)))
 
 
 def members(hashes: DataFrame, h: Column, words: int) -> DataFrame:

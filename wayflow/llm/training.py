@@ -65,3 +65,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, rounds: int
 
 def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
+
+
+def sample_share(labels: DataFrame, label: str, id_col: str = "doc_id") -> float:
+    """Share of label 1 among all rows that are not held out, kept off 0 and 1; one half without any."""
+    found = labels.where(fold(F.col(id_col)) != 0).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return 0.5 if found is None else float(np.clip(found, 1e-3, 1 - 1e-3))
