@@ -14,6 +14,7 @@ for itself, told apart by nothing but their place. Other columns are ignored. An
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -34,10 +35,12 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+@functools.cache
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer file gives them without special tokens.
 
-    The file's model works on pre-tokens alone, so ids of a pre-token are kept and reused.
+    The file's model works on pre-tokens alone, so ids of a pre-token are kept and reused, up to _CACHE of them. A Python
+    worker makes one encoder and keeps it for all its tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one core's, and forked
     from tokenizers import Tokenizer
@@ -53,14 +56,16 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for text in texts:
             plain = _PLAIN.fullmatch(text) and "<|" not in text
             words.append(_TOKEN.findall(text.lower()) if plain else None)
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        if len(known) + len(new) > _CACHE:
-            known.clear()
-            new = list({w for ws in words if ws for w in ws})
+        new = list(set().union(*(ws for ws in words if ws)).difference(known))
+        more = {}
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            known.update(zip(part, whole(part), strict=True))
-        look = known.__getitem__
+            more.update(zip(part, whole(part), strict=True))
+        if len(known) < _CACHE:
+            known.update(more)
+            look = known.__getitem__
+        else:
+            look = ({**more, **{w: known[w] for ws in words if ws for w in set(ws) if w not in more}} if more else known).__getitem__
         return [b"".join(map(look, ws)) if ws is not None else whole([text])[0] for ws, text in zip(words, texts, strict=True)]
 
     return encode
