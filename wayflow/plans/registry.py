@@ -1,10 +1,6 @@
-"""Registered queries of the sensing operators and their SQL."""
+"""All registered queries of the sensing operators and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import readings  # noqa: F401
+from .core import ORACLE_SQL, QUERIES  # noqa: F401
