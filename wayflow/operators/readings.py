@@ -156,7 +156,7 @@ def collection_runs(readings: DataFrame, limit: float, width: float = HOUR) -> D
     starts = cuts.select("start").unionByName(ends.select(F.col("lo").alias("start")))
     until = cuts.select(F.col("before").alias("finish")).unionByName(ends.select(F.col("hi").alias("finish")))
     number = lambda c: F.row_number().over(Window.orderBy(c)).alias("run")
-    return starts.where("start is not null").select(number("start"), "start").join(until.where("end is not null").select(number("finish"), "finish"), "run").select("start", "finish", (F.col("finish") - F.col("start")).alias("seconds"))
+    return starts.where("start is not null").select(number("start"), "start").join(until.where("finish is not null").select(number("finish"), "finish"), "run").select("start", "finish", (F.col("finish") - F.col("start")).alias("seconds"))
 
 
 def longest_run_crop(readings: DataFrame, limit: float, full_span: bool = False) -> DataFrame:
