@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import readings, validation  # noqa: F401
+from . import readings, roads, validation  # noqa: F401
 from .core import ORACLE_SQL, QUERIES  # noqa: F401
