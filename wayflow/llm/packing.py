@@ -15,6 +15,7 @@ for itself, told apart by nothing but their place. Other columns are ignored. An
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from ..storage import save
 
 CAPACITY, GRID, END_ID = 2048, 8, 1
-_CACHE = 400_000
-#: Texts of these characters only are cut into the tokenizer's own pre-tokens here and looked up word by word; others go to the library whole.
+_CACHE = 900_000
+#: Texts of these characters only are cut at blanks, and unknown words into the tokenizer's own pre-tokens; others go to the library whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
@@ -39,7 +40,7 @@ _TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer file gives them without special tokens.
 
-    The file's model works on pre-tokens alone, so ids of a pre-token are kept and reused, up to _CACHE of them. A Python
+    The file's model works on pre-tokens alone, which never reach across blanks, so ids of words are kept and reused, up to _CACHE of them. A Python
     worker makes one encoder and keeps it for all its tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one core's, and forked
@@ -51,21 +52,31 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def apart(pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded as one text with blanks between."""
+        found = tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(ids)]
+        if len(cuts) != len(pieces) + 1:  # not one for one: each for itself
+            return whole(pieces)
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
     def encode(texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
-        for text in texts:
-            plain = _PLAIN.fullmatch(text) and "<|" not in text
-            words.append(_TOKEN.findall(text.lower()) if plain else None)
-        new = list(set().union(*(ws for ws in words if ws)).difference(known))
-        more = {}
+        words = [text.lower().split() if _PLAIN.fullmatch(text) and "<|" not in text else None for text in texts]
+        fresh = set().union(*(ws for ws in words if ws)).difference(known)
+        parts = {w: _TOKEN.findall(w) for w in fresh}
+        new = list({t for ts in parts.values() for t in ts if t not in known})
+        more: dict[str, bytes] = {}
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            more.update(zip(part, whole(part), strict=True))
+            more.update(zip(part, apart(part), strict=True))
+        of = lambda t: more[t] if t in more else known[t]
+        found = {w: b"".join(map(of, ts)) for w, ts in parts.items()}
         if len(known) < _CACHE:
-            known.update(more)
+            known.update(found)
             look = known.__getitem__
         else:
-            look = ({**more, **{w: known[w] for ws in words if ws for w in set(ws) if w not in more}} if more else known).__getitem__
+            look = lambda w: known[w] if w in known else found[w]
         return [b"".join(map(look, ws)) if ws is not None else whole([text])[0] for ws, text in zip(words, texts, strict=True)]
 
     return encode
@@ -119,55 +130,71 @@ def _price(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def solve(counts: np.ndarray, room: int, most: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Integer patterns and how often to use each, covering ``counts[i]`` items of i + 1 units in bins of ``room`` units."""
+def _first_fit(counts: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Largest items first, each pattern as often as its items last."""
+    left, out = counts.copy(), []
+    while left.any():
+        pattern, free = np.zeros(len(left), np.int64), room
+        for i in np.flatnonzero(left)[::-1]:
+            take = min(int(left[i]), free // (i + 1))
+            pattern[i] = take
+            free -= take * (i + 1)
+        times = int(min(left[pattern > 0] // pattern[pattern > 0]))
+        out.append((pattern, times))
+        left -= pattern * times
+    return out
+
+
+def solve(counts: np.ndarray, room: int, most: int = 2000) -> list[tuple[np.ndarray, int]]:
+    """Integer patterns and how often to use each, covering ``counts[i]`` items of i + 1 units in bins of ``room`` units.
+
+    The master program starts from each class by itself, takes in first-fit patterns while their reduced cost
+    is negative, and then those that the knapsack prices, until none is or Farley's bound is met.
+    """
     m = len(counts)
     have = np.flatnonzero(counts)
     if not len(have):
         return []
-    # one basic column a class that occurs, at first the class alone as often as it fits
     columns = np.zeros((m, len(have)), np.int64)
     columns[have, np.arange(len(have))] = room // (have + 1)
     inverse = np.diag(1 / (room // (have + 1)).astype(float))
     need = counts[have].astype(float)
     used = need * inverse.diagonal()
+    first = _first_fit(counts, room)
+    pool = np.array([p for p, _ in first])
+    bound = need @ (have + 1.0) / room
     for _ in range(most):
-        duals = np.zeros(m)
-        duals[have] = np.maximum(inverse.sum(axis=0), 0)
-        value, pattern = _price(duals, room)
-        total = used.sum()
-        if value <= 1 + 1e-7 or total - total / value < max(0.5, 1e-4 * total):  # Farley's bound: no cover is shorter than total / value
-            break
+        own = inverse.sum(axis=0)
+        worth = (pool[:, have] * own).sum(axis=1)
+        if worth.max() > 1 + 1e-7:
+            pattern = pool[worth.argmax()]
+        else:
+            duals = np.zeros(m)
+            duals[have] = own
+            value, pattern = _price(duals, room)
+            bound = max(bound, used.sum() / max(value, 1.0))  # Farley: no cover is shorter
+            if value <= 1 + 1e-7 or used.sum() - bound < max(0.5, 1e-4 * used.sum()):
+                break
         way = (inverse * pattern[have]).sum(axis=1)
         up = np.flatnonzero(way > 1e-9)
         leaves = up[np.argmin(np.maximum(used[up], 0) / way[up])]
-        step_size = max(used[leaves], 0) / way[leaves]
-        used -= step_size * way
-        used[leaves] = step_size
+        step = max(used[leaves], 0) / way[leaves]
+        used -= step * way
+        used[leaves] = step
         row = inverse[leaves] / way[leaves]
         inverse -= np.outer(way, row)
         inverse[leaves] = row
         columns[:, leaves] = pattern
-        columns[~np.isin(np.arange(m), have), leaves] = 0
-    left = counts.copy()
-    out = []
+    left, out = counts.copy(), []
     for k in np.argsort(-used):
-        times = int(np.floor(used[k] + 1e-9))
         fits = columns[:, k] > 0
-        times = min([times, *(left[fits] // columns[fits, k])]) if fits.any() else 0
+        times = min([int(np.floor(used[k] + 1e-9)), *(left[fits] // columns[fits, k])])
         if times > 0:
             out.append((columns[:, k].copy(), int(times)))
             left -= columns[:, k] * times
-    while left.any():
-        pattern, free = np.zeros(m, np.int64), room
-        for i in np.flatnonzero(left)[::-1]:
-            take = min(int(left[i]), free // (i + 1))
-            pattern[i] = take
-            free -= take * (i + 1)
-        times = int(min(left[pattern > 0] // pattern[pattern > 0]))
-        out.append((pattern, times))
-        left -= pattern * times
-    return out
+    out += _first_fit(left, room)
+    # rounding may cost more than the program gained
+    return min(out, first, key=lambda plan: sum(k for _, k in plan))
 
 
 def _plan(counts: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
