@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import readings, roads, trips, validation  # noqa: F401
+from . import readings, roads, routes, trips, validation  # noqa: F401
 from .core import ORACLE_SQL, QUERIES  # noqa: F401
