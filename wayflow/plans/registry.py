@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import readings, roads, routes, streams, trips, validation  # noqa: F401
+from . import places, readings, roads, routes, streams, trips, validation  # noqa: F401
 from .core import ORACLE_SQL, QUERIES  # noqa: F401
