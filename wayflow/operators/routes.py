@@ -147,3 +147,40 @@ def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame,
         if at.where("at >= 0").isEmpty():
             break
     return at.select("trip", "cost_s", "edges")
+
+
+def route_speed_ratios(routes: DataFrame, packed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(route, pos, ratio): speed over free flow at the moment each edge is reached, turns left out."""
+    met = routes.join(packed, "edge").join(edges.select("edge", "len", F.col("kph").alias("free")), "edge")
+    rows = met.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "free", "steps"))).alias("path"))
+
+    def advance(a: Column, e: Column) -> Column:
+        now = F.get(e["steps"], F.least(F.floor(a["t"] / STEP_S), F.lit(STEPS - 1)).cast("int"))
+        return F.struct((a["t"] + e["len"] / (now["kph"] / 3.6) + now["delay_s"]).alias("t"), F.concat(a["out"], F.array(F.struct(e["pos"].alias("pos"), (now["kph"] / e["free"]).alias("ratio")))).alias("out"))
+
+    zero = F.struct(F.lit(0.0).alias("t"), F.array().cast(f"array<struct<pos:{dict(routes.dtypes)['pos']},ratio:double>>").alias("out"))
+    return rows.select("route", F.explode(F.aggregate("path", zero, advance)["out"]).alias("r")).select("route", "r.pos", "r.ratio")
+
+
+def replay_route(routes: DataFrame, measured: DataFrame, edges: DataFrame, slice_s: float = 45.0) -> DataFrame:
+    """(route, seconds): a fixed path driven through measured speeds (edge, slice, kph); the last slice holds on."""
+    slices = measured.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "kph"))), lambda s: s["kph"]).alias("speeds"))
+    met = routes.join(slices, "edge").join(edges.select("edge", "len"), "edge")
+    rows = met.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "speeds"))).alias("path"))
+    drive = lambda t, e: t + e["len"] / (F.get(e["speeds"], F.least(F.floor(t / slice_s).cast("int"), F.size(e["speeds"]) - 1)) / 3.6)
+    return rows.select("route", F.aggregate("path", F.lit(0.0), drive).alias("seconds"))
+
+
+def near_but_off_route(routes: DataFrame, incidents: DataFrame, mids: DataFrame, most_m: float = 450.0, every: int = 4) -> DataFrame:
+    """(route, incident): incidents that no route edge is part of, near the middle of one of every fourth edges.
+
+    ``incidents``: (incident, edges); ``mids``: (edge, x, y). An incident lies where its first edge does.
+    """
+    cell = lambda c: F.floor(F.col(c) / most_m)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    some = routes.where((F.col("pos") - 1) % every == 0).join(mids, "edge").select("route", F.col("x").alias("rx"), F.col("y").alias("ry"), cell("x").alias("cx0"), cell("y").alias("cy0"))
+    some = some.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("route", "rx", "ry", (F.col("cx0") + F.col("dx")).alias("cx"), (F.col("cy0") + F.col("dy")).alias("cy"))
+    at = incidents.select("incident", F.col("edges")[0].alias("edge")).join(mids, "edge").select("incident", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    near = at.join(some, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2) <= most_m**2).select("route", "incident").distinct()
+    on = incidents.select("incident", F.explode("edges").alias("edge")).join(routes.select("route", "edge"), "edge").select("route", "incident").distinct()
+    return near.join(on, ["route", "incident"], "left_anti")

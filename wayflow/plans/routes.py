@@ -112,3 +112,32 @@ def batch_shortest_paths(spark, sf_dir):
     asked = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("trip")).crossJoin(F.broadcast(count))
     trips = asked.select("trip", (F.col("lo") + F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("lo") + F.col("o_custkey") * 31 % F.col("n")).alias("dest")).where("origin <> dest")
     return rt.batch_shortest_paths(trips, packed, edges, turns)
+
+
+@query(f"""{rd.WITH_STATE}, {rd.DEGREE}, {rd._WEIGHT}, {rd.profile_sql('forecast')}, {ROUTES}, path AS (SELECT route, pos, edge, len, kph AS free FROM routes JOIN edges USING (edge)),
+fold(route, pos, t, ratio) AS (SELECT DISTINCT route, 0::BIGINT, 0.0::DOUBLE, NULL::DOUBLE FROM routes UNION ALL SELECT f.route, p.pos, f.t + p.len / (q.kph / 3.6) + q.delay_s, q.kph / p.free
+ FROM fold f JOIN path p ON p.route = f.route AND p.pos = f.pos + 1 JOIN prof q ON q.edge = p.edge AND q.step = CAST(least(floor(f.t / 120.0), 45) AS INTEGER)) SELECT route, pos, ratio FROM fold WHERE pos > 0""", "ratio")
+def route_speed_ratios(spark, sf_dir):
+    packed, edges, _ = costs(spark, sf_dir)
+    return rt.route_speed_ratios(routes(spark, sf_dir), packed, edges).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+_MEASURED = "measured AS (SELECT edge, slice, greatest(5.0, kph * (0.5 + ((edge + slice * 7) % 10) / 20.0)) AS kph FROM edges, (SELECT CAST(unnest(range(20)) AS INTEGER) AS slice))"
+
+
+@query(f"""{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_MEASURED}, path AS (SELECT route, pos, edge, len FROM routes JOIN edges USING (edge)), fold(route, pos, t) AS (SELECT DISTINCT route, 0::BIGINT, 0.0::DOUBLE FROM routes UNION ALL
+ SELECT f.route, p.pos, f.t + p.len / (q.kph / 3.6) FROM fold f JOIN path p ON p.route = f.route AND p.pos = f.pos + 1 JOIN measured q ON q.edge = p.edge AND q.slice = CAST(least(floor(f.t / 45.0), 19) AS INTEGER))
+SELECT route, t AS seconds FROM fold QUALIFY row_number() OVER (PARTITION BY route ORDER BY pos DESC) = 1""", "seconds")
+def replay_route(spark, sf_dir):
+    edges = b.edges(spark, sf_dir)
+    sliced = edges.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    measured = sliced.select("edge", "slice", F.greatest(F.lit(5.0), F.col("kph") * (0.5 + ((F.col("edge") + F.col("slice") * 7) % 10) / 20.0)).alias("kph"))
+    return rt.replay_route(routes(spark, sf_dir), measured, edges)
+
+
+@query(f"""{E}, {b.INCIDENTS}, {rd.EXY}, mid AS (SELECT edge, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM exy),
+near AS (SELECT DISTINCT r.route, i.incident FROM incidents i JOIN mid a ON a.edge = i.edges[1], routes r JOIN mid m ON m.edge = r.edge WHERE (r.pos - 1) % 4 = 0 AND pow(a.x - m.x, 2) + pow(a.y - m.y, 2) <= 450 * 450)
+SELECT route, incident FROM near n WHERE NOT EXISTS (SELECT 1 FROM incidents i JOIN routes r ON list_contains(i.edges, r.edge) WHERE i.incident = n.incident AND r.route = n.route)""")
+def near_but_off_route(spark, sf_dir):
+    mids = rd.xy_edges(spark, sf_dir).select("edge", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    return rt.near_but_off_route(routes(spark, sf_dir), b.incidents(spark, sf_dir), mids)
