@@ -81,3 +81,43 @@ def test_runs_of_an_empty_log(spark):
     assert op.collection_runs(empty, 10.0).count() == 0
     assert op.dense_hour_series(empty).count() == 0
     assert op.longest_run_crop(empty, 10.0).count() == 0
+
+
+def test_batch_paths_equal_dijkstra(spark):
+    """Time-dependent costs on a small random graph, edge by edge."""
+    import heapq
+
+    from wayflow.operators import routes as rt
+
+    r = random.Random(9)
+    edges = [(i, r.randrange(8), r.randrange(8), 100.0 + r.randrange(400)) for i in range(26)]
+    edges = [e for e in edges if e[1] != e[2]]
+    speed = {e[0]: [5.0 + r.randrange(60) for _ in range(rt.STEPS)] for e in edges}
+    turns = [(a[0], b[0], float(r.randrange(0, 9))) for a in edges for b in edges if a[2] == b[1]]
+
+    def drive(e, t):
+        return round(e[3] / (speed[e[0]][min(int(t // rt.STEP_S), rt.STEPS - 1)] / 3.6), 6)
+
+    by = {e[0]: e for e in edges}
+    want = {}
+    for trip, (o, d) in enumerate([(0, 5), (1, 7), (3, 2), (6, 4)]):
+        best, heap = {}, [(drive(e, 0.0), e[0]) for e in edges if e[1] == o]
+        heapq.heapify(heap)
+        while heap:
+            c, e = heapq.heappop(heap)
+            if e in best:
+                continue
+            best[e] = c
+            for a, b, s in turns:
+                if a == e and b not in best:
+                    heapq.heappush(heap, (c + s + drive(by[b], c), b))
+        ends = [c for e, c in best.items() if by[e][2] == d]
+        if ends:
+            want[trip] = min(ends)
+    packed = spark.createDataFrame([(i, [(k, 0.1, 0.0) for k in s]) for i, s in speed.items()], "edge long, steps array<struct<kph:double,sigma:double,delay_s:double>>")
+    got = rt.batch_shortest_paths(
+        spark.createDataFrame([(0, 0, 5), (1, 1, 7), (2, 3, 2), (3, 6, 4)], "trip long, origin long, dest long"), packed, spark.createDataFrame(edges, "edge long, u long, v long, len double"), spark.createDataFrame(turns, "edge long, next long, turn_s double")
+    ).collect()
+    assert {x["trip"]: pytest.approx(x["cost_s"], abs=1e-3) for x in got} == want
+    for x in got:
+        assert all(by[a][2] == by[b][1] for a, b in zip(x["edges"], x["edges"][1:], strict=False))
