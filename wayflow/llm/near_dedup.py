@@ -5,8 +5,8 @@
 2. Registers are banded. In each bucket the least class is the pivot; each other one is compared to it: first
    by the collision-corrected estimate, then on full sets. So a group of n copies costs n comparisons.
 3. Buckets whose classes are not yet in one component get all their remaining pairs estimated, in blocks of
-   bounded size inside a task; only pairs near the threshold leave it, and are verified on full sets.
-   A pair leaves from the first bucket it shares only.
+   bounded size inside a task, and those near the threshold compared there on hashed sets; what passes leaves the task, from
+   the first bucket that a pair shares only, and is verified on full sets.
 4. Connected components of all verified links.
 
 With 80 bands of 6 registers a pair at similarity 0.75 shares no bucket with probability 2e-7; the
@@ -107,11 +107,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(keep, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in one bucket with an estimate of at least ``least``.
+def _in_blocks(rows: DataFrame, least: float, threshold: int) -> DataFrame:
+    """Pairs of different components in one bucket with an estimate of at least ``least`` whose sets reach ``threshold``.
 
-    ``rows``: (band, key, node, n, component, regs, members). A bucket is cut into blocks of about BLOCK classes;
-    each pair of blocks is one group.
+    ``rows``: (band, key, node, n, component, regs, items, members); ``items`` are the set's sorted 32-bit hashes, by which two
+    sets can only seem to share too much, so no link is lost. A bucket is cut into blocks of about BLOCK classes; each pair of blocks is one group.
     """
     cut = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = rows.withColumn("blocks", cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -121,6 +121,7 @@ def _in_blocks(rows: DataFrame, least: float) -> DataFrame:
         band, lo, hi = int(group["band"].iloc[0]), int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
         x = group[group["own"] == lo]
         y = x if lo == hi else group[group["own"] == hi]
+        sets = {node: np.frombuffer(items, np.uint32) for node, items in zip(group["node"], group["items"], strict=True)}
         rx, ry = (np.frombuffer(b"".join(g["regs"]), np.uint8).reshape(-1, BANDS * ROWS) for g in (x, y))
         ny, cy, iy = y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
         out = []
@@ -135,10 +136,26 @@ def _in_blocks(rows: DataFrame, least: float) -> DataFrame:
                 first = same[close].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
                 close = close[first]
                 near = estimate(same[close].sum(1), np.full(len(close), n), ny[apart[close]], BANDS * ROWS) >= least
-                out += [(min(node, o), max(node, o)) for o in iy[apart[close[near]]].tolist()]
+                for at in apart[close[near]].tolist():
+                    mine, theirs = sets[node], sets[iy[at]]
+                    # hashes that met within a set count as shared
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True)) + max(n - len(mine), ny[at] - len(theirs))
+                    if 100 * both >= threshold * (n + ny[at] - both):
+                        out.append((min(node, iy[at]), max(node, iy[at])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.select("band", "key", "lo", "hi", "own", "node", "n", "component", "regs").groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return dealt.select("band", "key", "lo", "hi", "own", "node", "n", "component", "regs", "items").groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def _items(texts: DataFrame, size: int) -> DataFrame:
+    """(node, items): the texts' sets as sorted 32-bit hashes."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "items"])
+
+    return texts.select("node", "text").mapInArrow(hashes, "node long, items binary")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -165,8 +182,10 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = save(placed, "placed")
     open_ = save(mixed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key"), "open")
-    left = mixed.join(open_, ["band", "key"], "left_semi").join(nodes.select("node", "n", "regs"), "node")
-    more = save(_verified(save(_in_blocks(left, least), "rest"), texts, size, threshold), "links")
+    left = save(mixed.join(open_, ["band", "key"], "left_semi"), "left")
+    sets = save(_items(texts.join(left.select("node").distinct(), "node", "left_semi"), size), "items")
+    left = left.join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
+    more = save(_verified(save(_in_blocks(left, least, threshold), "rest"), texts, size, threshold), "links")
     return links.unionByName(more)
 
 
