@@ -184,6 +184,16 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(docs).agg(F.sum("n_novel")).first()[0] == 0
 
 
+def test_secrets_dotted_capital_and_both_sides(spark):
+    c, key = secrets.compressor(), "q8Zr-T4kWx9Lm2Vp7Yc"
+    said = lambda text: [text[a:b] for a, _, b in secrets.scan_text(text, c)[1]]
+    assert said(f"\u0130stanbul bearer {key} end") == [key] and said(f"\u0130 ve PR\u0130VATE {key} end") == [key]
+    assert said(f"{key} is the api secret") == [key] and said(f"use {key} as token, not jwt {key[::-1]} here") == [key, key[::-1]]
+    assert said(f"{key} {'road ' * 20} secret") == [] and said(f"{key}{key[::-1]} token") == [key + key[::-1]]
+    clean = secrets.redact(spark.createDataFrame([(1, f"\u0130zmir: {key} is the api secret", "", "", 0)], SCHEMA)).first()
+    assert clean["text"] == "\u0130zmir: [SECRET] is the api secret"
+
+
 def test_maximal_segments_as_brute_force():
     r = random.Random(6)
     for _ in range(200):
