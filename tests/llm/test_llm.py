@@ -235,6 +235,24 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_sampled_labels(spark):
+    """Mixed texts, one in five of them toxic, are clean by the labels' shares, however few clean rows are learned from."""
+    r, rows, labels = random.Random(12), [], []
+    for i in range(3000):
+        kind = "strong" if i % 15 == 0 else "mixed" if i % 15 == 1 else "plain"
+        words = prose(r, 60).split()
+        at = r.randrange(40)
+        words[at : at + {"strong": 12, "mixed": 4, "plain": 0}[kind]] = ["scoundrel"] * {"strong": 12, "mixed": 4, "plain": 0}[kind]
+        rows.append((i, " ".join(words), "en", kind, 0))
+        labels.append((i, int(kind == "strong" or (kind == "mixed" and r.random() < 0.2))))
+    table, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    said = []
+    for bound in (10**6, 250):
+        got = toxicity.score(table, toxicity.learn(table, labels, rows=bound)).orderBy("doc_id").collect()
+        said.append([x["score"] >= 0.5 for x in got])
+    assert said[0] == said[1] == [kind == "strong" for _, _, _, kind, _ in rows]
+
+
 def test_quality_held_out(spark, docs, empty):
     table, labels = labelled(spark, "@@##$$%%^^&&!!~~", "quality")
     model = quality.learn(table, labels)

@@ -114,6 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     The driver gets MOST_TOKENS tokens and two numbers for each sampled text.
     """
+    n_good, n_bad = training.label_counts(labels, label, id_col)
     picked = training.sample(docs, labels, label, rows, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     totals = counted.agg(F.sum("bad"), F.sum("good")).first()
     bad, good = float(totals[0] or 0), float(totals[1] or 0)
     if not bad or not good:
-        share = texts.agg(F.avg("y")).first()[0] or 0.0
+        share = n_bad / max(n_good + n_bad, 1)
         return Model(weights=np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
     mass = PRIOR_SHARE * (bad + good)
     prior = PRIOR_SHARE * (F.col("bad") + F.col("good"))
@@ -161,7 +162,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     seen = texts.mapInArrow(worths, "w double, best double, y long").toPandas()
     x = np.array([_features(*r) for r in zip(seen["w"], seen["best"], strict=True)])
-    model.weights = training.fit_logistic(x, seen["y"].to_numpy().astype(float))
+    y = seen["y"].to_numpy().astype(float)
+    model.weights = training.fit_logistic(x, y)
+    # the sample holds the kinds in other shares than the labels do
+    model.weights[-1] += np.log(n_bad / n_good) - np.log(y.sum() / (len(y) - y.sum()))
     return model
 
 

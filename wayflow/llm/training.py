@@ -71,3 +71,10 @@ def sample_share(labels: DataFrame, label: str, id_col: str = "doc_id") -> float
     """Share of label 1 among all rows that are not held out, kept off 0 and 1; one half without any."""
     found = labels.where(fold(F.col(id_col)) != 0).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return 0.5 if found is None else float(np.clip(found, 1e-3, 1 - 1e-3))
+
+
+def label_counts(labels: DataFrame, label: str, id_col: str = "doc_id") -> tuple[int, int]:
+    """Ids of label 0 and of label 1 that are not held out, counted as ``sample`` takes them."""
+    rows = labels.where(F.col(label).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(id_col).agg(F.max(F.col(label).cast("long")).alias("y"))
+    found = rows.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
+    return int(found[0] or 0), int(found[1] or 0)
