@@ -76,6 +76,38 @@ def test_greedy_rounds_equal_the_scan(spark):
     assert [x["id"] for x in got.collect()] == taken[:8]
 
 
+def test_greedy_rounds_that_run_out(spark):
+    rows = [(i, float(-i)) for i in range(9)]
+    chain = spark.createDataFrame([(a, b) for a in range(9) for b in (a - 1, a + 1) if 0 <= b < 9], "a long, b long")
+    table = spark.createDataFrame(rows, "id long, value double")
+    assert [x["id"] for x in ro.spaced_greedy_select(table, chain, 9).collect()] == [0, 2, 4, 6, 8]
+    with pytest.raises(RuntimeError):
+        ro.spaced_greedy_select(table, chain, 9, most_rounds=2)
+
+
+def test_chosen_edges_as_the_scan(spark):
+    """The registered query against the sequential scan of all edges, by distance between middles."""
+    from wayflow.plans import roads as rr
+    from wayflow.plans.registry import QUERIES
+
+    path = "/root/testdata/sf0.01"
+    edges = rr.xy_edges(spark, path).collect()
+    ways = {}
+    for e in edges:
+        ways[e["u"]] = ways.get(e["u"], 0) + 1
+    worth = [1.00, 0.95, 0.90, 0.78, 0.60, 0.42, 0.30, 0.18, 0.10]
+    value = {e["edge"]: worth[min(max(e["rank"], 0), 8)] * (0.55 + 0.45 * min(ways.get(e["v"], 0) / 4.0, 1.6)) * min(max(e["len"] / 140.0, 0.3), 1.0) for e in edges}
+    middle = {e["edge"]: ((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2) for e in edges}
+    twin = {e["edge"]: e["twin"] for e in edges}
+    want = []
+    for i in sorted(value, key=lambda i: (-value[i], i)):
+        if len(want) < 40 and all(twin[j] != i and math.dist(middle[i], middle[j]) >= 150 for j in want):
+            want.append(i)
+    got = QUERIES["spaced_greedy_select"](spark, path).collect()
+    assert [x["id"] for x in got] == want
+    assert [x["value"] for x in got] == pytest.approx([value[i] for i in want])
+
+
 def test_runs_of_an_empty_log(spark):
     empty = spark.createDataFrame([], "camera_id long, event_id long, t double, count_mean double, tracks int, moving_frac double")
     assert op.collection_runs(empty, 10.0).count() == 0

@@ -229,11 +229,39 @@ def farthest_point_sample(points: DataFrame, n: int) -> DataFrame:
     return points.sparkSession.createDataFrame(chosen, "camera_id long, turn int")
 
 
+RANK_WORTH = (1.00, 0.95, 0.90, 0.78, 0.60, 0.42, 0.30, 0.18, 0.10)
+
+
+def watching_value(edges: DataFrame) -> DataFrame:
+    """(id, value): worth of watching an edge, from its class, the edges leaving its end, and its length."""
+    leaving = edges.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("ways"))
+    worth = F.get(F.array(*map(F.lit, RANK_WORTH)), F.least(F.greatest(F.col("rank"), F.lit(0)), F.lit(len(RANK_WORTH) - 1)).cast("int"))
+    junction = 0.55 + 0.45 * F.least(F.coalesce("ways", F.lit(0)) / 4.0, F.lit(1.6))
+    value = worth * junction * F.least(F.greatest(F.col("len") / 140.0, F.lit(0.3)), F.lit(1.0))
+    return edges.select("edge", "v", "rank", "len").join(leaving, "v", "left").select(F.col("edge").alias("id"), value.alias("value"))
+
+
+def spacing_conflicts(edges: DataFrame, least_m: float = 150.0) -> DataFrame:
+    """(a, b) both ways: edges whose middles (x, y) are less than ``least_m`` apart, and both directions of a street.
+
+    Middles meet over grid cells of ``least_m`` and the cells around them.
+    """
+    cell = lambda c: F.floor(F.col(c) / least_m)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    at = edges.select(F.col("edge").alias("b"), F.col("x").alias("bx"), F.col("y").alias("b_y"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = edges.select(F.col("edge").alias("a"), "x", "y", cell("x").alias("cx0"), cell("y").alias("cy0")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    near = near.select("a", "x", "y", (F.col("cx0") + F.col("dx")).alias("cx"), (F.col("cy0") + F.col("dy")).alias("cy"))
+    close = near.join(at, ["cx", "cy"]).where((F.col("a") != F.col("b")) & (F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("b_y"), 2) < least_m**2)).select("a", "b")
+    twins = edges.where("twin is not null").select(F.col("edge").alias("a"), F.col("twin").alias("b"))
+    return close.unionByName(twins).unionByName(twins.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def spaced_greedy_select(candidates: DataFrame, conflicts: DataFrame, budget: int, most_rounds: int = 1000) -> DataFrame:
     """The first ``budget`` of what a greedy scan by (value descending, id) would take, never two in conflict.
 
     Candidates (id, value); conflicts (a, b) both ways. In each round all take part at once: who beats every undecided
-    neighbour is chosen, its neighbours are out. That is what the scan chooses.
+    neighbour is chosen, its neighbours are out. That is what the scan chooses. Once ``budget`` are chosen, what ranks
+    behind them is left out, as the scan would not come to it.
     """
     left = save(candidates.select("id", "value"), "left")
     taken = None
@@ -245,5 +273,13 @@ def spaced_greedy_select(candidates: DataFrame, conflicts: DataFrame, budget: in
         won = save(left.join(rivals, "id", "left").where(F.col("best").isNull() | (rank < F.col("best"))).select("id", "value"), "won")
         taken = won if taken is None else taken.unionByName(won)
         out = conflicts.join(won.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
-        left = save(left.join(won.select("id").unionByName(out), "id", "left_anti"), "left")
+        left = left.join(won.select("id").unionByName(out), "id", "left_anti")
+        first = taken.orderBy(F.desc("value"), "id").limit(budget).collect()
+        if len(first) == budget:
+            value, at = (first[-1]["value"], first[-1]["id"]) if first else (float("inf"), 0)
+            left = left.where((F.col("value") > value) | ((F.col("value") == value) & (F.col("id") < at)))
+        left = save(left, "left")
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"candidates still undecided after {most_rounds} rounds")
     return (candidates.select("id", "value").where("false") if taken is None else taken).orderBy(F.desc("value"), "id").limit(budget)

@@ -9,6 +9,7 @@ from ..functions import traffic as tf
 from ..operators import places as pl
 from ..operators import readings as op
 from ..operators import roads as ro
+from ..storage import save
 from . import readings as rd
 from . import roads as rr
 from .core import query
@@ -118,7 +119,5 @@ def farthest_point_sample(spark, sf_dir):
 @query()
 def spaced_greedy_select(spark, sf_dir):
     e = rr.xy_edges(spark, sf_dir).withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2})
-    # edges that meet at a node, and both directions of a street, are within 150 m on this grid
-    ends = e.select("edge", F.explode(F.array("u", "v")).alias("node"))
-    conflicts = ends.alias("a").join(ends.alias("b"), "node").where("a.edge <> b.edge").select(F.col("a.edge").alias("a"), F.col("b.edge").alias("b")).distinct()
-    return ro.spaced_greedy_select(e.select(F.col("edge").alias("id"), ((9 - F.col("rank")) * F.col("len")).alias("value")), conflicts, 40)
+    e = save(e, "edges")
+    return ro.spaced_greedy_select(ro.watching_value(e), save(ro.spacing_conflicts(e), "conflicts"), 40)
