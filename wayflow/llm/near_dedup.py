@@ -2,15 +2,17 @@
 
 1. Every whole text becomes its set of distinct shingles, a digest of that set and one-byte HyperMinHash
    registers (leading zeros and mantissa bits). Equal sets are one class, named by its least id.
-2. Registers are banded. In each bucket the least class is the pivot; each other one is compared to it: first
-   by the collision-corrected estimate, then on full sets. So a group of n copies costs n comparisons.
-3. Buckets whose classes are not yet in one component get all their remaining pairs estimated, in blocks of
-   bounded size inside a task, and those near the threshold compared there on hashed sets; what passes leaves the task, from
-   the first bucket that a pair shares only, and is verified on full sets.
-4. Connected components of all verified links.
-
-With 80 bands of 6 registers a pair at similarity 0.75 shares no bucket with probability 2e-7; the
-estimate's margin of 0.09 is four standard deviations there. Texts travel only for classes in shared buckets
+2. Registers are banded. In each bucket the least class is the pivot; each other one is compared to it: first by sizes and
+   the collision-corrected estimate, then on full sets. So a group of n copies costs n comparisons. A pivot's text travels
+   once for a block of its partners, not once for each.
+3. Buckets that still hold classes outside the pivot's component are cut into tiles of bounded size: classes outside
+   against all. Tiles see registers only and name the classes that have a possible partner, in the first bucket that the two share.
+   Full sets travel for those classes alone; tiles of them compare full sets and put out a spanning forest of the links
+   found, so what leaves a tile grows with its classes, not with its pairs.
+4. Connected components of all links.
+
+With 60 bands of 5 registers a pair at similarity 0.75 shares no bucket with probability 9e-8; the
+estimate's margin of 0.11 is four standard deviations there. Texts travel only for classes in shared buckets
 (picked by a broadcast Bloom filter of bounded size).
 
 Defined cases: no text or no words: empty set, linked with nothing, its own component. Fewer words than
@@ -20,10 +22,7 @@ are of one component. Other columns are ignored. An empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,162 +30,235 @@ from pyspark.sql import functions as F
 
 from ..storage import save
 from . import bloom
+from .batches import Batches, fixed_bytes, groups, map_batches
 from .components import connected_components
 from .hyperminhash import band_keys, estimate, registers
 from .words import shingle_sets
 
-BANDS, ROWS = 80, 6
-MARGIN = 0.09
-BLOCK = 1024  # classes of a bucket that are compared with another such block in one task
+BANDS, ROWS = 60, 5
+WIDTH = BANDS * ROWS
+MARGIN = 0.11
+STAR_BLOCK = 1024  # partners of a pivot for which its text travels once
+BLOCK, SET_BLOCK = 1024, 256  # classes a side of a tile: with registers, with full sets
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    n = BANDS * ROWS
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Batches) -> Batches:
         for batch in batches:
             sizes, digests, regs = [], [], []
             for items in shingle_sets(batch.column(1), size):
                 sizes.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                regs.append(registers(items, n).tobytes() if len(items) else None)
+                regs.append(registers(items, WIDTH).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"])
 
-    return docs.mapInArrow(sign, "id long, n long, digest binary, regs binary")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    return flat.reshape(-1, BANDS * ROWS)
+    return map_batches(docs, sign, "id long, n long, digest binary, regs binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, key, node) of every class."""
+    """(band, key, node, n) of every class."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Batches) -> Batches:
         for batch in batches:
-            for i in range(0, len(batch), 2048):
-                part = batch.slice(i, 2048)
-                found = band_keys(_matrix(part.column(1)), BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(part))), pa.array(found.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "key", "node"]
-                )
+            found = band_keys(fixed_bytes(batch.column(2), WIDTH), BANDS)
+            each = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(), BANDS))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch))), pa.array(found.ravel()), each(0), each(1)], ["band", "key", "node", "n"])
 
-    return nodes.select("node", "regs").mapInArrow(keys, "band int, key long, node long")
+    return map_batches(nodes.select("node", "n", "regs"), keys, "band int, key long, node long, n long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimated similarity is at least ``least``."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    """Pairs (a, b), given with their sizes, whose estimated similarity is at least ``least``."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 4096):
-                p = batch.slice(i, 4096)
-                equal = (_matrix(p.column(4)) == _matrix(p.column(5))).sum(1)
-                near = estimate(equal, p.column(2).to_numpy(), p.column(3).to_numpy(), BANDS * ROWS) >= least
-                yield p.select([0, 1]).filter(pa.array(near))
+    def keep(batches: Batches) -> Batches:
+        for p in batches:
+            equal = (fixed_bytes(p.column(4), WIDTH) == fixed_bytes(p.column(5), WIDTH)).sum(1)
+            near = estimate(equal, p.column(2).to_numpy(), p.column(3).to_numpy(), WIDTH) >= least
+            yield p.select([0, 1]).filter(pa.array(near))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(keep, "a long, b long")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    return map_batches(met, keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets reach ``threshold`` per cent."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+def _near(both: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    return 100 * both >= threshold * (n + m - both)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                p = batch.slice(i, 512)
-                near = []
-                for x, y in zip(shingle_sets(p.column(2), size), shingle_sets(p.column(3), size), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    near.append(100 * both >= threshold * (len(x) + len(y) - both))
-                yield p.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(keep, "a long, b long")
+def _verified_stars(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach ``threshold`` per cent; few a, each with many b."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).alias("blocks"))
+    dealt = save(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "stars")
+    heads = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
+    rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", F.lit(1).alias("member"), "b", "text")
 
+    def keep(batches: Batches) -> Batches:
+        now, sets = (None, None), []
+        for p in batches:
+            out_a, out_b = [], []
+            keys = zip(*(p.column(k).to_pylist() for k in range(4)), strict=True)
+            for (a, block, member, b), items in zip(keys, shingle_sets(p.column(4), size), strict=True):
+                if (a, block) != now:
+                    now, sets = (a, block), []
+                if not member:
+                    sets.append(items)
+                elif any(_near(len(np.intersect1d(x, items, assume_unique=True)), len(x), len(items), threshold) for x in sets):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-def _in_blocks(rows: DataFrame, least: float, threshold: int) -> DataFrame:
-    """Pairs of different components in one bucket with an estimate of at least ``least`` whose sets reach ``threshold``.
+    ordered = heads.unionByName(rest).repartition("a", "block").sortWithinPartitions("a", "block", "member")
+    return map_batches(ordered, keep, "a long, b long")
 
-    ``rows``: (band, key, node, n, component, regs, items, members); ``items`` are the set's sorted 32-bit hashes, by which two
-    sets can only seem to share too much, so no link is lost. A bucket is cut into blocks of about BLOCK classes; each pair of blocks is one group.
+
+def _tiled(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (band, key, node, outside, ...) dealt into tiles (band, key, lo, hi): each class of a bucket meets each one outside in one tile.
+
+    A class has a block among all of its bucket and, if outside, one among those outside. ``asks``: it is there as one outside.
     """
-    cut = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = rows.withColumn("blocks", cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        band, lo, hi = int(group["band"].iloc[0]), int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        x = group[group["own"] == lo]
-        y = x if lo == hi else group[group["own"] == hi]
-        sets = {node: np.frombuffer(items, np.uint32) for node, items in zip(group["node"], group["items"], strict=True)}
-        rx, ry = (np.frombuffer(b"".join(g["regs"]), np.uint8).reshape(-1, BANDS * ROWS) for g in (x, y))
-        ny, cy, iy = y["n"].to_numpy(), y["component"].to_numpy(), y["node"].to_numpy()
-        out = []
-        for k, (node, n, c) in enumerate(zip(x["node"], x["n"], x["component"], strict=True)):
-            apart = np.flatnonzero((cy != c) & ((iy > node) if lo == hi else True))
-            if not len(apart):
-                continue
-            same = ry[apart] == rx[k]
-            # the estimate without its correction is an upper bound
-            close = np.flatnonzero(same.sum(1) >= least * BANDS * ROWS)
-            if len(close):
-                first = same[close].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-                close = close[first]
-                near = estimate(same[close].sum(1), np.full(len(close), n), ny[apart[close]], BANDS * ROWS) >= least
-                for at in apart[close[near]].tolist():
-                    mine, theirs = sets[node], sets[iy[at]]
-                    # hashes that met within a set count as shared
-                    both = len(np.intersect1d(mine, theirs, assume_unique=True)) + max(n - len(mine), ny[at] - len(theirs))
-                    if 100 * both >= threshold * (n + ny[at] - both):
-                        out.append((min(node, iy[at]), max(node, iy[at])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.select("band", "key", "lo", "hi", "own", "node", "n", "component", "regs", "items").groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    per = rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.ceil(F.count_if("outside") / block).alias("others"))
+    met = rows.join(per.where("others > 0"), ["band", "key"])
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    given = met.withColumns({"lo": deal("blocks"), "asks": F.lit(False)}).withColumn("hi", each("others"))
+    asking = met.where("outside").withColumns({"hi": deal("others"), "asks": F.lit(True)}).withColumn("lo", each("blocks"))
+    return given.unionByName(asking).drop("blocks", "others")
+
+
+def _candidates(band: int, asks: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, outside: np.ndarray, regs: np.ndarray, least: float, threshold: int):
+    """For each asking class of a tile: its row and the rows of its possible partners."""
+    there = np.flatnonzero(~asks)
+    for k in np.flatnonzero(asks).tolist():
+        # of two classes outside the larger one asks
+        apart = (component[there] != component[k]) & (~outside[there] | (node[there] < node[k]))
+        apart &= 100 * np.minimum(n[there], n[k]) >= threshold * np.maximum(n[there], n[k])
+        at = there[apart]
+        if not len(at):
+            continue
+        same = regs[at] == regs[k]
+        # the estimate without its correction is an upper bound
+        close = np.flatnonzero(same.sum(1) >= least * WIDTH)
+        if not len(close):
+            continue
+        close = close[same[close].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+        if len(close):
+            close = close[estimate(same[close].sum(1), np.full(len(close), n[k]), n[at[close]], WIDTH) >= least]
+        if len(close):
+            yield k, at[close]
+
+
+_KEYS = ["band", "key", "lo", "hi"]
+_SEEN = ["asks", "node", "n", "component", "outside", "regs"]
+
+
+def _tile(batch: pa.RecordBatch, a: int, b: int):
+    part = batch.slice(a, b - a)
+    numbers = [part.column(k).to_numpy(zero_copy_only=False) for k in range(4, 9)]
+    return int(part.column(0)[0].as_py()), *numbers, fixed_bytes(part.column(9), WIDTH)
+
+
+def _with_partners(rows: DataFrame, least: float, threshold: int) -> DataFrame:
+    """(band, key, node) of the classes that may be linked with one of another component in that bucket."""
+
+    def find(batches: Batches) -> Batches:
+        for batch, at in groups(batches, len(_KEYS)):
+            band, key, node = [], [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                tile = _tile(batch, a, b)
+                found: set[int] = set()
+                for k, partners in _candidates(*tile, least, threshold):
+                    found.update((int(tile[2][k]), *tile[2][partners].tolist()))
+                band += [tile[0]] * len(found)
+                key += [batch.column(1)[a].as_py()] * len(found)
+                node += found
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(key, pa.int64()), pa.array(node, pa.int64())], ["band", "key", "node"])
+
+    tiles = _tiled(rows, BLOCK).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return map_batches(tiles.select(*_KEYS, *_SEEN), find, "band int, key long, node long").distinct()
+
+
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Number of items that each of ``others`` shares with ``x``; all sorted and distinct."""
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def _forests(rows: DataFrame, least: float, threshold: int) -> DataFrame:
+    """Links (a, b) between classes of different components, on full sets: a spanning forest of those in each tile."""
+
+    def link(batches: Batches) -> Batches:
+        for batch, at in groups(batches, len(_KEYS), 256):
+            out = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                band, asks, node, n, component, outside, regs = _tile(batch, a, b)
+                sets = [np.frombuffer(batch.column(10)[i].as_buffer(), np.uint64) for i in range(a, b)]
+                tree = component.copy()
+                for k, partners in _candidates(band, asks, node, n, component, outside, regs, least, threshold):
+                    partners = partners[tree[partners] != tree[k]]
+                    if not len(partners):
+                        continue
+                    both = _shared(sets[k], [sets[p] for p in partners])
+                    for p in partners[_near(both, n[k], n[partners], threshold)].tolist():
+                        if tree[p] != tree[k]:
+                            tree[tree == tree[p]] = tree[k]
+                            out.append((int(node[p]), int(node[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    tiles = _tiled(rows, SET_BLOCK).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return map_batches(tiles.select(*_KEYS, *_SEEN, "items"), link, "a long, b long").distinct()
 
 
 def _items(texts: DataFrame, size: int) -> DataFrame:
-    """(node, items): the texts' sets as sorted 32-bit hashes."""
+    """(node, items): the texts' sets as sorted 64-bit hashes."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Batches) -> Batches:
         for batch in batches:
-            found = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), size)], pa.binary())], ["node", "items"])
 
-    return texts.select("node", "text").mapInArrow(hashes, "node long, items binary")
+    return map_batches(texts.select("node", "text"), hashes, "node long, items binary")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> DataFrame:
     """Verified links (a, b) between classes; enough of them to connect all that are linked."""
     bands = _bands(nodes)
     shared = save(bands.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    n = shared.count()
-    words = bloom.words_for(n)
+    words = bloom.words_for(shared.count())
     bits = save(bloom.members(shared, F.xxhash64("key"), words), "bloom")
     some = bloom.probe(bands, F.xxhash64("key"), words, bits, "hit").where("hit").drop("hit")
-    rows = save(some.join(shared, ["band", "key"]), "shared")
+    rows = save(some.join(shared.drop("members"), ["band", "key"]), "shared")
 
-    ids = save(rows.select("node").distinct(), "ids")
+    least = threshold / 100 - MARGIN
+    stars = rows.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
+    sized = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    likely = save(_estimated(sized, nodes, least), "likely")
+    ids = save(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct(), "ids")
+    links = save(_verified_stars(likely, _texts(docs, ids), size, threshold), "links")
+
+    parts = save(connected_components(links), "parts")
+    of = lambda x, name: F.coalesce(F.col(name), F.col(x)).alias(name)
+    placed = rows.join(parts, "node", "left").select("band", "key", "node", "n", "pivot", of("node", "component"))
+    placed = placed.join(parts.select(F.col("node").alias("pivot"), F.col("component").alias("first")), "pivot", "left").select("band", "key", "node", "n", "component", (F.col("component") != F.coalesce("first", "pivot")).alias("outside"))
+    left = save(placed, "placed")
+    signed = nodes.select("node", "regs")
+    open_ = left.where("outside").select("band", "key").distinct()
+    flagged = save(_with_partners(left.join(open_, ["band", "key"], "left_semi").join(signed, "node"), least, threshold), "flagged")
+    ids = save(flagged.select("node").distinct(), "ids")
+    sets = _items(_texts(docs, ids), size)
+    more = save(_forests(left.join(flagged, ["band", "key", "node"]).join(signed, "node").join(sets, "node"), least, threshold), "links")
+    return parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the classes in ``ids`` (node); documents that a Bloom filter of the ids stops aren't shuffled."""
     words = bloom.words_for(ids.count())
     bits = save(bloom.members(ids, F.xxhash64("node"), words), "bloom")
     wanted = bloom.probe(docs.where("id is not null"), F.xxhash64("id"), words, bits, "hit").where("hit").drop("hit")
-    texts = save(wanted.join(ids, F.col("id") == F.col("node")).select("node", "text"), "texts")
-
-    least = threshold / 100 - MARGIN
-    stars = rows.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(_verified(_estimated(stars, nodes, least), texts, size, threshold), "links")
-
-    parts = connected_components(links)
-    placed = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = save(placed, "placed")
-    open_ = save(mixed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key"), "open")
-    left = save(mixed.join(open_, ["band", "key"], "left_semi"), "left")
-    sets = save(_items(texts.join(left.select("node").distinct(), "node", "left_semi"), size), "items")
-    left = left.join(nodes.select("node", "n", "regs"), "node").join(sets, "node")
-    more = save(_verified(save(_in_blocks(left, least, threshold), "rest"), texts, size, threshold), "links")
-    return links.unionByName(more)
+    return save(wanted.join(ids, F.col("id") == F.col("node")).select("node", "text"), "texts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 75) -> DataFrame:
