@@ -1,95 +1,96 @@
 """Document fingerprints by consistent weighted sampling, with SQL functions only.
 
-Terms are the lower-cased words of a text, weighted by how often they occur. Weight is dealt over BINS bins, the j-th
-occurrence of a word by a hash of (word, j): a word of n occurrences has the same first n in every text, so the smaller of two
-weights is still what two texts share, and frequent words spread over all bins. Inside a bin each word draws one
-gamma-distributed sample for its weight w there: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed by the word and
-the bin, ``t = floor(ln(w) / r + b)`` and ``ln a = ln c - r (t - b + 1)``; the word of least ``a`` gives the bin its sample
-(word, t). Two texts agree in a bin with the probability of the generalised Jaccard similarity ``sum min / sum max`` of
-their weights there. The share of agreeing bins, among those that either text fills, estimates that of the texts.
-So one draw for each word and bin serves the whole fingerprint, not one for each word and sample.
-
-A fingerprint is BINS samples of 24 bits, six hex digits a bin; ``000000`` is a bin without a term.
-
-Defined cases: a null text counts as empty. Without a word no bin is filled; two such texts are alike (1), one such
+Terms are the lower-cased words of a text, weighted by how often they occur. For each of SAMPLES samples every word draws, fixed by
+the word and the sample's number, r, c ~ Gamma(2, 1) and b ~ U(0, 1) (by quantile tables, c as the sum of two exponentials). With its weight w, ``t = floor(ln(w) / r + b)`` and
+``ln a = ln c - r (t - b + 1)``; the word of least ``a`` in the text gives the sample (word, t). Two texts have the same sample with the probability
+of the generalised Jaccard similarity ``sum min / sum max`` of their weights, so the share of equal samples estimates it without bias.
+
+Words are counted first, so a word draws once for each sample however often it occurs. Both aggregations (words of a text, samples of a text)
+run where the text already is: texts cross the network once, by id.
+
+A fingerprint is SAMPLES samples of 16 bits, four hex digits each. Unequal samples meet in those bits once in 65,536.
+
+Defined cases: a null text counts as empty. A text without a word has the empty fingerprint; two such texts are alike (1), one such
 and another are not (0). Rows that share an id have the same next document, and are the next document by their least text.
-A null id comes last in descending order. Other columns are ignored.
+Repeated rows are each reported. A null id comes last in descending order. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import save
 
-BINS = 64
-_SHIFT = 100.0  # values lie above -100
-
+SAMPLES, A_ROW = 64, 4
+GRAIN = 1024  # steps of the tables that draws come from
+_SHIFT = 128.0  # ln a lies above -128 and below 128
 
-def _bind(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once: inside nested lambdas a plain expression would be again for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def _gamma_quantiles() -> list[float]:
+    """Quantiles of Gamma(2, 1) at the middles of GRAIN equal shares, by bisection of ``1 - (1 + x) e^-x``."""
+    want = (np.arange(GRAIN) + 0.5) / GRAIN
+    lo, hi = np.zeros(GRAIN), np.full(GRAIN, 64.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < want
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return hi.tolist()
 
-def _uniform(h: Column, k: int) -> Column:
-    """In (0, 1), from 31 bits of a hash of ``h``."""
-    return (F.xxhash64(h, F.lit(k)).bitwiseAND(0x7FFFFFFF) + 0.5) / float(1 << 31)
 
+def _tables() -> tuple[Column, Column]:
+    """Quantiles of Gamma(2, 1) and of Exp(1)."""
+    return F.lit(_gamma_quantiles()), F.lit((-np.log((np.arange(GRAIN) + 0.5) / GRAIN)).tolist())
 
-def _sample(x: Column, weight: Column) -> Column:
-    """Of a word in a bin (``x``): bin (6 bits), value (34 bits, order-preserving) and sample (24 bits) in a BIGINT."""
-    gamma = lambda k: -F.log(_uniform(x, k) * _uniform(x, k + 1))
 
-    def drawn(r: Column) -> Column:
-        b = _uniform(x, 5)
-        t = F.floor(F.log(weight) / r + b)
-        value = F.log(gamma(3)) - r * (t - b + 1)
-        level = F.least(F.greatest((value + _SHIFT) * (1 << 27), F.lit(0.0)), F.lit(float((1 << 34) - 1))).cast("bigint")
-        name = F.pmod(F.xxhash64(x, t), F.lit((1 << 24) - 1)) + 1
-        return F.shiftleft(F.shiftrightunsigned(x, 58), 58).bitwiseOR(F.shiftleft(level, 24)).bitwiseOR(name)
+def _samples(word: Column, log_weights: list[Column], k: Column, tables: tuple[Column, Column]) -> list[Column]:
+    """What a word draws for sample ``k`` by each weight: ln a in the upper bits, order-preserving, and 16 bits of (word, t) below. Null for a null weight."""
+    gamma, exponential = tables
+    x = F.xxhash64(word, k)
+    part = lambda shift: F.shiftrightunsigned(x, shift).bitwiseAND(GRAIN - 1).cast("int")
+    r = F.get(gamma, part(54))
+    c = F.get(exponential, part(44)) + F.get(exponential, part(34))
+    b = (x.bitwiseAND((1 << 20) - 1) + 0.5) / float(1 << 20)
+    high = F.log(c) + _SHIFT
 
-    return _bind(gamma(1), drawn)
+    def drawn(log_weight: Column) -> Column:
+        t = F.floor(log_weight / r + b)
+        level = ((high - r * (t - b + 1)) * float(1 << 38)).cast("bigint")
+        return F.shiftleft(level, 16).bitwiseOR((F.shiftrightunsigned(x, 18) + t * 40503).bitwiseAND(0xFFFF))
 
+    return [drawn(w) for w in log_weights]
 
-def fingerprint(text: Column) -> Column:
-    """Fingerprint of a text column."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    hashes = F.sort_array(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
-    def runs(ordered: Column, body) -> Column:
-        """``body(element, first place, end)`` of each run of equal elements of a sorted array."""
-        n = F.size(ordered)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        each = lambda at: F.transform(at, lambda i, k: _bind(F.get(ordered, i), lambda x: body(x, i, F.coalesce(F.get(at, k + 1), n))))
-        return F.when(n > 0, _bind(starts, each))
+def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(*keys, columns...) with the fingerprints of those text columns, of each row that has a word in any; ``keys`` tell rows apart, by numbers.
 
-    def dealt(ordered: Column) -> Column:
-        """For each occurrence of a word: bin (6 bits) and word (58 bits)."""
-        place = lambda h, j: F.shiftleft(F.xxhash64(h, j), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-        return F.flatten(runs(ordered, lambda h, i, end: F.transform(F.sequence(i, end - 1), lambda p: place(h, p - i))))
-
-    def drawn(ordered: Column) -> Column:
-        return F.coalesce(runs(ordered, lambda x, i, end: _sample(x, (end - i).cast("double"))), F.array().cast("array<bigint>"))
-
-    def least(samples: Column) -> Column:
-        """24-bit hex of the first sample of each bin, in order of bins; zeros between."""
-        bin_of = lambda x: F.shiftrightunsigned(x, 58)
-        first = F.filter(samples, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(samples, i - 1))))
-        named = F.map_from_entries(F.transform(first, lambda x: F.struct(bin_of(x).cast("int"), F.lpad(F.hex(x.bitwiseAND(0xFFFFFF)), 6, "0"))))
-        return _bind(named, lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit("000000"))), ""))
-
-    placed = _bind(hashes, lambda h: F.sort_array(F.coalesce(dealt(h), F.array().cast("array<bigint>"))))
-    return _bind(_bind(placed, drawn), lambda s: _bind(F.sort_array(s), least))
+    Needs no shuffle where ``texts`` are partitioned by some of the keys. Words that texts of a row share draw once for all of them. A row draws for
+    A_ROW samples at once: so the compiled loop stays small, and few rows are made.
+    """
+    cut = lambda c: F.split(F.lower(c), r"[\x20\x09-\x0D]+")
+    each = texts.select(*keys, F.posexplode(F.array(*columns)).alias("form", "text"))
+    words = each.select(*keys, "form", F.explode(cut("text")).alias("word")).where("word <> ''")
+    hashed = words.select(*keys, "form", F.xxhash64("word").alias("word"))
+    counted = hashed.groupBy(*keys, "word").agg(*[F.sum((F.col("form") == i).cast("int")).alias(f"n{i}") for i in range(len(columns))])
+    first = F.explode(F.array(*[F.lit(k) for k in range(0, SAMPLES, A_ROW)])).alias("k")
+    weighed = counted.select(*keys, "word", *[F.log(F.col(f"n{i}").cast("double")).alias(f"w{i}") for i in range(len(columns))], first)
+    tables, weights = _tables(), [F.col(f"w{i}") for i in range(len(columns))]
+    least = [F.min(s).alias(f"s{i}_{j}") for j in range(A_ROW) for i, s in enumerate(_samples(F.col("word"), weights, F.col("k") + j, tables))]
+    digits = lambda i: F.concat(*[F.lpad(F.hex(F.col(f"s{i}_{j}").bitwiseAND(0xFFFF)), 4, "0") for j in range(A_ROW)])
+    rows = weighed.groupBy(*keys, "k").agg(*least).select(*keys, F.struct("k", *[digits(i).alias(f"p{i}") for i in range(len(columns))]).alias("part"))
+    parts = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return parts.select(*keys, *[F.array_join(f"parts.p{i}", "").alias(c) for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing bins among those that either fingerprint fills; 1 if neither fills any."""
-    at = lambda f, i: F.substring(f, i * 6 + 1, F.lit(6))
-    filled = F.expr(f"sequence(0, {BINS - 1})")
-    either = F.size(F.filter(filled, lambda i: (at(a, i) != "000000") | (at(b, i) != "000000")))
-    agree = F.size(F.filter(filled, lambda i: (at(a, i) == at(b, i)) & (at(a, i) != "000000")))
-    return F.when(either == 0, F.lit(1.0)).otherwise(agree / either)
+    """Share of equal samples; 1 if neither fingerprint has any, 0 if one has none."""
+    at = lambda f, k: F.substring(f, 4 * k + 1, 4)
+    equal = reduce(add, [(at(a, k) == at(b, k)).cast("int") for k in range(SAMPLES)])
+    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(equal / float(SAMPLES))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -114,22 +115,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last third (rounded down) replaced by as many first characters, or all, of the next document in
     descending id. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Whole texts cross the network once, by id; the second join reuses that exchange and adds the prefixes.
+    Whole texts cross the network once, by id; the join with the prefixes reuses that exchange and the aggregations its partitions.
     """
-    least = F.lit(-(1 << 63)).cast("bigint")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), least).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = save(keyed.groupBy("key").agg(F.max(F.length("text")).alias("n")), "sizes")
     after = save(next_ids(sizes.select("key")).join(sizes, "key").select(F.col("next").alias("key"), F.col("key").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("take")), "after")
-    printed = keyed.withColumn("print", fingerprint(F.col("text")))
-    given = printed.join(after, "key").select("of", F.expr("substring(text, 1, take)").alias("lead"), F.col("print").alias("next_print"))
-    # where rows share an id
-    given = given.groupBy(F.col("of").alias("key")).agg(F.min(F.struct("lead", "next_print")).alias("given"))
-    met = printed.join(given, "key").select("key", "text", "print", "given.lead", "given.next_print", F.length("text").alias("n"))
+    # of rows that share an id the first one by text is the next document
+    rows = keyed.withColumn("row", F.row_number().over(Window.partitionBy("key").orderBy("text")))
+    leads = rows.where("row = 1").join(after, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, take)").alias("lead"))
+    met = rows.join(leads, "key").withColumn("n", F.length("text"))
     third = F.floor(F.col("n") / 3).cast("int")
-    edited = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("lead", F.lit(1), third)))
-    out = edited.select(
-        F.when(F.col("key") != least, F.col("key")).alias(id_col), F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("print").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("lead", F.lit(1), third))
+    made = met.select("key", "row", F.col("n").cast("bigint").alias("n"), "text", edited.alias("edited"))
+    prints = fingerprints(made.select("key", "row", F.col("text").alias("print"), F.col("edited").alias("edited_print")), ["key", "row"], ["print", "edited_print"])
+    said = save(made.select("key", "row", "n", F.sha2("edited", 256).alias("sha")).join(prints, ["key", "row"], "left").na.fill("", ["print", "edited_print"]), "prints")
+    following = after.select("key", "of").join(said.where("row = 1").select("key", F.col("print").alias("next_print")), "key").select(F.col("of").alias("key"), "next_print")
+    near = lambda other: likeness(F.col("print"), F.col(other))
+    return said.join(following, "key").select(
+        F.when(F.col("key") != lowest, F.col("key")).alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+        F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), near("edited_print").alias("near_edited"), near("next_print").alias("near_next"),
     )
-    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return out.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_print").alias("near_next"))
