@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
+def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (a folder for each value of the column ``by``) and return the table read back.
 
     Lineage is cut: what follows survives the loss of any executor and never computes ``df`` again.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
