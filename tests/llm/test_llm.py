@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +116,18 @@ def test_exact_duplicates_as_brute_force(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
 
 
+def test_exact_duplicates_in_shards(docs, monkeypatch):
+    """More hashes than a filter holds: the same rows, by several filters."""
+    want = sorted(exact_dedup.exact_duplicates(docs).collect(), key=str)
+    kept = exact_dedup.drop_duplicates(docs).count()
+    monkeypatch.setattr(bloom, "MOST_WORDS", 8)
+    assert bloom.shards_for(len(messy())) > 3
+    assert sorted(exact_dedup.exact_duplicates(docs).collect(), key=str) == want
+    names = {n: F.lit(4) for n in ("row", "maybe", "_sha", "_id", "_again", "of", "keep_id", "group_size", "bloom_bits", "bloom_word", "shard")}
+    assert exact_dedup.drop_duplicates(docs.withColumns(names)).select(*names).distinct().count() == 1
+    assert exact_dedup.drop_duplicates(docs.withColumns(names)).count() == kept
+
+
 def test_bloom_filter_never_misses_a_repeat(spark):
     hashes = spark.range(3000).select((F.xxhash64(F.col("id") % 2500)).alias("h"))
     bits = bloom.repeated(hashes, F.col("h"), bloom.words_for(3000))
@@ -194,6 +207,34 @@ def test_secrets_dotted_capital_and_both_sides(spark):
     assert clean["text"] == "\u0130zmir: [SECRET] is the api secret"
 
 
+def test_secrets_as_plain_search(spark):
+    """The base kinds by a plain search of whole texts, and a megabyte of sensitive words in linear time."""
+    r = random.Random(13)
+    parts = ["password=", "token: ", "API_KEY='", "AKIA", "secret", " ", "deadbeef", "0123456789abcdef", "Zx9", "/+=", "é", "ABCDEFGH1234", ".", "\n", "passwd", "\u0130", "q8Zr-T4kWx9Lm2Vp7Yc"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 60))), "", "", 0) for i in range(300)] + [(400, None, "", "", 0)]
+    kinds = (
+        (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    )
+    for x in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        text = next(t for i, t, *_ in rows if i == x["doc_id"]) or ""
+        want = sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(kinds) for m in p.finditer(text) if good(m))
+        said = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert x["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [s for s in x["spans"].split(",") if s and not s.startswith("novel")] == said
+        assert [x["n_assign"], x["n_access"], x["n_hex"]] == [sum(k == j for _, k, _ in want) for j in range(3)]
+    start = time.process_time()
+    secrets.scan_text("token " * 170_000, secrets.compressor())
+    assert time.process_time() - start < 10
+
+
+def test_novelty_reach():
+    c, key = secrets.compressor(), "q8Zr-T4kWx9Lm2Vp7Yc"
+    far = f"secret {'road ' * 17}{key}"
+    assert not secrets.scan_text(far, c)[1] and secrets.scan_text(far, c, reach=100)[1]
+
+
 def test_maximal_segments_as_brute_force():
     r = random.Random(6)
     for _ in range(200):
@@ -264,23 +305,59 @@ def test_quality_held_out(spark, docs, empty):
 
 def test_segmentations():
     lat = segmenting.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    ids = lambda raw: np.frombuffer(raw, "<u4").tolist()
     first, weight, n = collections.Counter(), collections.Counter(), 1500
     for key in range(n):
         got = segmenting.sample("the hat", key, lat, 2)
-        assert len({tuple(i) for i, _, _ in got}) == len(got)
-        assert all(segmenting.decode(i, lat) == "the hat" for i, _, _ in got)
-        first[tuple(got[0][0])] += 1
-        for ids, phi, score in got:
-            weight[tuple(ids)] += np.exp(phi) / score
+        assert len({i for i, _, _ in got}) == len(got)
+        assert all(segmenting.decode(ids(i), lat) == "the hat" for i, _, _ in got)
+        first[got[0][0]] += 1
+        for raw, phi, score in got:
+            weight[raw] += np.exp(phi) / score
     assert sum(weight.values()) / n == pytest.approx(1, abs=0.05)
     assert segmenting.sample("the hat", 3, lat, 2) == segmenting.sample("the hat", 3, lat, 2)
-    assert segmenting.sample("", 1, lat) == [([], 0.0, 1.0)]
+    assert segmenting.sample("", 1, lat) == [(b"", 0.0, 1.0)]
+
+
+def test_segmentations_as_enumerated():
+    """All segmentations of short texts: probabilities, all of them for a large k, and how often each comes first and second."""
+    lat = segmenting.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    pieces = {lat.model.id_to_piece(i): i for i in range(lat.model.get_piece_size()) if not (lat.model.is_byte(i) or lat.model.is_control(i) or lat.model.is_unknown(i))}
+
+    def ways(text):
+        if not text:
+            return [((), 1.0)]
+        return [((pieces[text[:m]], *ids), w / (pieces[text[:m]] + segmenting.SMOOTHING)) for m in range(1, len(text) + 1) if text[:m] in pieces for ids, w in ways(text[m:])]
+
+    for text in ("cat", "a b", "to be"):
+        found = {ids: w for ids, w in ways(segmenting.normalise(text))}
+        total = sum(found.values())
+        chance = {np.array(ids, "<u4").tobytes(): w / total for ids, w in found.items()}
+        every = segmenting.sample(text, 7, lat, len(chance) + 5)
+        assert {raw for raw, _, _ in every} == set(chance) and all(s == 1.0 for _, _, s in every)
+        assert all(np.exp(phi) == pytest.approx(chance[raw]) for raw, phi, _ in every)
+        n, first, second = 3000, collections.Counter(), collections.Counter()
+        for key in range(n):
+            (a, _, _), (b, _, _) = segmenting.sample(text, key, lat, 2)
+            first[a] += 1
+            second[b] += 1
+        for raw, p in chance.items():
+            q = sum(o * p / (1 - o) for other, o in chance.items() if other != raw)
+            for got, want in ((first[raw] / n, p), (second[raw] / n, q)):
+                assert abs(got - want) < 4.5 * np.sqrt(want * (1 - want) / n) + 1e-3
+
+
+def test_segmentations_of_a_long_unit():
+    lat = segmenting.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    text = "abcxyz" * 3000 + "\u4e00\U0001f600" * 50
+    for raw, phi, score in segmenting.sample(text, 1, lat):
+        assert segmenting.decode(np.frombuffer(raw, "<u4").tolist(), lat) == text and phi < 0 < score <= 1
 
 
 def test_segmentations_table(docs, empty):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     got = segmenting.segmentations(docs.where("doc_id is null or doc_id >= 100"), path, 2).collect()
-    assert all(x["round_trip"] for x in got) and {x["doc_id"] for x in got} >= {200, 201, 202, 207, None}
+    assert all(x["round_trip"] and len(x["ids"]) == x["n_pieces"] and zlib.crc32(np.array(x["ids"], "<u4").tobytes()) == x["ids_crc32"] for x in got) and {x["doc_id"] for x in got} >= {200, 201, 202, 207, None}
     assert segmenting.segmentations(empty, path).count() == 0
 
 
@@ -326,6 +403,62 @@ def test_urls(spark):
         assert x["verdict"] in ("allow", "block") and verdict in (None, x["verdict"])
 
 
+def test_urls_on_unknown_hosts(spark, empty):
+    """Hosts that the labelled table lacks; and the model's score computed plainly."""
+    bad, good = "mega-casino pokerbets pill-shop adult-cams spam-links ads-click".split(), "gardening histories weatherman mathematics thoughts museums".split()
+    assert not set(bad + good) & set(urls.BLOCKED_HOSTS + urls.ALLOWED_HOSTS)
+    rows = [(i, f"https://www.{h}.net/en/{i}") for i, h in enumerate(bad + good)]
+    weights = urls.learn()
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit(1) for n in ("host", "path", "score", "rule", "verdict")}), weights).collect()}
+    right = sum((got[i]["verdict"] == "block") == (i < len(bad)) for i in got)
+    assert right >= 11
+    for i, url in rows:
+        f = urls._features(*urls._split(url))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(len(f)) + weights[-1]))))
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), weights).count() == 0
+
+
+def test_language_as_plain_distance(spark, docs):
+    """Out-of-place distances by dictionaries and loops."""
+    profiles = language.learn(docs)
+
+    def grams(text):
+        padded, out = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ", collections.Counter()
+        code = lambda s: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(s)))
+        for k, c in enumerate(padded):
+            if c != " ":
+                out[code(c)] += 1
+                if 0 < k < len(padded) - 1:
+                    out[code(padded[k - 1 : k + 2])] += 1
+            if k + 1 < len(padded) and (c != " " or padded[k + 1] != " "):
+                out[code(padded[k : k + 2])] += 1
+        return sorted(out, key=lambda g: (-out[g], g))[: language.OWN]
+
+    names = ("plain_lang", "plain_score", "plain_distance")
+    for x in language.identify(docs.withColumn("score", F.lit(0.5)), profiles, out=names).collect():
+        own = grams(x["text"] or "")
+        away = {n: sum(min(abs(r - p.index(g)), language.PROFILE) if g in p else language.PROFILE for r, g in enumerate(own)) / (language.PROFILE * max(1, len(own))) for n, p in profiles.items()}
+        assert x["score"] == 0.5 and x["plain_lang"] == (min(sorted(away), key=away.get) if own else "und")
+        assert not own or x["plain_distance"] == pytest.approx(min(away.values()))
+    with pytest.raises(ValueError):
+        language.identify(docs.withColumn("Score", F.lit(0.5)), profiles)
+
+
+def test_pipeline_with_clashing_columns_and_null_ids(spark):
+    """Every stage on null and repeated ids, columns by any name, and empty tables."""
+    import corpus_pipeline
+
+    names = ("score", "lang_pred", "distance", "gone", "maybe_gone", "maybe", "row", "id", "_sha", "_id", "_again", "component", "bloom_bits")
+    table = spark.createDataFrame(messy(), SCHEMA).withColumns({n: F.lit(0.25) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, "")
+        if name != "packing":
+            assert got.columns == table.columns
+            assert {tuple(r[n] for n in names) for r in got.collect()} == {(0.25,) * len(names)}
+            assert [r for r in got.where("doc_id is null").collect()]
+        assert stage(spark, table.limit(0), "").count() == 0
+
+
 def test_pipeline_as_plain_python(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_WORDS = 1 << 25
+#: Hashes a word, up to which a filter of MOST_WORDS words spares most shuffles; more hashes are dealt into several filters (``exact_dedup``).
+FULL_WORDS = 2
 _WORDS_A_BUCKET = 2048
 #: Above this many hashes in one word its 4-bit counters could overflow; all its cells then count as repeated, as they do where the sum itself does.
 _FULL = 15
@@ -21,9 +23,9 @@ def words_for(n: int) -> int:
     return min(MOST_WORDS, 1 << max(11, (2 * max(n, 1) - 1).bit_length()))
 
 
-def saturated(n: int, words: int) -> bool:
-    """With over four hashes a word most probes succeed, so the filter no longer spares a shuffle."""
-    return n > 4 * words
+def shards_for(n: int) -> int:
+    """Filters that ``n`` hashes take."""
+    return max(1, -(-n // (FULL_WORDS * MOST_WORDS)))
 
 
 def _place(h: Column, words: int) -> tuple[Column, Column, Column]:

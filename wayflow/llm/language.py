@@ -5,13 +5,13 @@ the most frequent grams by rank. A text's distance to a language is the sum over
 the difference in rank, or the most possible for grams that the language's profile lacks, as a share of the most possible.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and distance 1, and so is any text when
-nothing was learned. Ties go to the language that sorts first. Whole texts are read; other columns are passed on.
+nothing was learned. Ties go to the language that sorts first. Whole texts are read; other columns are passed on. Repeated rows
+are each judged. An empty table teaches nothing and gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import training
+from .batches import Batches, map_batches
 
 PROFILE, OWN = 400, 300  # grams in a language's profile and in a text's
 SAMPLE_ROWS = 2000  # learned from about so many texts of each language
@@ -52,13 +53,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     """Profiles from rows that are not held out. What reaches the driver is PROFILE codes a language."""
     picked = training.sample(docs, None, lang_col, rows, id_col, text_col)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Batches) -> Batches:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes, counts = gram_counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
 
-    counted = picked.select("text", F.col("label").cast("string")).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = map_batches(picked.select("text", F.col("label").cast("string")), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= PROFILE)
     out: dict[str, list[int]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):
@@ -66,8 +67,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and distance (0 to 1, to the language named)."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "distance")) -> DataFrame:
+    """``docs`` with three more columns, by the names in ``out``: language, score (0 to 1) and distance (0 to 1, to the language named).
+
+    A column of ``docs`` by one of these names is an error: give other names.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     names = sorted(profiles)
     tables = []
     for name in names:
@@ -89,13 +95,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         best = int(away.argmin())
         return names[best], float(likely[best] / likely.sum()), float(away[best])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             found = [judge(x.as_py()) for x in batch.column(at_text)]
             more = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *out])
 
-    docs = docs.drop("lang_pred", "score", "distance")
     at_text = docs.columns.index(text_col)
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    added = [T.StructField(n, t) for n, t in zip(out, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *added]))

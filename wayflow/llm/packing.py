@@ -19,7 +19,7 @@ import itertools
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import save
+from .batches import Batches, map_batches
 
 CAPACITY, GRID, END_ID = 2048, 8, 1
 _CACHE = 900_000
@@ -85,7 +86,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens) of each full sequence and each rest of every text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encode = encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -107,7 +108,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, T.StructType([ids.schema.fields[0], *(T.StructField(n, T.LongType()) for n in names[1:])]))
+    return map_batches(ids, run, T.StructType([ids.schema.fields[0], *(T.StructField(n, T.LongType()) for n in names[1:])]))
 
 
 def _price(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -160,8 +161,7 @@ def solve(counts: np.ndarray, room: int, most: int = 2000) -> list[tuple[np.ndar
     inverse = np.diag(1 / (room // (have + 1)).astype(float))
     need = counts[have].astype(float)
     used = need * inverse.diagonal()
-    first = _first_fit(counts, room)
-    pool = np.array([p for p, _ in first])
+    pool = np.array([p for p, _ in _first_fit(counts, room)])
     bound = need @ (have + 1.0) / room
     for _ in range(most):
         own = inverse.sum(axis=0)
@@ -192,9 +192,7 @@ def solve(counts: np.ndarray, room: int, most: int = 2000) -> list[tuple[np.ndar
         if times > 0:
             out.append((columns[:, k].copy(), int(times)))
             left -= columns[:, k] * times
-    out += _first_fit(left, room)
-    # rounding may cost more than the program gained
-    return min(out, first, key=lambda plan: sum(k for _, k in plan))
+    return out + _first_fit(left, room)
 
 
 def _plan(counts: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:

@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmenting.segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return segmenting.segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,11 @@ probability; taking that entry again gives the best of them.
 A sample's inclusion score is the probability that its perturbed value exceeds the (k+1)-th largest, given that value. Random
 numbers are seeded by the row key, so a row's samples don't depend on partitions or order.
 
-Pieces never reach across the start of a run of blanks, so lattices are built for each such unit and kept by spelling.
+Pieces never reach across the start of a run of blanks, so lattices are built for each such unit and kept by spelling, KEPT of them at most.
 
 Defined cases: a null or empty text has one empty segmentation, with score 1. A text with fewer than k segmentations gives all of them.
-Characters outside the vocabulary are one forced edge of byte pieces. Other columns are ignored.
+Characters outside the vocabulary are one forced edge of byte pieces. Rows that share an id and a text have the same samples. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import heapq
 import itertools
 import math
 import re
-from collections.abc import Iterator
-from operator import itemgetter
+import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import Batches, map_batches
+
 SAMPLES, SMOOTHING = 2, 50.0
+KEPT = 40_000
 _BLANK = "▁"
 _UNIT = re.compile(f"{_BLANK}+[^{_BLANK}]*|[^{_BLANK}]+")
-_KEPT = 150_000
-_last = itemgetter(2)
+_LEAST = 1e-300
+
+#: An edge: length in characters, ids as little-endian bytes, probability given its start, and what its start's other edges have together.
+Edge = tuple[int, bytes, float, float]
+#: A place: the running sums of its edges' probabilities, all but the last, and the edges.
+Place = tuple[tuple[float, ...], tuple[Edge, ...]]
 
 
 class Lattice:
@@ -57,37 +65,45 @@ class Lattice:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.ids[piece] = i
         self.longest = max(map(len, self.ids), default=1)
-        self.weight = [-math.log(i + SMOOTHING) for i in range(n)]
-        self.kept: dict[str, tuple] = {}
-
-    def unit(self, text: str) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-        """Edges of a unit in order of their starts: rows of start and length in characters and log-probability given the start; ids."""
+        for piece in list(self.ids):  # beginnings of pieces that are none themselves, so that a look-up ends at the first failure
+            for end in range(1, len(piece)):
+                self.ids.setdefault(piece[:end], -1)
+        self.weight = [1 / (i + SMOOTHING) for i in range(n)]
+        self.code = [i.to_bytes(4, "little") for i in range(n)]
+        self.kept: dict[str, list[Place]] = {}
+
+    def unit(self, text: str) -> list[Place]:
+        """The places of a unit, one for each character."""
         if (found := self.kept.get(text)) is not None:
             return found
-        n, look, weight = len(text), self.ids.get, self.weight
-        spans = [[] for _ in range(n)]
-        after = [0.0] * (n + 1)  # log of the sum over all paths from here to the end
+        n, look, weight, code = len(text), self.ids.get, self.weight, self.code
+        places: list[Place] = [((), ())] * n
+        after = [1.0] * (n + 1)  # the sum over all paths from here to the end, up to a factor
         for i in range(n - 1, -1, -1):
-            here = spans[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (k := look(text[i:j])) is not None:
-                    here.append((j - i, (k,), weight[k] + after[j]))
+            here = []
+            for j in range(i + 1, n + 1):
+                if (k := look(text[i:j])) is None:
+                    break
+                if k >= 0:
+                    here.append((j - i, code[k], weight[k] * after[j]))
             if not here or here[0][0] > 1:
-                raw = tuple(self.bytes.get(b, 0) for b in text[i].encode())
-                here.insert(0, (1, raw, sum(weight[k] for k in raw) + after[i + 1]))
+                raw = [self.bytes.get(b, 0) for b in text[i].encode()]
+                here.insert(0, (1, b"".join([code[k] for k in raw]), math.prod([weight[k] for k in raw]) * after[i + 1]))
             if len(here) == 1:
                 after[i] = here[0][2]
+                places[i] = (), ((here[0][0], here[0][1], 1.0, 0.0),)
             else:
-                top = max(here, key=_last)[2]
-                after[i] = top + math.log(sum(math.exp(v - top) for _, _, v in here))
-        # the numbers of a unit in one array, one copy each for a text
-        out = (
-            np.array([(i, m, v - after[i]) for i, here in enumerate(spans) for m, _, v in here]).T,
-            [k for here in spans for _, k, _ in here],
-        )
-        if len(self.kept) < _KEPT:
-            self.kept[text] = out
-        return out
+                after[i] = total = sum([v for _, _, v in here])
+                sums = list(itertools.accumulate([v / total for _, _, v in here]))
+                later = list(itertools.accumulate([v / total for _, _, v in reversed(here)], initial=0.0))[-2::-1]
+                edges = [(m, c, v / total, before + rest) for (m, c, v), before, rest in zip(here, (0.0, *sums), later, strict=False)]
+                places[i] = tuple(sums[:-1]), tuple(edges)
+            if after[i] < 1e-100:  # what comes before sees no farther than the longest piece
+                for j in range(i, min(n, i + self.longest) + 1):
+                    after[j] *= 1e100
+        if len(self.kept) < KEPT:
+            self.kept[text] = places
+        return places
 
 
 @functools.cache
@@ -102,100 +118,101 @@ def normalise(text: str) -> str:
 
 def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel about ``location`` given that it does not exceed ``top``, in a form that loses no digits."""
-    v = top - (location - np.log(-np.log(u))) + np.log1p(-np.exp(np.minimum((location - np.log(-np.log(u))) - top, -1e-12)))
+    free = location - np.log(-np.log(u))
+    v = top - free + np.log1p(-np.exp(np.minimum(free - top, -1e-12)))
     return top - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
 
 
-def sample(text: str, key: int, lat: Lattice, k: int = SAMPLES) -> list[tuple[list[int], float, float]]:
-    """Up to ``k`` distinct segmentations as (ids, log-probability, inclusion score), the largest perturbed value first."""
+def sample(text: str, key: int | None, lat: Lattice, k: int = SAMPLES) -> list[tuple[bytes, float, float]]:
+    """Up to ``k`` distinct segmentations as (ids in little-endian bytes, log-probability, inclusion score), the largest perturbed value first."""
     units = _UNIT.findall(normalise(text))
     if not units:
-        return [([], 0.0, 1.0)]
+        return [(b"", 0.0, 1.0)]
     parts = [lat.unit(u) for u in units]
-    shift = np.cumsum([0, *(len(u) for u in units)])
-    flat = np.concatenate([p[0] for p in parts], axis=1)
-    starts = flat[0].astype(np.int64) + np.repeat(shift[:-1], [len(p[1]) for p in parts])
-    lengths, chances = flat[1].astype(np.int64), flat[2]
-    ids = list(itertools.chain.from_iterable(p[1] for p in parts))
-    n = int(shift[-1])
-    first = np.searchsorted(starts, np.arange(n + 1))  # edges of a place: first[p] up to first[p + 1]
-    upto = np.cumsum(np.exp(chances))
-    before = np.concatenate([[0.0], upto])[first]  # probability mass of the edges before a place
+    starts = list(itertools.accumulate(map(len, units), initial=0))
     random = np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(str(key).encode(), 12)))
-    ends = (starts + lengths).tolist()
+    uniform = lambda n: np.clip(random.random(n), 1e-12, 1 - 1e-12)
 
-    def follow(place: int) -> list[int]:
+    def follow(place: int) -> list[Edge]:
         """A path from ``place`` to the end, drawn by the lattice's probabilities."""
-        u = random.random(n + 1)[:n]
-        chosen = np.clip(np.searchsorted(upto, before[:-1] + u * (before[1:] - before[:-1]), "right"), first[:-1], first[1:] - 1).tolist()
-        path = []
-        while place < n:
-            path.append(chosen[place])
-            place = ends[chosen[place]]
+        draw = iter(random.random(starts[-1] - place).tolist()).__next__
+        at = bisect_right(starts, place) - 1
+        inside, path = place - starts[at], []
+        add = path.append
+        for places in parts[at:]:
+            n = len(places)
+            while inside < n:
+                sums, edges = places[inside]
+                edge = edges[bisect_right(sums, draw())] if sums else edges[0]
+                add(edge)
+                inside += edge[0]
+            inside = 0
         return path
 
-    queue: list[tuple[float, int, float, tuple[int, ...], int, frozenset[int]]] = []
-    taken: list[tuple[tuple[int, ...], float, float]] = []  # path, log-probability, perturbed value
+    taken: list[tuple[list[Edge], float, float]] = []  # path, log-probability, perturbed value
+    # least perturbed value first: it, a number, path and step at which the branches were left aside, log-probability up to there, place, edges used
+    queue: list[tuple[float, int, int, int, float, int, tuple[Edge, ...]]] = []
 
-    def spread(prefix: tuple[int, ...], phi: float, value: float, place: int) -> None:
+    def spread(prefix: list[Edge], phi: float, value: float, place: int) -> None:
         """Takes the best path under a prefix and queues what it leaves aside, a branching at a time."""
-        path = np.array(follow(place), np.int64)
-        down = np.concatenate([[0.0], np.cumsum(chances[path])])
-        rest = -np.expm1(np.minimum(chances[path], 0))
-        branch = np.flatnonzero(first[starts[path] + 1] - first[starts[path]] > 1)
-        if len(branch):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                location = phi + down[branch] + np.log(np.maximum(rest[branch], 1e-300))
-                found = _cut_gumbel(location, np.full(len(branch), value), np.clip(random.random(len(branch)), 1e-12, 1 - 1e-12))
+        path = follow(place)
+        if path:
+            lengths, _, chances, rests = zip(*path, strict=True)
+            down = phi + np.concatenate([[0.0], np.cumsum(np.log(chances))])
+            rest = np.array(rests)
+            branch = np.flatnonzero(rest)
+            found = _cut_gumbel(down[branch] + np.log(rest[branch]), value, uniform(len(branch)))
             # no more than k of one path's branchings can be needed
-            for b in np.argsort(-found, kind="stable")[: k + 1].tolist():
+            best = np.argpartition(-found, k)[: k + 1] if len(found) > k + 1 else np.arange(len(found))
+            places = place + np.cumsum((0, *lengths))
+            for b in best.tolist():
                 at = int(branch[b])
-                heapq.heappush(queue, (-float(found[b]), len(queue) + 1000 * len(taken), phi + float(down[at]), prefix + tuple(path[:at].tolist()), int(starts[path[at]]), frozenset([int(path[at])])))
-        taken.append((prefix + tuple(path.tolist()), phi + float(down[-1]), value))
-
-    spread((), 0.0, float(-np.log(-np.log(np.clip(random.random(), 1e-12, 1 - 1e-12)))), 0)
-    while queue and len(taken) <= k:
-        value, order, phi, prefix, place, used = heapq.heappop(queue)
-        free = [e for e in range(first[place], first[place + 1]) if e not in used]
-        mass = np.exp(chances[free])
+                heapq.heappush(queue, (-float(found[b]), len(queue) + 1000 * len(taken), len(taken), len(prefix) + at, float(down[at]), int(places[at]), (path[at],)))
+            phi = float(down[-1])
+        taken.append((prefix + path, phi, value))
+
+    spread([], 0.0, float(-np.log(-np.log(uniform(1)[0]))), 0)
+    while queue and len(taken) < k:
+        value, order, parent, step, phi, place, used = heapq.heappop(queue)
+        at = bisect_right(starts, place) - 1
+        free = [e for e in parts[at][place - starts[at]][1] if not any(e is x for x in used)]
+        mass = np.array([e[2] for e in free])
         edge = free[min(len(free) - 1, int(np.searchsorted(np.cumsum(mass), random.random() * mass.sum(), "right")))]
         if len(free) > 1:
-            left = mass.sum() - np.exp(chances[edge])
-            again = _cut_gumbel(np.array([phi + np.log(max(left, 1e-300))]), np.array([-value]), np.clip(random.random(1), 1e-12, 1 - 1e-12))[0]
-            heapq.heappush(queue, (-float(again), order, phi, prefix, place, used | {edge}))
-        spread((*prefix, edge), phi + float(chances[edge]), -value, ends[edge])
-    bound = taken[k][2] if len(taken) > k else -np.inf
-    out = []
-    for path, phi, _ in taken[:k]:
-        score = 1.0 if bound == -np.inf else float(-np.expm1(-np.exp(min(phi - bound, 700))))
-        out.append(([i for e in path for i in ids[e]], float(phi), score))
-    return out
+            left = max(sum(e[2] for e in free if e is not edge), _LEAST)
+            again = _cut_gumbel(np.array([phi + math.log(left)]), -value, uniform(1))[0]
+            heapq.heappush(queue, (-float(again), order, parent, step, phi, place, (*used, edge)))
+        spread([*taken[parent][0][:step], edge], phi + math.log(edge[2]), -value, place + edge[0])
+    bound = -queue[0][0] if queue and len(taken) == k else -math.inf  # the (k+1)-th largest
+    score = lambda phi: 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(phi - bound, 700)))
+    return [(b"".join([e[1] for e in path]), phi, score(phi)) for path, phi, _ in taken]
 
 
 def decode(ids: list[int], lat: Lattice) -> str:
     return lat.model.decode(ids)
 
 
-def segmentations(docs: DataFrame, path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per sample: id, sample (1 to k), n_pieces, ids_crc32, log_prob, inclusion, round_trip (decoding gives the text), and ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+def segmentations(docs: DataFrame, path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per sample: id, sample (1 to k), ids, n_pieces, ids_crc32, log_prob, inclusion, round_trip (decoding the ids gives the text)."""
 
+    def run(batches: Batches) -> Batches:
         lat = lattice(path)
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.slice(i, 64)
-                row, rows = [], []
+                row, raws, rows = [], [], []
                 for at, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    for number, (ids, phi, score) in enumerate(sample(text or "", key, lat, k), 1):
+                    for number, (raw, phi, score) in enumerate(sample(text or "", key, lat, k), 1):
                         row.append(at)
-                        rows.append((number, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), phi, score, decode(ids, lat) == (text or ""), ids))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
-                cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds[: 7 if with_ids else 6])]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *cols], names)
-
-    names = [id_col, "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion", "round_trip", *(["ids"] if with_ids else [])]
+                        raws.append(raw)
+                        rows.append((number, len(raw) // 4, zlib.crc32(raw), phi, score, decode(np.frombuffer(raw, "<u4").tolist(), lat) == (text or "")))
+                flat = pa.array(np.frombuffer(b"".join(raws), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[1] for r in rows)]), pa.int32()), flat)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+                number, *others = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), number, ids, *others], names)
+
+    names = [id_col, "sample", "ids", "n_pieces", "ids_crc32", "log_prob", "inclusion", "round_trip"]
     ids = docs.select(F.col(id_col), F.col(text_col))
-    kinds = (T.IntegerType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.ArrayType(T.IntegerType()))
-    return ids.mapInArrow(run, T.StructType([ids.schema.fields[0], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=False))]))
+    kinds = (T.IntegerType(), T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    return map_batches(ids, run, T.StructType([ids.schema.fields[0], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))]))

@@ -8,13 +8,13 @@ score S among n tokens is worth ``lambda S - ln(K n)`` (extreme-value statistics
 A text's worth, over all significant segments, becomes a probability by logistic calibration.
 
 Defined cases: a null text counts as empty; a text without tokens has no segments and gets the score of worth 0.
-Without labels of both kinds the score is the share of toxic labels. Whole texts are read.
+Without labels of both kinds the score is the share of toxic labels. Whole texts are read. Rows that share an id are each scored; their
+label is the largest. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import training
+from .batches import Batches, map_batches
 
 SAMPLE_ROWS = 10_000  # learned from about so many labelled texts of either kind
-MOST_TOKENS = 20_000  # tokens with a score, the surest first
 STEM, PRIOR_SHARE, DRIFT, LEAST_Z = 5, 0.05, 0.08, 3.0  # the prior weighs this share of all tokens counted
 #: A segment counts if fewer than so many such would be expected in a clean text.
 EXPECTED = 0.01
@@ -112,19 +112,19 @@ def _rate(values: np.ndarray, shares: np.ndarray) -> float:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Token scores, extreme-value constants and calibration from rows that are not held out.
 
-    The driver gets MOST_TOKENS tokens and two numbers for each sampled text.
+    The driver gets the tokens of the bounded sample that are sure enough (LEAST_Z), and two numbers for each sampled text.
     """
     n_good, n_bad = training.label_counts(labels, label, id_col)
     picked = training.sample(docs, labels, label, rows, id_col, text_col)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Batches) -> Batches:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = sorted(set(tokens(text)))  # repeats within a text say nothing new
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y] * len(words), pa.int64())], ["token", "y"])
 
     texts = picked.select("text", F.col("label").cast("long").alias("y"))
-    counted = texts.mapInArrow(count, "token string, y long").groupBy("token").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    counted = map_batches(texts, count, "token string, y long").groupBy("token").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     totals = counted.agg(F.sum("bad"), F.sum("good")).first()
     bad, good = float(totals[0] or 0), float(totals[1] or 0)
     if not bad or not good:
@@ -135,14 +135,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     b, g = F.col("bad") + prior, F.col("good") + prior
     odds = F.log(b / (bad + mass - b)) - F.log(g / (good + mass - g))
     sure = counted.select("token", "bad", "good", odds.alias("odds"), (odds / F.sqrt(1 / b + 1 / g)).alias("z")).where(F.abs("z") >= LEAST_Z)
-    surest = sure.orderBy(F.desc(F.abs("z")), "token").limit(MOST_TOKENS).collect()
+    surest = sure.collect()
     model = Model({r["token"]: r["odds"] - DRIFT for r in surest})
     values = np.array([*(r["odds"] - DRIFT for r in surest), -DRIFT])
     shares = np.array([*(r["good"] / good for r in surest), 0.0])
     shares[-1] = 1 - shares.sum()
     model.rate = min(_rate(values, shares), 4.0)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Batches) -> Batches:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
@@ -150,17 +150,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                 out.append((n, max((s for s, _, _ in found), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64()), batch.column(1)], ["n", "s", "y"])
 
-    clean = texts.where("y = 0").mapInArrow(best, "n long, s double, y long").where("n > 0 and s > 0").select("n", "s").toPandas()
+    clean = map_batches(texts.where("y = 0"), best, "n long, s double, y long").where("n > 0 and s > 0").select("n", "s").toPandas()
     if len(clean):
         # mean of exp(-lambda S) over texts of n tokens is about 1 / (K n)
         model.size = float(np.clip(1 / np.mean(np.exp(-np.minimum(model.rate * clean["s"], 500)) * clean["n"]), 1e-6, 10.0))
 
-    def worths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worths(batches: Batches) -> Batches:
         for batch in batches:
             out = [worth(x, model) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), batch.column(1)], ["w", "best", "y"])
 
-    seen = texts.mapInArrow(worths, "w double, best double, y long").toPandas()
+    seen = map_batches(texts, worths, "w double, best double, y long").toPandas()
     x = np.array([_features(*r) for r in zip(seen["w"], seen["best"], strict=True)])
     y = seen["y"].to_numpy().astype(float)
     model.weights = training.fit_logistic(x, y)
@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score (0 to 1), n_segments, worth, passages (first:last word numbers of the significant segments)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             rows, said = [], []
             for text in batch.column(1):
@@ -189,4 +189,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [id_col, "score", "n_segments", "worth", "passages"]
     ids = docs.select(id_col, text_col)
     kinds = (T.DoubleType(), T.LongType(), T.DoubleType(), T.StringType())
-    return ids.mapInArrow(run, T.StructType([ids.schema.fields[0], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))]))
+    return map_batches(ids, run, T.StructType([ids.schema.fields[0], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))]))
