@@ -33,13 +33,40 @@ def test_levels_percentiles_delay(spark):
 
 
 def test_clock(spark):
-    for text, want in (("18:45", 67500), ("8:05am", 29100), ("7pm", 68400), ("0845", 31500), ("soon", 30600)):
+    for text, want in (("18:45", 67500), ("8:05am", 29100), ("7pm", 68400), ("0845", 31500), ("soon", 32400), ("9h30", 34200), ("at 9:30", 34200), ("9 30", 34200), ("12am", 0), ("99:99", 86340)):
         assert value(spark, tf.parse_clock(F.lit(text))) == want
 
 
 def test_sound_key(spark):
     keys = {value(spark, tf.sound_key(F.lit(x))) for x in ("Parkk Sirkus", "park sirkus", "Parksircus", "Park Circus")}
     assert len(keys) == 1
+    for text, want in (("shahid", "shahid"), ("dhaka", "dhaka"), ("budh", "bud"), ("phil rick", "filrik"), ("Circe Quay", "sirsekuay"), ("chowringhee", "khowringhe")):
+        assert value(spark, tf.sound_key(F.lit(text))) == want
+
+
+def test_names(spark):
+    for text, want in (("Café Royal", "cafe royal"), ("Zürich", "zurich"), ("Stra\u00dfe", "strae"), ("e\u0301tude", "etude"), ("\ufb01eld \u00bd", "field 12"), ("a - b", "a   b"), ("\u09aa\u09be\u09b0\u09cd\u0995, 7?", "7"), ("\u09aa\u09be\u09b0\u09cd\u0995!", "\u09aa\u09be\u09b0\u09cd\u0995"), ("", ""), (None, "")):
+        assert value(spark, tf.normalise_name(F.lit(text).cast("string"))) == want
+
+
+def test_incident_envelope(spark):
+    from wayflow.operators import trips as tr
+
+    for u, want in ((0.0, 0.0), (0.06, 0.5), (0.12, 1.0), (0.56, 1 - 0.5**1.4), (1.0, 0.0)):
+        assert value(spark, tr.incident_envelope(F.lit(100.0 + 1000 * u), F.lit(100.0), F.lit(1000.0))) == pytest.approx(want)
+
+
+def test_feedback_and_preference(spark):
+    from wayflow.operators import routes as rt
+
+    votes = [(1, 1, "A", 0.75, True), (1, 1, "B", 0.25, True), (1, 2, "A", 1.0, False), (2, 1, "C", 0.001, False)]
+    got = {(r["user_id"], r["name"]): (r["bias"], round(r["risk"], 6), r["trips"]) for r in rt.learn_feedback(spark.createDataFrame(votes, "user_id long, seq long, name string, share double, up boolean")).collect()}
+    assert got == {(1, "A"): (1.08, 0.88, 2), (1, "B"): (0.92, 0.88, 2), (2, "C"): (1.0, 0.92, 1)}
+    edges = spark.createDataFrame([(1, 7, "lane"), (2, 3, "A"), (3, 6, "x")], "edge long, rank int, name string")
+    users = spark.createDataFrame([(1, 1.0, 0.5, 0.2, {"A": 1.08})], "user_id long, avoid_narrow double, prefer_arterial double, size_penalty double, road_bias map<string,double>")
+    asked = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "user_id long, edge long")
+    got = {r["edge"]: round(r["factor"], 6) for r in rt.edge_preference(asked, edges, users).collect()}
+    assert got == {1: 2.22, 2: 0.9828, 3: 1.85}
 
 
 def test_fused_anomaly_and_memory(spark):

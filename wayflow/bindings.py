@@ -135,6 +135,16 @@ INCIDENTS = """incidents AS (SELECT event_id AS incident, epoch_us(ts) / 1000000
  least(value / 50, 0.95) AS severity, [(user_id % 100) * 4, (user_id % 100) * 4 + 1] AS edges, [1.0, 0.5] AS weights FROM events WHERE event_type = 'error')"""
 
 
+def asked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, edge): the edges out of the node that a customer's orders start from, for all customers with orders."""
+    e = edges(spark, sf_dir).select("edge", "u")
+    start = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct().crossJoin(e.agg((F.max("u") + 1).alias("n")))
+    return start.select("user_id", (F.col("user_id") % F.col("n")).alias("u")).join(e, "u").select("user_id", "edge")
+
+
+ASKED = "asked AS (SELECT DISTINCT o_custkey AS user_id, e.edge FROM orders, (SELECT max(u) + 1 AS n FROM edges) AS m, edges e WHERE e.u = o_custkey % m.n)"
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as scored trips of three routing methods."""
     o = table(spark, sf_dir, "orders")

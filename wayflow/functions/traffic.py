@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,29 +98,51 @@ def format_clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
 
 
-def parse_clock(text: Column, default: float = 30600.0) -> Column:
-    """'8:45', '0845', '8.45am', '7pm' as seconds past midnight; otherwise the default."""
-    s = F.lower(F.trim(text))
-    rule = r"^(\d{1,2})(?:[:.]?(\d{2}))?\s*(am|pm)?$"
-    h, m, half = (F.regexp_extract(s, rule, i) for i in (1, 2, 3))
+def parse_clock(text: Column, default: float = 32400.0) -> Column:
+    """The first clock time in a text ('8:45', '0845', '8.45am', 'at 9h30', '7pm') as seconds past midnight; otherwise the default."""
+    s = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("."), F.lit(":"))
+    h, m, half = (F.regexp_extract(s, r"(\d{1,2})[:h ]?(\d{2})?\s*(am|pm)?", i) for i in (1, 2, 3))
     hour = h.try_cast("int")
     hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
-    minute = F.coalesce(m.try_cast("int"), F.lit(0))
-    seconds = F.least(hour, F.lit(23)) * 3600 + F.least(minute, F.lit(59)) * 60
+    seconds = F.least(hour, F.lit(23)) * 3600 + F.least(F.coalesce(m.try_cast("int"), F.lit(0)), F.lit(59)) * 60
     return F.coalesce(F.when(h != "", seconds.cast("double")), F.lit(default))
 
 
+@functools.cache
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters of the basic plane whose compatibility form has ASCII characters: those with one, its partners, and those with several."""
+    one, to, more = [], [], {}
+    for code in range(0x80, 0x10000):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one.append(chr(code))
+            to.append(plain)
+        elif plain:
+            more[chr(code)] = plain
+    return "".join(one), "".join(to), more
+
+
+def plain_ascii(text: Column) -> Column:
+    """ASCII of the compatibility decomposition: accents fold, what has no ASCII form is dropped."""
+    one, to, more = _plain_letters()
+    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    spelt = F.when(text.rlike("[" + "".join(more) + "]"), each).otherwise(text)
+    folded = F.regexp_replace(F.translate(spelt, one, to), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+
+
 def normalise_name(text: Column) -> Column:
-    """Lower case, everything but letters, marks and digits of a script as single blanks; Latin only where any is left."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    latin = F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
-    any_script = F.trim(F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(latin != "", latin).otherwise(any_script)
+    """Lower case without accents, each run of other characters than letters, digits and blanks a blank; names in other scripts keep their letters, marks and numbers."""
+    whole = F.coalesce(text, F.lit(""))
+    key = F.trim(F.regexp_replace(F.lower(plain_ascii(whole)), "[^a-z0-9 ]+", " "))
+    kept = F.trim(F.regexp_replace(F.lower(whole), r"[^\p{L}\p{M}\p{N}]+", " "))
+    return F.when(key != "", key).otherwise(kept)
 
 
 def sound_key(text: Column) -> Column:
-    """Spelling folded to sound: soft c, hard c/ck/q, ph, silent h; doubled letters and blanks go."""
+    """Spelling folded to sound: soft c, hard c/ck/q, ph, an h that no vowel follows; doubled letters and blanks go."""
     x = normalise_name(text)
-    for rule, put in ((r"c(?=[eiy])", "s"), (r"ck|c|q", "k"), ("ph", "f"), (r"(?<=[a-z])h", ""), (r"(.)\1+", "$1"), (" ", "")):
+    for rule, put in ((r"c(?=[eiy])", "s"), (r"ck|c|q", "k"), ("ph", "f"), (r"h(?![aeiou])", ""), (r"(.)\1+", "$1"), (" ", "")):
         x = F.regexp_replace(x, rule, put)
     return x

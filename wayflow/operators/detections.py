@@ -45,10 +45,26 @@ def frame_stats(points: DataFrame, lengths: DataFrame, view_m: float = 100.0, la
     )
 
 
-def window_observation(frames: DataFrame, most: int = 40, view_m: float = 100.0) -> DataFrame:
-    """(clip, frames, mean_count, speed, queue_m) over the last ``most`` frames of each clip."""
+def class_counts(points: DataFrame) -> DataFrame:
+    """(clip, frame, cls, n)."""
+    return points.groupBy("clip", "frame", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+def window_observation(frames: DataFrame, classes: DataFrame, most: int = 40, view_m: float = 100.0, lanes: int = 2, jam_vpkm: float = 135.0) -> DataFrame:
+    """(clip, frames, mean_count, speed, queue_m, occupancy, density, confidence, classes) over the last ``most`` frames of each clip.
+
+    ``classes``: (clip, frame, cls, n). The mix holds each class's rounded mean a frame, where that isn't 0. Trust falls with density and with few vehicles.
+    """
     last = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("frame")))
     kept = frames.withColumn("back", last).where(F.col("back") <= most)
-    return kept.groupBy("clip").agg(
-        F.count(F.lit(1)).alias("frames"), F.avg("total").alias("mean_count"), F.coalesce(F.median(F.when(F.col("median_speed") > 0, F.col("median_speed"))), F.lit(5.0)).alias("speed"), F.least(F.lit(view_m), 6.0 * F.max("stopped")).alias("queue_m")
-    )
+    seen = kept.groupBy("clip").agg(
+        F.count(F.lit(1)).alias("frames"), F.avg("total").alias("mean_count"), F.coalesce(F.median(F.when(F.col("median_speed") > 0, F.col("median_speed"))), F.lit(5.0)).alias("speed"),
+        F.least(F.lit(view_m), 6.0 * F.avg("stopped")).alias("queue_m"), F.avg("occupancy").alias("occupancy"),
+    )
+    density = F.col("mean_count") / (view_m / 1000.0) / lanes
+    trust = (1 - 0.35 * F.least(F.greatest(density / jam_vpkm, F.lit(0.0)), F.lit(1.0))) * F.least(F.lit(1.0), 0.45 + 0.1 * F.greatest("mean_count", F.lit(1.0)))
+    mean = F.bround(F.col("n") / F.col("frames")).cast("bigint")
+    summed = classes.join(kept.select("clip", "frame"), ["clip", "frame"]).groupBy("clip", "cls").agg(F.sum("n").alias("n")).join(seen.select("clip", "frames"), "clip")
+    mix = summed.select("clip", "cls", mean.alias("mean")).where("mean > 0").groupBy("clip").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", "mean")))).alias("classes"))
+    out = seen.withColumns({"density": density, "confidence": F.least(F.greatest(trust, F.lit(0.12)), F.lit(0.97))})
+    return out.join(mix, "clip", "left").withColumn("classes", F.coalesce("classes", F.create_map().cast("map<string,bigint>")))

@@ -119,9 +119,10 @@ def forecast_profile(state: DataFrame, edges: DataFrame, steps: int = 46, step_s
     return met.withColumn("v", kph).select("edge", "step", F.col("v").alias("kph"), sigma.alias("sigma"), delay.alias("delay_s"))
 
 
-def personalise_profile(profile: DataFrame, edges: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, edge, step, kph, delay_s): riders that filter through gain where it is congested; nobody passes 1.05 x free flow."""
-    met = profile.join(edges.select("edge", F.col("kph").alias("free")), "edge").crossJoin(F.broadcast(users.select("user_id", "bonus", "skill")))
+def personalise_profile(profile: DataFrame, edges: DataFrame, users: DataFrame, asked: DataFrame) -> DataFrame:
+    """(user_id, edge, step, kph, delay_s) of the edges asked for (user_id, edge): riders that filter through gain where it is congested; nobody passes 1.05 x free flow."""
+    wanted = asked.join(users.select("user_id", "bonus", "skill"), "user_id").join(edges.select("edge", F.col("kph").alias("free")), "edge")
+    met = profile.join(wanted, "edge")
     gain = (1 + F.col("bonus") * F.pow(tf.edge_congestion(F.col("kph"), F.col("free")), 1.5)) * F.col("skill")
     return met.select("user_id", "edge", "step", F.least(F.col("kph") * gain, F.col("free") * 1.05).alias("kph"), (F.col("delay_s") * (1 - 0.45 * F.col("bonus"))).alias("delay_s"))
 

@@ -71,13 +71,24 @@ def point_segment_distance(points: DataFrame, edges: DataFrame, reach_m: float =
 
 
 def junction_degree(edges: DataFrame) -> DataFrame:
-    """(node, out_degree, in_degree, junction, weight): a junction has three ways out; its weight grows with degree and class."""
-    out = edges.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"), F.min("rank").alias("best"))
-    into = edges.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    met = out.join(into, "node", "full").select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("best", F.lit(6)).alias("best"))
+    """(edge, out_degree, in_degree, junction, weight) of each edge's tail, where the delay is met: a junction has three ways out.
+
+    The weight grows with the larger degree and with the edge's own class.
+    """
+    out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("out_degree"))
+    into = edges.groupBy(F.col("v").alias("u")).agg(F.count(F.lit(1)).alias("in_degree"))
+    met = edges.select("edge", "u", "rank").join(out, "u").join(into, "u", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     junction = F.col("out_degree") >= 3
-    weight = F.when(junction, tf.clip(F.col("out_degree") / 3, 0.7, 1.8) * F.when(F.col("best") <= 3, 1.0).otherwise(0.55)).otherwise(0.0)
-    return met.select("node", "out_degree", "in_degree", junction.alias("junction"), weight.alias("weight"))
+    worth = F.when(F.col("rank") <= 2, 1.0).when(F.col("rank") <= 4, 0.78).otherwise(0.30)
+    weight = F.when(junction, worth * tf.clip(F.greatest("out_degree", "in_degree") / 3, 0.7, 1.8)).otherwise(0.0)
+    return met.select("edge", "out_degree", "in_degree", junction.alias("junction"), weight.alias("weight"))
+
+
+def render_subset(edges: DataFrame, state: DataFrame, most_rank: int = 5, most: int = 5000) -> DataFrame:
+    """(edge, rank, congestion) of the larger roads, the most congested ones where there are more than ``most``."""
+    met = edges.where(F.col("rank") <= most_rank).join(state.select("edge", F.col("kph").alias("now")), "edge")
+    jam = F.round(tf.edge_congestion(F.col("now"), F.col("kph")), 6)
+    return met.select("edge", "rank", jam.alias("congestion")).orderBy(F.desc("congestion"), "edge").limit(most)
 
 
 def place_anchor(edges: DataFrame) -> DataFrame:

@@ -60,15 +60,20 @@ def traffic_runs(routes: DataFrame, state: DataFrame, edges: DataFrame) -> DataF
 
 
 def direction_steps(routes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(route, run, name, verb, metres): stretches of one road name and the turn into each."""
+    """(route, run, name, verb, metres, seconds): stretches of one road name, the turn into each, and the time at the edges' kph.
+
+    A road without a name goes by its class. The instruction is verb and name.
+    """
     w = Window.partitionBy("route").orderBy("pos")
     bearing = tf.bearing_deg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    met = routes.join(edges.select("edge", "name", "len", bearing.alias("bearing")), "edge")
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.concat(F.translate("hw", "_", " "), F.lit(" road")))
+    met = routes.join(edges.select("edge", named.alias("name"), "len", (F.col("len") / (F.col("kph") / 3.6)).alias("s"), bearing.alias("bearing")), "edge")
     delta = F.round(F.pmod(F.col("bearing") - F.lag("bearing").over(w) + 180, F.lit(360.0)) - 180, 4)
     run = _runs(met.withColumn("delta", delta), "name")
-    turn = F.when(F.abs("d") < 22, "Bear").when(F.abs("d") > 150, "U-turn").when(F.col("d") > 0, "Turn right").otherwise("Turn left")
-    grouped = run.groupBy("route", "run").agg(F.first("name").alias("name"), F.min_by("delta", "pos").alias("d"), F.sum("len").alias("metres"))
-    return grouped.select("route", "run", "name", F.when((F.col("run") == 0) | F.col("d").isNull(), "Head").otherwise(turn).alias("verb"), "metres")
+    side = F.when(F.col("d") > 0, "right").otherwise("left")
+    turn = F.when(F.abs("d") < 20, "Continue onto").when(F.abs("d") > 150, "Make a U-turn onto").otherwise(F.concat(F.when(F.abs("d") > 70, "Turn ").otherwise("Bear "), side, F.lit(" onto")))
+    grouped = run.groupBy("route", "run").agg(F.first("name").alias("name"), F.min_by("delta", "pos").alias("d"), F.sum("len").alias("metres"), F.sum("s").alias("seconds"))
+    return grouped.select("route", "run", "name", F.when((F.col("run") == 0) | F.col("d").isNull(), "Head out on").otherwise(turn).alias("verb"), "metres", "seconds")
 
 
 def route_geometry(routes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,26 +96,32 @@ def sensors_on_route(routes: DataFrame, watch: DataFrame, most: int = 3) -> Data
     return met.withColumn("place", place).where(F.col("place") <= most).select("route", "camera_id", "place")
 
 
-def edge_preference(edges: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, edge, factor): cost factor by taste for main roads, dislike of narrow ones, and learned bias by road name."""
-    narrow = F.when(F.col("lanes") <= 1, 1 + 0.35 * F.col("avoid_narrow")).otherwise(1.0)
+def edge_preference(asked: DataFrame, edges: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, edge, factor) of the edges asked for (user_id, edge): taste for main roads, dislike of narrow ones, the vehicle's bulk, and learned bias by road name."""
+    narrow = F.when(F.col("rank") >= 6, 1 + 0.85 * F.col("avoid_narrow")).otherwise(1.0)
     main = F.when(F.col("rank") <= 3, 1 - 0.18 * F.col("prefer_arterial")).otherwise(1.0)
+    bulk = F.when(F.col("rank") >= 7, 1 + F.col("size_penalty")).otherwise(1.0)
     bias = F.coalesce(F.try_element_at("road_bias", F.col("name")), F.lit(1.0))
-    return edges.crossJoin(F.broadcast(users)).select("user_id", "edge", (narrow * main * bias).alias("factor"))
+    met = asked.join(edges.select("edge", "rank", "name"), "edge").join(users, "user_id")
+    return met.select("user_id", "edge", (narrow * main * bulk * bias).alias("factor"))
 
 
-def learn_feedback(feedback: DataFrame) -> DataFrame:
-    """(user_id, risk, bias, trips) from votes (user_id, seq, share, up) in order; each step clips, so it is a fold over a user's votes."""
-    votes = feedback.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "share", "up"))).alias("v"))
+def learn_feedback(feedback: DataFrame, strength: float = 0.08) -> DataFrame:
+    """(user_id, name, bias, risk, trips) from votes (user_id, seq, name, share, up): ``share`` of the way that the vote's route had on road ``name``.
+
+    A road's bias moves with its share, risk aversion with each vote. Each step clips, so both are folds over a user's votes in order.
+    """
     clip = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c))).alias("v")
 
-    def step(a: Column, v: Column) -> Column:
-        bias = F.round(clip(a["bias"] + F.when(v["up"], -0.32).otherwise(0.32) * v["share"], 0.6, 1.8), 3)
-        risk = clip(a["risk"] + F.when(v["up"], -0.04).otherwise(0.12), 0.0, 2.5)
-        return F.struct(bias.alias("bias"), risk.alias("risk"))
+    def step(now: Column, v: Column) -> Column:
+        new = clip(now + F.when(v["up"], -strength * 4).otherwise(strength * 4) * v["share"], 0.6, 1.8)
+        return F.when(F.abs(new - now) > 1e-3, F.round(new, 3)).otherwise(now)
 
-    out = votes.withColumn("r", F.aggregate("v", F.struct(F.lit(1.0).alias("bias"), F.lit(0.8).alias("risk")), step))
-    return out.select("user_id", "r.bias", "r.risk", F.size("v").alias("trips"))
+    roads = feedback.groupBy("user_id", "name").agg(listed("seq", "share", "up")).select("user_id", "name", F.aggregate("v", F.lit(1.0), step).alias("bias"))
+    moved = lambda now, v: clip(now + F.when(v["up"], -0.04).otherwise(0.12), 0.0, 2.5)
+    votes = feedback.select("user_id", "seq", "up").distinct().groupBy("user_id").agg(listed("seq", "up"))
+    return roads.join(votes.select("user_id", F.aggregate("v", F.lit(0.8), moved).alias("risk"), F.size("v").alias("trips")), "user_id")
 
 
 def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, most_rounds: int = 300) -> DataFrame:

@@ -49,9 +49,10 @@ def go_now_or_wait(trips: DataFrame, offsets: tuple[int, ...] = (0, 15, 30, 45,
     return tried.groupBy("trip").agg(F.min(F.struct(arrival.alias("v"), "wait")).alias("a"), F.min(F.struct(F.round("drive", 6).alias("v"), "wait")).alias("d")).select("trip", F.col("a.wait").alias("arrive_first"), F.col("d.wait").alias("drive_least"))
 
 
-def incident_envelope(t, start, duration, ramp_s: float = 120.0):
-    """Share of an incident's severity at a moment: it ramps up at the start and down before the end."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - start) / ramp_s, (start + duration - t) / ramp_s))
+def incident_envelope(t, start, duration, onset: float = 0.12, power: float = 1.4):
+    """Share of an incident's severity at a moment of its life: a fast rise over its first part, then a slow clearance."""
+    u = (t - start) / duration
+    return F.least(F.lit(1.0), u / onset) * (1 - F.pow(F.greatest(F.lit(0.0), (u - onset) / (1 - onset)), F.lit(power)))
 
 
 def active_incident_overlay(incidents: DataFrame, moments: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from . import readings as rd
 from . import roads as rr
 from .core import query
 
-NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9 ]+', ' ', 'g'))"
 GAZ = f"gaz AS (SELECT {NORM.format('p_name')} AS key, min(p_partkey) AS node FROM part GROUP BY 1)"
 ASKS = f"asks AS (SELECT p_partkey AS ask, {NORM.format('p_name || chr(32) || p_type')} AS q FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT -p_partkey - 1, {NORM.format('p_name')} FROM part WHERE p_partkey % 25 = 0)"
 
@@ -29,9 +29,13 @@ def asks(spark, sf_dir):
     return pl.asked(long.unionByName(p.where("p_partkey % 25 = 0").select((-F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("t"))), "t", "p_partkey")
 
 
-@query(f"SELECT p_partkey, {NORM.format('p_name')} AS key FROM part")
+# an accent in every second name
+ACCENTED = "CASE WHEN p_partkey % 2 = 0 THEN translate(p_name, 'aeou', 'áèôü') ELSE p_name || ' - ' || p_brand END"
+
+
+@query(f"SELECT p_partkey, {NORM.format(ACCENTED)} AS key FROM part")
 def normalise_name(spark, sf_dir):
-    return b.table(spark, sf_dir, "part").select("p_partkey", tf.normalise_name(F.col("p_name")).alias("key"))
+    return b.table(spark, sf_dir, "part").select("p_partkey", tf.normalise_name(F.expr(ACCENTED)).alias("key"))
 
 
 @query()
@@ -61,10 +65,16 @@ def geocode_cascade(spark, sf_dir):
     return pl.geocode_cascade(asks(spark, sf_dir), gazetteer(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS text, hour(ts) * 3600 + minute(ts) * 60 AS s FROM events) SELECT event_id, text, CAST(s AS DOUBLE) AS seconds FROM c""", "seconds")
+@query("""WITH c AS (SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS h, lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS m, hour(ts) AS hh, hour(ts) * 3600 + minute(ts) * 60 AS s FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN h || ':' || m WHEN 1 THEN 'at ' || h || 'h' || m WHEN 2 THEN 'leave ' || h || m || ' please' WHEN 3 THEN CASE WHEN hh < 12 THEN h || '.' || m || ' AM' ELSE lpad(CAST(hh - 12 AS VARCHAR), 2, '0') || '.' || m || 'pm' END ELSE 'soon' END AS text,
+ CAST(CASE WHEN event_id % 5 = 4 THEN 32400 ELSE s END AS DOUBLE) AS seconds FROM c""", "seconds")
 def parse_clock(spark, sf_dir):
     clock = tf.format_clock(F.floor(b.micros("ts") / F.lit(1000000.0)))
-    return b.table(spark, sf_dir, "events").select("event_id", clock.alias("text")).withColumn("seconds", tf.parse_clock(F.col("text")))
+    h, m = F.substring("clock", 1, 2), F.substring("clock", 4, 2)
+    half = F.when(h < "12", F.concat(h, F.lit("."), m, F.lit(" AM"))).otherwise(F.concat(F.lpad((h.cast("int") - 12).cast("string"), 2, "0"), F.lit("."), m, F.lit("pm")))
+    said = F.array(F.col("clock"), F.concat(F.lit("at "), h, F.lit("h"), m), F.concat(F.lit("leave "), h, m, F.lit(" please")), half, F.lit("soon"))
+    asked = b.table(spark, sf_dir, "events").withColumn("clock", clock).select("event_id", F.get(said, (F.col("event_id") % 5).cast("int")).alias("text"))
+    return asked.withColumn("seconds", tf.parse_clock(F.col("text")))
 
 
 @query(f"""{rd.R}, a AS (SELECT camera_id, event_id, t - 43200 AS at FROM readings), m AS (SELECT camera_id, event_id, (SELECT max(t) FROM readings r WHERE r.camera_id = a.camera_id AND r.t <= a.at) AS t0, (SELECT min(t) FROM readings r WHERE r.camera_id = a.camera_id) AS t1 FROM a)

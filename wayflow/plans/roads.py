@@ -95,9 +95,9 @@ def sensors_near_routes(spark, sf_dir):
     return near.where("metres <= 300").orderBy("metres", "camera_id").limit(10)
 
 
-DEGREE = """degree AS (SELECT n.node, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, coalesce(o, 0) >= 3 AS junction,
- CASE WHEN coalesce(o, 0) >= 3 THEN least(greatest(o / 3.0, 0.7), 1.8) * CASE WHEN best <= 3 THEN 1.0 ELSE 0.55 END ELSE 0.0 END AS weight
- FROM (SELECT u AS node FROM edges UNION SELECT v FROM edges) n LEFT JOIN (SELECT u, count(*) AS o, min(rank) AS best FROM edges GROUP BY 1) a ON a.u = n.node LEFT JOIN (SELECT v, count(*) AS i FROM edges GROUP BY 1) c ON c.v = n.node)"""
+DEGREE = """degree AS (SELECT e.edge, o AS out_degree, coalesce(i, 0) AS in_degree, o >= 3 AS junction, CASE WHEN o >= 3 THEN
+ CASE WHEN rank <= 2 THEN 1.0 WHEN rank <= 4 THEN 0.78 ELSE 0.3 END * least(greatest(greatest(o, coalesce(i, 0)) / 3.0, 0.7), 1.8) ELSE 0.0 END AS weight
+ FROM edges e JOIN (SELECT u, count(*) AS o FROM edges GROUP BY 1) a ON a.u = e.u LEFT JOIN (SELECT v, count(*) AS i FROM edges GROUP BY 1) c ON c.v = e.u)"""
 
 
 @query(f"{E}, {DEGREE} SELECT * FROM degree", "weight")
@@ -138,11 +138,6 @@ def turn_cost(spark, sf_dir):
     return ro.turn_cost(b.edges(spark, sf_dir))
 
 
-@query(f"{E} SELECT edge, rank <= 4 AS main FROM edges WHERE rank <= 4 ORDER BY kph DESC, edge LIMIT 50")
-def render_subset(spark, sf_dir):
-    return b.edges(spark, sf_dir).where("rank <= 4").orderBy(F.desc("kph"), "edge").limit(50).select("edge", (F.col("rank") <= 4).alias("main"))
-
-
 @query(f"{R}, {b.NODES}, {b.SENSORS} SELECT camera_id, node FROM sensors WHERE lat BETWEEN 51.487 AND 51.493 AND lon BETWEEN -0.162 AND -0.155")
 def bbox_filter(spark, sf_dir):
     return b.sensors(spark, sf_dir).where("lat between 51.487 and 51.493 and lon between -0.162 and -0.155").select("camera_id", "node")
@@ -262,12 +257,12 @@ def traffic_level(spark, sf_dir):
     return met.select("edge", tf.traffic_level(ratio).alias("level"), tf.mood(ratio).alias("mood"))
 
 
-_WEIGHT = "wt AS (SELECT e.edge, e.kph AS free, coalesce(d.weight, 0) AS weight FROM edges e LEFT JOIN degree d ON d.node = e.v)"
+_WEIGHT = "wt AS (SELECT e.edge, e.kph AS free, coalesce(d.weight, 0) AS weight FROM edges e LEFT JOIN degree d USING (edge))"
 
 
 def weighted_edges(spark, sf_dir):
     edges = b.edges(spark, sf_dir)
-    return edges.join(ro.junction_degree(edges).select(F.col("node").alias("v"), "weight"), "v", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return edges.join(ro.junction_degree(edges).select("edge", "weight"), "edge")
 
 
 def profile_sql(kind: str) -> str:
@@ -288,15 +283,15 @@ def _profile(kind: str, name: str) -> None:
 for _kind, _name in (("forecast", "forecast_profile"), ("snapshot", "snapshot_profile"), ("historical", "historical_only_profile"), ("free", "free_flow_profile")):
     _profile(_kind, _name)
 
-_USERS = "users(user_id, bonus, skill) AS (SELECT c_custkey, (c_custkey % 3) * 0.3, 0.9 + (c_custkey % 5) * 0.05 FROM customer WHERE c_custkey % 500 = 0)"
+_USERS = "users(user_id, bonus, skill) AS (SELECT c_custkey, (c_custkey % 3) * 0.3, 0.9 + (c_custkey % 5) * 0.05 FROM customer)"
 
 
-@query(f"""{WITH_STATE}, {DEGREE}, {_WEIGHT}, {profile_sql('forecast')}, {_USERS} SELECT user_id, p.edge, step, least(p.kph * (1 + bonus * pow(least(greatest(1 - p.kph / greatest(free, 1.0), 0.0), 1.0), 1.5)) * skill, free * 1.05) AS kph,
- delay_s * (1 - 0.45 * bonus) AS delay_s FROM prof p JOIN wt USING (edge), users""", "kph delay_s")
+@query(f"""{WITH_STATE}, {DEGREE}, {_WEIGHT}, {profile_sql('forecast')}, {_USERS}, {b.ASKED} SELECT user_id, p.edge, step, least(p.kph * (1 + bonus * pow(least(greatest(1 - p.kph / greatest(free, 1.0), 0.0), 1.0), 1.5)) * skill, free * 1.05) AS kph,
+ delay_s * (1 - 0.45 * bonus) AS delay_s FROM prof p JOIN wt USING (edge) JOIN asked USING (edge) JOIN users USING (user_id)""", "kph delay_s")
 def personalise_profile(spark, sf_dir):
-    users = b.table(spark, sf_dir, "customer").where("c_custkey % 500 = 0").select(F.col("c_custkey").alias("user_id"), ((F.col("c_custkey") % 3) * 0.3).alias("bonus"), (0.9 + (F.col("c_custkey") % 5) * 0.05).alias("skill"))
+    users = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), ((F.col("c_custkey") % 3) * 0.3).alias("bonus"), (0.9 + (F.col("c_custkey") % 5) * 0.05).alias("skill"))
     prof = nc.forecast_profile(state(spark, sf_dir), weighted_edges(spark, sf_dir))
-    return nc.personalise_profile(prof, b.edges(spark, sf_dir), users)
+    return nc.personalise_profile(prof, b.edges(spark, sf_dir), users, b.asked_edges(spark, sf_dir))
 
 
 @query(f"""{R}, ticks AS (SELECT camera_id AS edge, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY t, event_id) AS INTEGER) AS tick, moving_frac / 2 - 0.2 AS support, 0.5 + tracks / 6.0 AS anomaly FROM readings),
@@ -307,3 +302,8 @@ def temporal_memory(spark, sf_dir):
     tick = F.row_number().over(Window.partitionBy("camera_id").orderBy("t", "event_id"))
     r = b.readings(spark, sf_dir).select(F.col("camera_id").alias("edge"), tick.alias("tick"), (F.col("moving_frac") / 2 - 0.2).alias("support"), (0.5 + F.col("tracks") / 6.0).alias("anomaly"))
     return nc.temporal_memory(r)
+
+
+@query(f"{WITH_STATE} SELECT e.edge, e.rank, round(least(greatest(1 - s.kph / greatest(e.kph, 1.0), 0.0), 1.0), 6) AS congestion FROM edges e JOIN state s USING (edge) WHERE rank <= 5 ORDER BY 3 DESC, 1 LIMIT 50", "congestion")
+def render_subset(spark, sf_dir):
+    return ro.render_subset(b.edges(spark, sf_dir), state(spark, sf_dir), most=50)

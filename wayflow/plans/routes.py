@@ -44,10 +44,11 @@ def traffic_runs(spark, sf_dir):
     return rt.traffic_runs(routes(spark, sf_dir), rd.state(spark, sf_dir), b.edges(spark, sf_dir))
 
 
-@query(f"""{E}, bear AS (SELECT edge, name, len, {rd._BEAR} AS bearing FROM edges), m AS (SELECT r.route, pos, name, len, round((((bearing - lag(bearing) OVER (PARTITION BY route ORDER BY pos)) + 180) % 360 + 360) % 360 - 180, 4) AS d,
+@query(f"""{E}, bear AS (SELECT edge, CASE WHEN coalesce(name, '') <> '' THEN name ELSE replace(hw, '_', ' ') || ' road' END AS name, len, len / (kph / 3.6) AS s, {rd._BEAR} AS bearing FROM edges), m AS (SELECT r.route, pos, name, len, s, round((((bearing - lag(bearing) OVER (PARTITION BY route ORDER BY pos)) + 180) % 360 + 360) % 360 - 180, 4) AS d,
  coalesce(CAST(name <> lag(name) OVER (PARTITION BY route ORDER BY pos) AS INTEGER), 0) AS ch FROM routes r JOIN bear USING (edge)), g AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY route ORDER BY pos) AS BIGINT) AS run FROM m),
-h AS (SELECT route, run, min(name) AS name, arg_min(d, pos) AS d, sum(len) AS metres FROM g GROUP BY 1, 2)
-SELECT route, run, name, CASE WHEN run = 0 OR d IS NULL THEN 'Head' WHEN abs(d) < 22 THEN 'Bear' WHEN abs(d) > 150 THEN 'U-turn' WHEN d > 0 THEN 'Turn right' ELSE 'Turn left' END AS verb, metres FROM h""", "metres")
+h AS (SELECT route, run, min(name) AS name, arg_min(d, pos) AS d, sum(len) AS metres, sum(s) AS seconds FROM g GROUP BY 1, 2)
+SELECT route, run, name, CASE WHEN run = 0 OR d IS NULL THEN 'Head out on' WHEN abs(d) < 20 THEN 'Continue onto' WHEN abs(d) > 150 THEN 'Make a U-turn onto'
+ ELSE (CASE WHEN abs(d) > 70 THEN 'Turn ' ELSE 'Bear ' END) || (CASE WHEN d > 0 THEN 'right' ELSE 'left' END) || ' onto' END AS verb, metres, seconds FROM h""", "metres seconds")
 def direction_steps(spark, sf_dir):
     return rt.direction_steps(routes(spark, sf_dir), b.edges(spark, sf_dir))
 
@@ -68,22 +69,30 @@ def sensors_on_route(spark, sf_dir):
     return rt.sensors_on_route(routes(spark, sf_dir), b.watched(spark, sf_dir))
 
 
-_PREFS = "prefs AS (SELECT c_custkey AS user_id, (c_custkey % 4) / 4.0 AS avoid_narrow, (c_custkey % 3) / 2.0 AS prefer_arterial, 'Row ' || (c_custkey % 5) AS liked FROM customer WHERE c_custkey % 200 = 0)"
+_PREFS = "prefs AS (SELECT c_custkey AS user_id, (c_custkey % 4) / 4.0 AS avoid_narrow, (c_custkey % 3) / 2.0 AS prefer_arterial, (c_custkey % 7) / 10.0 AS size_penalty, 'Row ' || (c_custkey % 5) AS liked FROM customer)"
 
 
-@query(f"{rd.E}, {_PREFS} SELECT user_id, edge, (CASE WHEN lanes <= 1 THEN 1 + 0.35 * avoid_narrow ELSE 1.0 END) * (CASE WHEN rank <= 3 THEN 1 - 0.18 * prefer_arterial ELSE 1.0 END) * CASE WHEN name = liked THEN 0.8 ELSE 1.0 END AS factor FROM edges, prefs", "factor")
+@query(f"""{rd.E}, {b.ASKED}, {_PREFS} SELECT user_id, edge, (CASE WHEN rank >= 6 THEN 1 + 0.85 * avoid_narrow ELSE 1.0 END) * (CASE WHEN rank <= 3 THEN 1 - 0.18 * prefer_arterial ELSE 1.0 END)
+ * (CASE WHEN rank >= 7 THEN 1 + size_penalty ELSE 1.0 END) * CASE WHEN name = liked THEN 0.8 ELSE 1.0 END AS factor FROM asked JOIN edges USING (edge) JOIN prefs USING (user_id)""", "factor")
 def edge_preference(spark, sf_dir):
     k = F.col("c_custkey")
-    users = b.table(spark, sf_dir, "customer").where("c_custkey % 200 = 0").select(k.alias("user_id"), ((k % 4) / 4.0).alias("avoid_narrow"), ((k % 3) / 2.0).alias("prefer_arterial"), F.create_map(F.concat(F.lit("Row "), (k % 5).cast("string")), F.lit(0.8)).alias("road_bias"))
-    return rt.edge_preference(b.edges(spark, sf_dir), users)
+    liked = F.create_map(F.concat(F.lit("Row "), (k % 5).cast("string")), F.lit(0.8))
+    users = b.table(spark, sf_dir, "customer").select(k.alias("user_id"), ((k % 4) / 4.0).alias("avoid_narrow"), ((k % 3) / 2.0).alias("prefer_arterial"), ((k % 7) / 10.0).alias("size_penalty"), liked.alias("road_bias"))
+    return rt.edge_preference(b.asked_edges(spark, sf_dir), b.edges(spark, sf_dir), users)
 
 
-@query("""WITH RECURSIVE v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (event_id % 10) / 10.0 AS share, event_type = 'view' AS up FROM events WHERE event_type IN ('click', 'view')),
-r(user_id, k, bias, risk) AS (SELECT DISTINCT user_id, 0::BIGINT, 1.0::DOUBLE, 0.8::DOUBLE FROM v UNION ALL SELECT r.user_id, v.k, round(least(greatest(r.bias + CASE WHEN up THEN -0.32 ELSE 0.32 END * share, 0.6), 1.8), 3), least(greatest(r.risk + CASE WHEN up THEN -0.04 ELSE 0.12 END, 0.0), 2.5)
- FROM r JOIN v ON v.user_id = r.user_id AND v.k = r.k + 1) SELECT user_id, bias, risk, CAST(k AS INTEGER) AS trips FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""", "bias risk")
+@query("""WITH RECURSIVE f AS (SELECT user_id, event_id, event_type = 'view' AS up, unnest(['Row ' || (event_id % 5), 'Col ' || (event_id % 3)]) AS name, unnest([(event_id % 10) / 10.0, (10 - event_id % 10) / 10.0]) AS share FROM events WHERE event_type IN ('click', 'view')),
+v AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id) AS k FROM f), e AS (SELECT user_id, up, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events, (SELECT event_id AS id, event_type = 'view' AS up FROM events) u WHERE u.id = event_id AND event_type IN ('click', 'view')),
+r(user_id, name, k, bias) AS (SELECT DISTINCT user_id, name, 0::BIGINT, 1.0::DOUBLE FROM v UNION ALL
+ SELECT user_id, name, k, CASE WHEN abs(nb - bias) > 0.001 THEN round(nb, 3) ELSE bias END FROM (SELECT r.user_id, r.name, v.k, r.bias, least(greatest(r.bias + CASE WHEN up THEN -0.32 ELSE 0.32 END * share, 0.6), 1.8) AS nb FROM r JOIN v ON v.user_id = r.user_id AND v.name = r.name AND v.k = r.k + 1)),
+q(user_id, k, risk) AS (SELECT DISTINCT user_id, 0::BIGINT, 0.8::DOUBLE FROM e UNION ALL SELECT q.user_id, e.k, least(greatest(q.risk + CASE WHEN up THEN -0.04 ELSE 0.12 END, 0.0), 2.5) FROM q JOIN e ON e.user_id = q.user_id AND e.k = q.k + 1)
+SELECT a.user_id, a.name, a.bias, z.risk, CAST(z.k AS INTEGER) AS trips FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY k DESC) = 1) a JOIN (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1) z USING (user_id)""", "bias risk")
 def learn_feedback(spark, sf_dir):
     e = b.table(spark, sf_dir, "events").where("event_type in ('click', 'view')")
-    return rt.learn_feedback(e.select("user_id", F.col("event_id").alias("seq"), ((F.col("event_id") % 10) / F.lit(10.0)).alias("share"), (F.col("event_type") == "view").alias("up")))
+    part = F.col("event_id") % 10
+    road = lambda name, k, share: F.struct(F.concat(F.lit(name), (F.col("event_id") % k).cast("string")).alias("name"), (share / F.lit(10.0)).alias("share"))
+    roads = F.explode(F.array(road("Row ", 5, part), road("Col ", 3, 10 - part))).alias("road")
+    return rt.learn_feedback(e.select("user_id", F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("up"), roads).select("user_id", "seq", "up", "road.*"))
 
 
 def costs(spark, sf_dir):

@@ -75,16 +75,19 @@ def trip_offset_cross(spark, sf_dir):
     return b.trips(spark, sf_dir).select(F.col("o_orderkey").alias("trip"), "actual_s", waits.alias("wait")).select("trip", "wait", (F.col("actual_s") + F.col("wait") * 60).alias("arrives"))
 
 
-_ENV = "greatest(0.0, least(1.0, (t - start_s) / 120.0, (start_s + duration_s - t) / 120.0))"
-_MOMENTS = "moments AS (SELECT (SELECT min(epoch_us(ts)) FROM events) / 1000000.0 + k * 7200.0 AS t FROM (SELECT unnest(range(200)) AS k))"
+_U = "((t - start_s) / duration_s)"
+_ENV = f"(least(1.0, {_U} / 0.12) * (1 - pow(greatest(0.0, ({_U} - 0.12) / 0.88), 1.4)))"
+# every ten minutes from the first start to the last end; no incident is shorter
+_MOMENTS = "span AS (SELECT min(start_s) AS a, max(start_s + duration_s) AS z FROM incidents), moments AS (SELECT a + k * 600.0 AS t FROM (SELECT a, unnest(range(CAST(floor((z - a) / 600.0) AS BIGINT) + 1)) AS k FROM span))"
 
 
 @query(f"""{I}, {_MOMENTS}, hit AS (SELECT t, severity * {_ENV} AS level, unnest(edges) AS edge, unnest(weights) AS weight FROM moments JOIN incidents ON t BETWEEN start_s AND start_s + duration_s)
 SELECT t, edge, product(1 - level * weight) AS factor FROM hit GROUP BY 1, 2""", "t factor")
 def active_incident_overlay(spark, sf_dir):
-    first = b.table(spark, sf_dir, "events").agg((F.min(b.micros("ts")) / F.lit(1000000.0)).alias("t0"))
-    moments = first.select("t0", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k")).select((F.col("t0") + F.col("k") * 7200.0).alias("t"))
-    return tr.active_incident_overlay(b.incidents(spark, sf_dir), moments)
+    incidents = b.incidents(spark, sf_dir)
+    span = incidents.agg(F.min("start_s").alias("a"), F.max(F.col("start_s") + F.col("duration_s")).alias("z")).where("a is not null")
+    moments = span.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("z") - F.col("a")) / 600.0))).alias("k")).select((F.col("a") + F.col("k") * 600.0).alias("t"))
+    return tr.active_incident_overlay(incidents, moments)
 
 
 @query(f"{I}, now AS (SELECT max(start_s) AS t FROM incidents) SELECT incident, severity * {_ENV} AS intensity FROM incidents, now WHERE t BETWEEN start_s AND start_s + duration_s ORDER BY 2 DESC, 1 LIMIT 6", "intensity")
@@ -135,7 +138,12 @@ def frame_stats(spark, sf_dir):
     return frames(spark, sf_dir)
 
 
-@query(f"""{D}, {SPEEDS}, {FRAMES}, k AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY clip ORDER BY frame DESC) <= 40)
-SELECT clip, count(*) AS frames, avg(total) AS mean_count, coalesce(median(CASE WHEN median_speed > 0 THEN median_speed END), 5.0) AS speed, least(100.0, 6.0 * max(stopped)) AS queue_m FROM k GROUP BY 1""", "mean_count speed queue_m")
+@query(f"""{D}, {SPEEDS}, {FRAMES}, k AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY clip ORDER BY frame DESC) <= 40),
+o AS (SELECT clip, count(*) AS frames, avg(total) AS mean_count, coalesce(median(CASE WHEN median_speed > 0 THEN median_speed END), 5.0) AS speed, least(100.0, 6.0 * avg(stopped)) AS queue_m, avg(occupancy) AS occupancy FROM k GROUP BY 1),
+mix AS (SELECT d.clip, count(*) AS af FROM detections d JOIN k USING (clip, frame) WHERE cls = 'AF' GROUP BY 1)
+SELECT o.*, mean_count / 0.1 / 2 AS density, least(greatest((1 - 0.35 * least(greatest(mean_count / 0.1 / 2 / 135.0, 0.0), 1.0)) * least(1.0, 0.45 + 0.1 * greatest(mean_count, 1.0)), 0.12), 0.97) AS confidence,
+ CAST(CASE WHEN round_even(coalesce(af, 0) / frames, 0) > 0 THEN round_even(coalesce(af, 0) / frames, 0) END AS BIGINT) AS af FROM o LEFT JOIN mix USING (clip)""", "mean_count speed queue_m occupancy density confidence")
 def window_observation(spark, sf_dir):
-    return de.window_observation(frames(spark, sf_dir))
+    points = b.detections(spark, sf_dir)
+    found = de.window_observation(frames(spark, sf_dir), de.class_counts(points))
+    return found.withColumn("af", F.try_element_at("classes", F.lit("AF"))).drop("classes")
