@@ -123,7 +123,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     after = save(next_ids(sizes.select("key")).join(sizes, "key").select(F.col("next").alias("key"), F.col("key").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("take")), "after")
     # of rows that share an id the first one by text is the next document
     rows = keyed.withColumn("row", F.row_number().over(Window.partitionBy("key").orderBy("text")))
-    leads = rows.where("row = 1").join(after, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, take)").alias("lead"))
+    # without the row's number, so that the same exchange of texts serves both; the least lead is that of the least text
+    given = keyed.join(after, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, take)").alias("lead"))
+    leads = given.groupBy("key").agg(F.min("lead").alias("lead"))
     met = rows.join(leads, "key").withColumn("n", F.length("text"))
     third = F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - third), F.substring("lead", F.lit(1), third))
