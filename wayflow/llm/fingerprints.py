@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..storage import save
 
 SAMPLES, A_ROW = 64, 4
-GRAIN = 1024  # steps of the tables that draws come from
+GRAIN = 256  # steps of the tables that draws come from
 _SHIFT = 128.0  # ln a lies above -128 and below 128
 
 
@@ -42,9 +42,14 @@ def _gamma_quantiles() -> list[float]:
     return hi.tolist()
 
 
+def _table(values: list[float]) -> Column:
+    """An array as one foldable expression, so that plans stay small."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def _tables() -> tuple[Column, Column]:
     """Quantiles of Gamma(2, 1) and of Exp(1)."""
-    return F.lit(_gamma_quantiles()), F.lit((-np.log((np.arange(GRAIN) + 0.5) / GRAIN)).tolist())
+    return _table(_gamma_quantiles()), _table((-np.log((np.arange(GRAIN) + 0.5) / GRAIN)).tolist())
 
 
 def _samples(word: Column, log_weights: list[Column], k: Column, tables: tuple[Column, Column]) -> list[Column]:
@@ -52,8 +57,8 @@ def _samples(word: Column, log_weights: list[Column], k: Column, tables: tuple[C
     gamma, exponential = tables
     x = F.xxhash64(word, k)
     part = lambda shift: F.shiftrightunsigned(x, shift).bitwiseAND(GRAIN - 1).cast("int")
-    r = F.get(gamma, part(54))
-    c = F.get(exponential, part(44)) + F.get(exponential, part(34))
+    r = F.get(gamma, part(56))
+    c = F.get(exponential, part(48)) + F.get(exponential, part(40))
     b = (x.bitwiseAND((1 << 20) - 1) + 0.5) / float(1 << 20)
     high = F.log(c) + _SHIFT
 
