@@ -15,18 +15,34 @@ from . import roads as rr
 from .core import query
 
 NORM = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9 ]+', ' ', 'g'))"
-GAZ = f"gaz AS (SELECT {NORM.format('p_name')} AS key, min(p_partkey) AS node FROM part GROUP BY 1)"
-ASKS = f"asks AS (SELECT p_partkey AS ask, {NORM.format('p_name || chr(32) || p_type')} AS q FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT -p_partkey - 1, {NORM.format('p_name')} FROM part WHERE p_partkey % 25 = 0)"
+#: Places: part names; those from a to g are landmarks, the others streets, and every brand of a name is a street of its own.
+GAZ = f"""gaz AS (SELECT key, min(node) AS node, min(kind) AS kind FROM (SELECT {NORM.format("p_name")} AS key, p_partkey AS node, CASE WHEN p_name < 'h' THEN 'landmark' ELSE 'street' END AS kind FROM part
+ UNION ALL SELECT {NORM.format("p_name || ' ' || p_brand")}, p_partkey, 'street' FROM part) GROUP BY key)"""
+_FORMS = {
+    0: "concat(p_name, ' ', p_type)",
+    1: "p_name",
+    2: "concat(substring(p_name, 1, 1), substring(p_name, 3))",
+    3: "concat(p_type, ' ', substring(p_name, 1, 5))",
+    4: "substring(p_name, 2, 4)",
+    5: "concat('51.4', CAST(p_partkey % 2 + 8 AS VARCHAR(4)), CAST(p_partkey % 9 AS VARCHAR(4)), ', -0.15', CAST(p_partkey % 8 AS VARCHAR(4)))",
+}
+ASKS = "asks AS (SELECT *, " + NORM.format("text") + " AS q FROM (" + " UNION ALL ".join(f"SELECT p_partkey * 6 + {k} AS ask, {t} AS text FROM part" for k, t in _FORMS.items()) + "))"
 
 
 def gazetteer(spark, sf_dir):
-    return b.table(spark, sf_dir, "part").groupBy(tf.normalise_name(F.col("p_name")).alias("key")).agg(F.min("p_partkey").alias("node"))
+    p = b.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").distinct()
+    names = p.select("p_name", "p_partkey", F.when(F.col("p_name") < "h", "landmark").otherwise("street").alias("kind"))
+    both = names.unionByName(p.select(F.concat_ws(" ", "p_name", "p_brand").alias("p_name"), "p_partkey", F.lit("street").alias("kind")))
+    return save(both.groupBy(tf.normalise_name(F.col("p_name")).alias("key")).agg(F.min("p_partkey").alias("node"), F.min("kind").alias("kind"), F.min("p_name").alias("name")), "places")
 
 
 def asks(spark, sf_dir):
-    p = b.table(spark, sf_dir, "part")
-    long = p.where("p_partkey % 20 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    return pl.asked(long.unionByName(p.where("p_partkey % 25 = 0").select((-F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("t"))), "t", "p_partkey")
+    forms = F.explode(F.array(*[F.struct((F.col("p_partkey") * 6 + k).alias("ask"), F.expr(t).alias("text")) for k, t in _FORMS.items()])).alias("r")
+    return save(pl.asked(b.table(spark, sf_dir, "part").select(forms).select("r.*"), "text", "ask"), "asks")
+
+
+def grid(spark, sf_dir):
+    return rr.xy(b.nodes(spark, sf_dir)).select("node", "x", "y")
 
 
 # an accent in every second name
@@ -43,14 +59,30 @@ def sound_key(spark, sf_dir):
     return b.table(spark, sf_dir, "part").select("p_partkey", tf.sound_key(F.col("p_name")).alias("key"))
 
 
-@query(f"WITH {GAZ}, {ASKS} SELECT ask, key, node FROM asks JOIN gaz ON q = key")
+_PAIR = r"regexp_matches(text, '^\s*-?\d+\.\d+\s*,\s*-?\d+\.\d+\s*$')"
+_XY = rr.XY.format(lon="lon", lat="lat", x="x", y="y")
+
+
+@query(f"""WITH {GAZ}, {ASKS}, {b.NODES}, n AS (SELECT node, {_XY} FROM nodes), c AS (SELECT ask, CAST(split_part(text, ',', 1) AS DOUBLE) AS lat, CAST(split_part(text, ',', 2) AS DOUBLE) AS lon FROM asks WHERE {_PAIR}),
+p AS (SELECT DISTINCT lat, lon FROM c), d AS (SELECT lat, lon, {_XY} FROM p), m AS (SELECT lat, lon, n.node FROM d, n QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY round(sqrt(pow(d.x - n.x, 2) + pow(d.y - n.y, 2)), 6), n.node) = 1)
+SELECT ask, printf('%.5f, %.5f', lat, lon) AS key, node FROM c JOIN m USING (lat, lon) UNION ALL SELECT ask, key, node FROM asks JOIN gaz ON q = key WHERE NOT {_PAIR}""")
 def geocode_exact(spark, sf_dir):
-    return pl.geocode_exact(asks(spark, sf_dir), gazetteer(spark, sf_dir))
+    return pl.geocode_exact(asks(spark, sf_dir), gazetteer(spark, sf_dir), grid(spark, sf_dir), rr.LAT0)
+
+
+_HELD = "held AS (SELECT q, key, node FROM texts, gaz WHERE {} (contains(key, q) OR contains(q, key)) QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(key), key) = 1)"
+_TEXTS = "texts AS (SELECT DISTINCT q FROM asks WHERE q <> '')"
 
 
-@query(f"""WITH {GAZ}, {ASKS}, s AS (SELECT ask, key, node, round(CAST(len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(key, ' ')))) AS DOUBLE)
- / len(list_distinct(list_concat(string_split(q, ' '), string_split(key, ' ')))), 6) AS score FROM asks, gaz)
-SELECT * FROM s WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, length(key), key, node) = 1""", "score")
+@query(f"WITH {GAZ}, {ASKS}, {_TEXTS}, {_HELD.format(chr(39) + 'landmark' + chr(39) + ' = kind AND')} SELECT ask, key, node FROM asks JOIN held USING (q)")
+def geocode_phrase(spark, sf_dir):
+    return pl.geocode_phrase(asks(spark, sf_dir), gazetteer(spark, sf_dir))
+
+
+@query(f"""WITH {GAZ}, {ASKS}, {_TEXTS}, {_HELD.format('')}, words AS (SELECT q, list_filter(list_distinct(string_split(q, ' ')), lambda w: w <> '') AS w FROM texts WHERE q NOT IN (SELECT q FROM held)),
+s AS (SELECT q, key, node, round(CAST(len(list_intersect(w, list_distinct(string_split(key, ' ')))) AS DOUBLE) / len(list_distinct(list_concat(w, list_filter(string_split(key, ' '), lambda w: w <> '')))), 6) AS score FROM words, gaz),
+t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key DESC) AS place FROM s WHERE score >= 0.34 QUALIFY place <= 5),
+u AS (SELECT q, key, node, score FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(key), place) = 1 UNION ALL SELECT q, key, node, 1.0 FROM held) SELECT ask, key, node, score FROM asks JOIN u USING (q)""", "score")
 def geocode_partial(spark, sf_dir):
     return pl.geocode_partial(asks(spark, sf_dir), gazetteer(spark, sf_dir))
 
@@ -62,7 +94,12 @@ def geocode_typo(spark, sf_dir):
 
 @query()
 def geocode_cascade(spark, sf_dir):
-    return pl.geocode_cascade(asks(spark, sf_dir), gazetteer(spark, sf_dir))
+    return pl.geocode_cascade(asks(spark, sf_dir), gazetteer(spark, sf_dir), grid(spark, sf_dir), rr.LAT0)
+
+
+@query()
+def suggest_names(spark, sf_dir):
+    return pl.suggest_names(asks(spark, sf_dir), gazetteer(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS h, lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS m, hour(ts) AS hh, hour(ts) * 3600 + minute(ts) * 60 AS s FROM events)
