@@ -10,17 +10,21 @@ from ..storage import save
 
 STEPS, STEP_S = 46, 120.0
 WIDEN = 1.28 * 1.28  # variance inflation
+P90 = 1.2815515655446004
+# Fixed values of alternatives: what a used edge costs more, the likeness from which a route is none, and how many are tried
+DIVERSE, ALIKE, TRIES = 1.7, 0.72, 3
 
 
-def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, departs: Column) -> DataFrame:
-    """(route, mean_s, sd_s, metres): the clock advances edge by edge; speeds are those of the step it has reached.
-
-    A route's edges, with their whole profiles, are folded in order by one ``aggregate``; routes are short arrays.
-    """
+def _paths(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFrame:
+    """(route, path): a route's edges in order, each with its length, the turn into it and its whole profile; routes are short arrays."""
     w = Window.partitionBy("route").orderBy("pos")
     pairs = routes.withColumn("before", F.lag("edge").over(w))
     met = pairs.join(packed, "edge").join(edges.select("edge", "len"), "edge").join(turns.select(F.col("edge").alias("before"), F.col("next").alias("edge"), "turn_s"), ["before", "edge"], "left")
-    rows = met.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "len", F.coalesce("turn_s", F.lit(0.0)).alias("turn_s"), "steps"))).alias("path"), departs.alias("depart"))
+    return met.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "len", F.coalesce("turn_s", F.lit(0.0)).alias("turn_s"), "steps"))).alias("path"))
+
+
+def _driven(path: Column, depart: Column) -> Column:
+    """What a path costs from a departure on: (t, mean, var, metres). The clock advances edge by edge; speeds are those of the step it has reached."""
 
     def advance(a: Column, e: Column) -> Column:
         step = F.least(F.greatest(F.floor(a["t"] / STEP_S), F.lit(0)), F.lit(STEPS - 1)).cast("int")
@@ -29,11 +33,33 @@ def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns
         seconds = drive + now["delay_s"] + e["turn_s"]
         return F.struct((a["t"] + seconds).alias("t"), (a["mean"] + seconds).alias("mean"), (a["var"] + F.pow(drive * now["sigma"], 2) * WIDEN).alias("var"), (a["metres"] + e["len"]).alias("metres"))
 
-    zero = F.struct(F.col("depart").cast("double").alias("t"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"), F.lit(0.0).alias("metres"))
-    folded = rows.withColumn("r", F.aggregate("path", zero, advance))
+    zero = F.struct(depart.cast("double").alias("t"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"), F.lit(0.0).alias("metres"))
+    return F.aggregate(path, zero, advance)
+
+
+def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, depart: float = 0.0) -> DataFrame:
+    """(route, mean_s, sd_s, metres) of routes that start ``depart`` seconds into the profile."""
+    folded = _paths(routes, packed, edges, turns).withColumn("r", _driven(F.col("path"), F.lit(depart)))
     return folded.select("route", F.col("r.mean").alias("mean_s"), F.sqrt("r.var").alias("sd_s"), F.col("r.metres").alias("metres"))
 
 
+def leave_by(routes: DataFrame, deadlines: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, z: float = P90, probes: int = 9) -> DataFrame:
+    """(route, depart_s) for (route, now, deadline): the latest departure found whose percentile of arrival meets the deadline; null where none does.
+
+    Bisection on a fixed route, folded in one expression: probes cost no shuffle.
+    """
+
+    def probe(a: Column, _: Column) -> Column:
+        mid = (a["lo"] + a["hi"]) / 2
+        arrives = F.transform(F.array(_driven(F.col("path"), mid)), lambda r: mid + tf.eta_percentile(r["mean"], F.sqrt(r["var"]), z))
+        part = lambda meets: F.struct(F.when(meets, mid).otherwise(a["lo"]).alias("lo"), F.when(meets, a["hi"]).otherwise(mid).alias("hi"), F.when(meets, mid).otherwise(a["best"]).alias("best"))
+        return F.get(F.transform(F.transform(arrives, lambda x: x <= F.col("deadline")), part), F.lit(0))
+
+    start = F.struct(F.col("now").cast("double").alias("lo"), F.col("deadline").cast("double").alias("hi"), F.lit(None).cast("double").alias("best"))
+    rows = _paths(routes, packed, edges, turns).join(deadlines.select("route", "now", "deadline"), "route")
+    return rows.select("route", F.aggregate(F.sequence(F.lit(1), F.lit(probes)), start, probe)["best"].alias("depart_s"))
+
+
 def route_overlap(sets: DataFrame) -> DataFrame:
     """(a, b, overlap) of pairs of edge sets: shared over all."""
     return sets.select("a", "b", (F.size(F.array_intersect("edges_a", "edges_b")) / F.size(F.array_union("edges_a", "edges_b"))).alias("overlap"))
@@ -124,9 +150,11 @@ def learn_feedback(feedback: DataFrame, strength: float = 0.08) -> DataFrame:
     return roads.join(votes.select("user_id", F.aggregate("v", F.lit(0.8), moved).alias("risk"), F.size("v").alias("trips")), "user_id")
 
 
-def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, most_rounds: int = 300) -> DataFrame:
+def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, most_rounds: int = 300, penalty: DataFrame | None = None) -> DataFrame:
     """(trip, cost_s, edges) of many origin-destination pairs at once, on time-dependent profiles.
 
+    ``penalty``: (trip, edge, factor) by which a trip holds an edge dearer; ``cost_s`` then counts it in.
+
     Labels are (trip, edge): least cost to have driven that edge. Every round computes all labels anew from their
     predecessors' current ones (never keeping an old lower one, which a changed clock may have made stale) and is
     written to the shared folder; it ends when no label changes.
@@ -136,12 +164,14 @@ def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame,
         now = F.get(steps, F.least(F.floor(clock / STEP_S), F.lit(STEPS - 1)).cast("int"))
         return length / (now["kph"] / 3.6) + now["delay_s"]
 
+    dearer = lambda df: df.withColumn("factor", F.lit(1.0)) if penalty is None else df.join(penalty, ["trip", "edge"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     road = save(edges.select("edge", "u", "v", "len").join(packed, "edge"), "roads")
-    seeds = save(trips.select("trip", "origin").join(road, F.col("u") == F.col("origin")).select("trip", "edge", F.round(seconds(F.lit(0.0), F.col("steps"), F.col("len")), 6).alias("cost"), F.lit(None).cast("bigint").alias("via")), "seeds")
+    seeds = save(dearer(trips.select("trip", "origin").join(road, F.col("u") == F.col("origin"))).select("trip", "edge", F.round(F.col("factor") * seconds(F.lit(0.0), F.col("steps"), F.col("len")), 6).alias("cost"), F.lit(None).cast("bigint").alias("via")), "seeds")
     follow = save(turns.join(road.select(F.col("edge").alias("next"), "len", "steps"), "next"), "turns")
     labels = seeds
     for _ in range(most_rounds):
-        onward = labels.select("trip", "edge", "cost").join(follow, "edge").select("trip", F.col("next").alias("edge"), F.round(F.col("cost") + F.col("turn_s") + seconds(F.col("cost"), F.col("steps"), F.col("len")), 6).alias("cost"), F.col("edge").alias("via"))
+        onward = dearer(labels.select("trip", F.col("edge").alias("via"), "cost").join(follow, F.col("via") == F.col("edge")).drop("edge").withColumnRenamed("next", "edge"))
+        onward = onward.select("trip", "edge", F.round(F.col("cost") + F.col("turn_s") + F.col("factor") * seconds(F.col("cost"), F.col("steps"), F.col("len")), 6).alias("cost"), "via")
         best = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via")))
         new = save(onward.unionByName(seeds).groupBy("trip", "edge").agg(best.alias("b")).select("trip", "edge", "b.cost", F.when(F.col("b.via") >= 0, F.col("b.via")).alias("via")), "labels")
         changed = new.join(labels.select("trip", "edge", F.col("cost").alias("old")), ["trip", "edge"], "left").where(F.col("old").isNull() | (F.col("old") != F.col("cost"))).isEmpty()
@@ -195,3 +225,120 @@ def near_but_off_route(routes: DataFrame, incidents: DataFrame, mids: DataFrame,
     near = at.join(some, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2) <= most_m**2).select("route", "incident").distinct()
     on = incidents.select("incident", F.explode("edges").alias("edge")).join(routes.select("route", "edge"), "edge").select("route", "incident").distinct()
     return near.join(on, ["route", "incident"], "left_anti")
+
+
+def along(solved: DataFrame) -> DataFrame:
+    """(route, pos, edge) of solved trips (trip, edges); pos counts from 1."""
+    return solved.select(F.col("trip").alias("route"), F.posexplode("edges").alias("p", "edge")).select("route", (F.col("p") + 1).alias("pos"), "edge")
+
+
+def alternative_routes(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, tries: int = TRIES) -> DataFrame:
+    """(trip, place, edges, mean_s, sd_s, metres, label): up to ``tries`` different routes a trip, at their true cost, in the order found.
+
+    Each try is one solve of all trips, in which the edges that the trip's earlier tries used are dearer; a route too like a kept one is dropped and its try is spent.
+    """
+    kept, penalty = None, None
+    for turn in range(tries):
+        found = save(batch_shortest_paths(trips, packed, edges, turns, penalty=penalty).select("trip", "edges", F.lit(turn).alias("turn")), "tries")
+        used = found.select("trip", F.explode("edges").alias("edge"), F.lit(DIVERSE).alias("factor"))
+        penalty = save(used if penalty is None else penalty.unionByName(used).groupBy("trip", "edge").agg(F.product("factor").alias("factor")), "penalty")
+        if kept is None:
+            kept = found
+            continue
+        alike = F.size(F.array_intersect("edges", "e2")) / F.size(F.array_union("edges", "e2"))
+        same = found.join(kept.select("trip", F.col("edges").alias("e2")), "trip").where(alike > ALIKE).select("trip").distinct()
+        kept = save(kept.unionByName(found.join(same, "trip", "left_anti")), "kept")
+    place = F.row_number().over(Window.partitionBy("trip").orderBy("turn")) - 1
+    kept = save(kept.withColumn("place", place).select(F.struct("trip", "place").alias("route"), "edges"), "kept")
+    cost = evaluate_route(along(kept.withColumnRenamed("route", "trip")), packed, edges, turns)
+    return route_label(kept.join(cost, "route").select("route.trip", "route.place", "edges", "mean_s", "sd_s", "metres"))
+
+
+def route_label(routes: DataFrame) -> DataFrame:
+    """Routes (trip, place, mean_s, sd_s, metres) with ``label``: what makes each worth offering beside the trip's first (place 0)."""
+    w = Window.partitionBy("trip").orderBy("place")
+    mid, late = tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), 0.0), tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), P90)
+    rows = routes.withColumn("_r", F.struct(mid.alias("mid"), tf.clip(mid / F.greatest(late, F.lit(1.0)), 0.0, 1.0).alias("sure"), F.col("metres").alias("metres")))
+    rows = rows.withColumn("_b", F.first("_r").over(w))
+    gain = lambda c: F.round((F.col(f"_b.{c}") - F.col(f"_r.{c}")) / F.greatest(F.col(f"_b.{c}"), F.lit(1.0)), 9)
+    label = (
+        F.when(F.col("place") == 0, "Recommended")
+        .when((F.round(F.col("_r.sure") - F.col("_b.sure"), 9) > 0.025) & (gain("mid") > -0.18), "More predictable")
+        .when(gain("mid") > 0.03, "Quicker, less certain")
+        .when(gain("metres") > 0.08, "Shorter, slower")
+        .when(F.col("_r.metres") > F.col("_b.metres") * 1.08, "Wider roads")
+        .otherwise(F.concat(F.lit("Alternative "), F.col("place").cast("string")))
+    )
+    return rows.withColumn("label", label).drop("_r", "_b")
+
+
+def compact_steps(steps: DataFrame, least_m: float = 130.0) -> DataFrame:
+    """(route, step, instruction, name, metres, seconds) from ``direction_steps``: only what is worth saying aloud, and the arrival.
+
+    Short stretches go to the one before; a road that carries on is one instruction, or "to stay on" after a turn; a
+    short first stretch goes to the second. Each rule looks one row back only, so all are running sums over a route's rows.
+    """
+    w = Window.partitionBy("route").orderBy("run")
+    sums = (F.sum("metres").alias("metres"), F.sum("seconds").alias("seconds"))
+    begin = F.min_by(F.struct("verb", "name"), "run").alias("b")
+
+    def merged(rows: DataFrame, starts: Column) -> DataFrame:
+        numbered = rows.withColumn("starts", starts.cast("int")).withColumn("g", F.sum("starts").over(w))
+        return numbered.groupBy("route", "g").agg(begin, *sums).select("route", F.col("g").alias("run"), "b.*", "metres", "seconds")
+
+    first = F.row_number().over(w) == 1
+    same = F.coalesce(F.col("name") == F.lag("name").over(w), F.lit(False))
+    long = merged(steps, first | (F.col("metres") >= least_m))
+    said = long.withColumn("same", same).withColumn("verb", F.when(F.col("same") & ~F.col("verb").rlike("^(Continue|Bear)"), F.regexp_replace("verb", " onto$", " to stay on")).otherwise(F.col("verb")))
+    said = merged(said, ~F.col("same") | ~F.col("verb").rlike("^(Continue|Bear)"))
+    at, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("route"))
+    tiny = F.max(F.when((F.col("at") == 1) & (F.col("metres") < least_m) & (F.col("n") > 1), 1)).over(Window.partitionBy("route")).isNotNull()
+    marked = said.withColumns({"at": at, "n": n}).withColumn("tiny", tiny)
+    marked = marked.withColumn("step", F.when(F.col("tiny"), F.greatest(F.col("at") - 1, F.lit(1))).otherwise(F.col("at")))
+    # of a first stretch that went on to the second, the second's wording counts
+    whole = marked.groupBy("route", "step").agg(F.max_by(F.struct("verb", "name"), "at").alias("b"), *sums)
+    opening = (F.col("step") == 1) & F.col("b.verb").rlike("^((Turn|Bear) (left|right)|Continue) onto$|^Head out on$")
+    spoken = whole.select("route", "step", F.concat(F.when(opening, "Start on").otherwise(F.col("b.verb")), F.lit(" "), F.col("b.name")).alias("instruction"), F.col("b.name").alias("name"), "metres", "seconds")
+    end = spoken.groupBy("route").agg((F.max("step") + 1).alias("step"), F.max_by("name", "step").alias("name"))
+    arrival = end.select("route", "step", F.lit("Arrive at your destination").alias("instruction"), "name", F.lit(0.0).alias("metres"), F.lit(0.0).alias("seconds"))
+    return spoken.unionByName(arrival)
+
+
+def snapshot_baseline(trips: DataFrame, snapshot: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFrame:
+    """(trip, claimed_s, mean_s, sd_s, metres): the route that the frozen profile picks, what it promises, and what it costs under the forecast."""
+    solved = save(batch_shortest_paths(trips, snapshot, edges, turns), "solved")
+    honest = evaluate_route(along(solved), packed, edges, turns).withColumnRenamed("route", "trip")
+    return solved.select("trip", F.col("cost_s").alias("claimed_s")).join(honest, "trip")
+
+
+def congestion_detours(trips: DataFrame, live: DataFrame, plain: DataFrame, edges: DataFrame, turns: DataFrame, least_m: float = 1500.0, least_min: float = 2.0, least_km: float = 0.2) -> DataFrame:
+    """(trip, chosen_km, chosen_min, short_km, short_min, saved_min, extra_km): trips (with ``straight_m``) whose live route is longer but clearly quicker than the traffic-blind one, both under the live profile."""
+    far = save(trips.where(F.col("straight_m") >= least_m), "far")
+
+    def cost(profile: DataFrame, name: str) -> DataFrame:
+        found = evaluate_route(along(save(batch_shortest_paths(far, profile, edges, turns), "solved")), live, edges, turns)
+        return found.select(F.col("route").alias("trip"), (F.col("metres") / 1000).alias(f"{name}_km"), (tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), 0.0) / 60).alias(f"{name}_min"))
+
+    met = cost(live, "chosen").join(cost(plain, "short"), "trip").withColumns({"saved_min": F.col("short_min") - F.col("chosen_min"), "extra_km": F.col("chosen_km") - F.col("short_km")})
+    return met.where((F.col("saved_min") >= least_min) & (F.col("extra_km") > least_km))
+
+
+def backtest_routers(trips: DataFrame, profiles: dict[str, DataFrame], measured: DataFrame, edges: DataFrame, turns: DataFrame, hot: DataFrame, natural: str = "historical") -> DataFrame:
+    """(trip, method, claimed_s, promised_p90_s, actual_s, distance_m, disrupted): each profile's route, what it promises, and its drive through ``measured``.
+
+    A trip is disrupted where the ``natural`` profile's route has one of the ``hot`` edges. Trips that a profile can't solve drop out.
+    """
+    rows, disrupted = None, None
+    for name, packed in profiles.items():
+        solved = save(batch_shortest_paths(trips, packed, edges, turns), "solved")
+        path = along(solved)
+        told = evaluate_route(path, packed, edges, turns).join(replay_route(path, measured, edges), "route")
+        late = tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), P90)
+        part = told.select(F.col("route").alias("trip"), F.lit(name).alias("method"), F.col("mean_s").alias("claimed_s"), late.alias("promised_p90_s"), F.col("seconds").alias("actual_s"), F.col("metres").alias("distance_m"))
+        rows = part if rows is None else rows.unionByName(part)
+        if name == natural:
+            disrupted = path.join(hot.select("edge").distinct(), "edge").select(F.col("route").alias("trip"), F.lit(True).alias("disrupted")).distinct()
+    rows = save(rows, "backtest")
+    whole = rows.groupBy("trip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(profiles)).select("trip")
+    met = rows.join(whole, "trip").join(disrupted, "trip", "left") if disrupted is not None else rows.join(whole, "trip").withColumn("disrupted", F.lit(None).cast("boolean"))
+    return met.withColumn("disrupted", F.coalesce("disrupted", F.lit(False)))

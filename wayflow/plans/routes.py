@@ -9,6 +9,7 @@ from .. import bindings as b
 from ..operators import nowcast as nc
 from ..operators import roads as ro
 from ..operators import routes as rt
+from ..storage import save
 from . import roads as rd
 from .core import query
 
@@ -108,19 +109,110 @@ fold(route, pos, t, var, metres) AS (SELECT DISTINCT route, 0::BIGINT, 0.0::DOUB
 SELECT route, round(t, 4) AS mean_s, round(sqrt(var), 4) AS sd_s, round(metres, 4) AS metres FROM fold QUALIFY row_number() OVER (PARTITION BY route ORDER BY pos DESC) = 1""")
 def evaluate_route(spark, sf_dir):
     packed, edges, turns = costs(spark, sf_dir)
-    found = rt.evaluate_route(routes(spark, sf_dir), packed, edges, turns, F.lit(0.0))
+    found = rt.evaluate_route(routes(spark, sf_dir), packed, edges, turns)
     return found.select("route", *[F.round(c, 4).alias(c) for c in ("mean_s", "sd_s", "metres")])
 
 
+def asked(spark, sf_dir):
+    """(trip, origin, dest, straight_m): the orders of each customer are one trip request between two nodes of the grid; equal pairs are one trip, the least order's."""
+    n = rd.xy(b.nodes(spark, sf_dir)).select("node", "x", "y")
+    count = n.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"))
+    k = b.table(spark, sf_dir, "orders").crossJoin(F.broadcast(count))
+    pairs = k.select("o_orderkey", (F.col("lo") + F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("lo") + F.col("o_custkey") * 31 % F.col("n")).alias("dest")).where("origin <> dest")
+    trips = pairs.groupBy("origin", "dest").agg(F.min("o_orderkey").alias("trip"))
+    met = trips.join(n.select(F.col("node").alias("origin"), F.col("x").alias("x1"), F.col("y").alias("y1")), "origin").join(n.select(F.col("node").alias("dest"), F.col("x").alias("x2"), F.col("y").alias("y2")), "dest")
+    return save(met.select("trip", "origin", "dest", F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)).alias("straight_m")), "asked")
+
+
+def profiles(spark, sf_dir, *kinds):
+    """Packed profiles of one state, each written once."""
+    edges, state = rd.weighted_edges(spark, sf_dir), save(rd.state(spark, sf_dir), "state")
+    return [save(nc.pack(nc.forecast_profile(state, edges, kind=k)), "profile") for k in kinds]
+
+
+def network(spark, sf_dir):
+    edges = save(b.edges(spark, sf_dir), "edges")
+    return edges, save(ro.turn_cost(edges), "turns")
+
+
 @query()
 def batch_shortest_paths(spark, sf_dir):
+    return rt.batch_shortest_paths(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast"), *network(spark, sf_dir))
+
+
+@query()
+def alternative_routes(spark, sf_dir):
+    return rt.alternative_routes(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast"), *network(spark, sf_dir))
+
+
+@query()
+def snapshot_baseline(spark, sf_dir):
+    return rt.snapshot_baseline(asked(spark, sf_dir), *profiles(spark, sf_dir, "snapshot", "forecast"), *network(spark, sf_dir))
+
+
+@query()
+def congestion_detours(spark, sf_dir):
+    return rt.congestion_detours(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast", "free"), *network(spark, sf_dir))
+
+
+def measured(edges):
+    sliced = edges.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return sliced.select("edge", "slice", F.greatest(F.lit(5.0), F.col("kph") * (0.5 + ((F.col("edge") + F.col("slice") * 7) % 10) / 20.0)).alias("kph"))
+
+
+@query()
+def backtest_routers(spark, sf_dir):
+    kinds = ("forecast", "snapshot", "historical")
+    edges, turns = network(spark, sf_dir)
+    hot = b.incidents(spark, sf_dir).select(F.explode("edges").alias("edge"))
+    return rt.backtest_routers(asked(spark, sf_dir), dict(zip(kinds, profiles(spark, sf_dir, *kinds), strict=True)), measured(edges), edges, turns, hot)
+
+
+@query()
+def leave_by(spark, sf_dir):
     packed, edges, turns = costs(spark, sf_dir)
-    n = b.nodes(spark, sf_dir)
-    # the first order of each customer is a trip request between two nodes of the grid
-    count = n.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"))
-    asked = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("trip")).crossJoin(F.broadcast(count))
-    trips = asked.select("trip", (F.col("lo") + F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("lo") + F.col("o_custkey") * 31 % F.col("n")).alias("dest")).where("origin <> dest")
-    return rt.batch_shortest_paths(trips, packed, edges, turns)
+    way = routes(spark, sf_dir)
+    deadlines = way.groupBy("route").agg(F.count(F.lit(1)).alias("n")).select("route", F.lit(0.0).alias("now"), (F.col("n") * (20.0 + F.col("route") % 60)).alias("deadline"))
+    return rt.leave_by(way, deadlines, packed, edges, turns)
+
+
+_P90 = "ln(1 + pow(sd / actual_s, 2))"
+
+
+@query(f"""WITH {b.TRIPS}, r AS (SELECT trip, CAST(o_orderkey % 3 AS INTEGER) AS place, actual_s, abs(promised_p90_s - actual_s) / 1.2816 AS sd, distance_m AS metres FROM trips),
+m AS (SELECT *, actual_s / sqrt(1 + pow(sd / actual_s, 2)) AS mid, exp(-1.2815515655446004 * sqrt({_P90})) AS sure0, actual_s / sqrt(1 + pow(sd / actual_s, 2)) * exp(1.2815515655446004 * sqrt({_P90})) AS late FROM r),
+n AS (SELECT *, least(greatest(mid / greatest(late, 1.0), 0.0), 1.0) AS sure FROM m),
+f AS (SELECT trip, place, mid, sure, metres, first_value(mid) OVER w AS mid0, first_value(sure) OVER w AS s0, first_value(metres) OVER w AS m0 FROM n WINDOW w AS (PARTITION BY trip ORDER BY place)),
+g AS (SELECT *, round((mid0 - mid) / greatest(mid0, 1.0), 9) AS faster, round((m0 - metres) / greatest(m0, 1.0), 9) AS shorter, round(sure - s0, 9) AS steadier FROM f)
+SELECT trip, place, CASE WHEN place = 0 THEN 'Recommended' WHEN steadier > 0.025 AND faster > -0.18 THEN 'More predictable' WHEN faster > 0.03 THEN 'Quicker, less certain' WHEN shorter > 0.08 THEN 'Shorter, slower'
+ WHEN metres > m0 * 1.08 THEN 'Wider roads' ELSE 'Alternative ' || place END AS label FROM g""")
+def route_label(spark, sf_dir):
+    sd = F.abs(F.col("promised_p90_s") - F.col("actual_s")) / 1.2816
+    rows = b.trips(spark, sf_dir).select("trip", (F.col("o_orderkey") % 3).cast("int").alias("place"), F.col("actual_s").alias("mean_s"), sd.alias("sd_s"), F.col("distance_m").alias("metres"))
+    return rt.route_label(rows).select("trip", "place", "label")
+
+
+# the lines of an order as the stretches of a route
+_VERBS = ("Continue onto", "Bear left onto", "Turn right onto", "Turn left onto", "Bear right onto", "Make a U-turn onto")
+_STRETCHES = f"""stretches AS (SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS run, 'Road ' || (l_partkey % 2) AS name,
+ ({list(_VERBS)})[l_suppkey % {len(_VERBS)} + 1] AS verb, l_quantity * 10 AS metres, l_quantity * 1.5 AS seconds FROM lineitem)"""
+
+
+@query(f"""WITH {_STRETCHES}, a AS (SELECT *, sum(CASE WHEN run = 1 OR metres >= 130 THEN 1 ELSE 0 END) OVER w AS g FROM stretches WINDOW w AS (PARTITION BY route ORDER BY run)),
+b AS (SELECT route, g, arg_min(name, run) AS name, arg_min(verb, run) AS verb, sum(metres) AS metres, sum(seconds) AS seconds FROM a GROUP BY 1, 2),
+c AS (SELECT *, coalesce(name = lag(name) OVER (PARTITION BY route ORDER BY g), false) AS same, verb LIKE 'Continue%' OR verb LIKE 'Bear%' AS soft FROM b),
+d AS (SELECT route, g, name, CASE WHEN same AND NOT soft THEN replace(verb, ' onto', ' to stay on') ELSE verb END AS verb, metres, seconds, sum(CASE WHEN same AND soft THEN 0 ELSE 1 END) OVER (PARTITION BY route ORDER BY g) AS h FROM c),
+e AS (SELECT route, h, arg_min(name, g) AS name, arg_min(verb, g) AS verb, sum(metres) AS metres, sum(seconds) AS seconds, count(*) OVER (PARTITION BY route) AS n FROM d GROUP BY 1, 2),
+f AS (SELECT *, EXISTS (SELECT 1 FROM e x WHERE x.route = e.route AND x.h = 1 AND x.metres < 130 AND x.n > 1) AS tiny FROM e),
+k AS (SELECT route, CAST(CASE WHEN tiny THEN greatest(h - 1, 1) ELSE h END AS INTEGER) AS step, arg_max(name, h) AS name, arg_max(verb, h) AS verb, sum(metres) AS metres, sum(seconds) AS seconds FROM f GROUP BY 1, 2)
+SELECT route, step, CASE WHEN step = 1 AND verb LIKE '% onto' AND verb NOT LIKE 'Make%' THEN 'Start on' ELSE verb END || ' ' || name AS instruction, name, metres, seconds FROM k
+UNION ALL SELECT route, max(step) + 1, 'Arrive at your destination', arg_max(name, step), 0.0, 0.0 FROM k GROUP BY route""", "metres seconds")
+def compact_steps(spark, sf_dir):
+    run = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    verb = F.element_at(F.array(*map(F.lit, _VERBS)), (F.col("l_suppkey") % len(_VERBS) + 1).cast("int"))
+    road = F.concat(F.lit("Road "), (F.col("l_partkey") % 2).cast("string"))
+    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), run.alias("run"), road.alias("name"), verb.alias("verb"), (F.col("l_quantity") * 10).alias("metres"), (F.col("l_quantity") * 1.5).alias("seconds"))
+    return rt.compact_steps(rows).withColumn("step", F.col("step").cast("int"))
 
 
 @query(f"""{rd.WITH_STATE}, {rd.DEGREE}, {rd._WEIGHT}, {rd.profile_sql('forecast')}, {ROUTES}, path AS (SELECT route, pos, edge, len, kph AS free FROM routes JOIN edges USING (edge)),
@@ -139,9 +231,7 @@ _MEASURED = "measured AS (SELECT edge, slice, greatest(5.0, kph * (0.5 + ((edge
 SELECT route, t AS seconds FROM fold QUALIFY row_number() OVER (PARTITION BY route ORDER BY pos DESC) = 1""", "seconds")
 def replay_route(spark, sf_dir):
     edges = b.edges(spark, sf_dir)
-    sliced = edges.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    measured = sliced.select("edge", "slice", F.greatest(F.lit(5.0), F.col("kph") * (0.5 + ((F.col("edge") + F.col("slice") * 7) % 10) / 20.0)).alias("kph"))
-    return rt.replay_route(routes(spark, sf_dir), measured, edges)
+    return rt.replay_route(routes(spark, sf_dir), measured(edges), edges)
 
 
 @query(f"""{E}, {b.INCIDENTS}, {rd.EXY}, mid AS (SELECT edge, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM exy),
