@@ -70,6 +70,15 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pmod(F.degrees(F.atan2(x, y)) + 360, F.lit(360.0))
 
 
+def ground_distance(ya: Column, xa: Column, yb: Column, xb: Column, height: Column, width: Column, horizon: float = 0.18, near_m: float = 50.0, near_width_m: float = 35.0, trim: float = 1.0) -> Column:
+    """Metres on a flat road between two points of a frame: along it the difference of their depths, across it by the scale at the depth of their middle row."""
+    # share of the bottom row's depth; rows near the horizon are held at 4 % of the height below it
+    depth = lambda y: (1 - horizon) * height / F.greatest(y - horizon * height, 0.04 * height)
+    along = near_m * (depth(yb) - depth(ya))
+    across = (xb - xa) * near_width_m / F.greatest(width, F.lit(1.0)) * depth((ya + yb) / 2)
+    return trim * F.sqrt(along * along + across * across)
+
+
 def local_clock(t: Column, zone: str = "UTC") -> Column:
     """Local wall-clock time without a zone of unix seconds."""
     at = F.timestamp_micros((t * 1000000).cast("bigint"))

@@ -71,3 +71,16 @@ def top_incidents(incidents: DataFrame, t: float, most: int = 6) -> DataFrame:
     now = F.lit(t)
     live = incidents.where((now >= F.col("start_s")) & (now <= F.col("start_s") + F.col("duration_s")))
     return live.select("incident", (F.col("severity") * incident_envelope(now, F.col("start_s"), F.col("duration_s"))).alias("intensity")).orderBy(F.desc("intensity"), "incident").limit(most)
+
+
+def sanity_ratios(trips: DataFrame) -> DataFrame:
+    """One row a measure (distance, time, speed) of trips (metres, seconds, ref_metres, ref_seconds): median, least, greatest, and whether the median is plausible.
+
+    Ratios are to the reference, speed is in km/h; all are rounded to 3 places, so that the median counts few values.
+    """
+    ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b)).otherwise(0.0)
+    each = F.array(*[F.struct(F.lit(n).alias("measure"), F.round(v, 3).alias("v")) for n, v in (("distance", ratio("metres", "ref_metres")), ("time", ratio("seconds", "ref_seconds")), ("speed", 3.6 * ratio("metres", "seconds")))])
+    rows = trips.select(F.explode(each).alias("r")).select("r.*").groupBy("measure").agg(F.percentile("v", F.lit(0.5)).alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    m = F.col("median")
+    # fixed values: the bands of each measure
+    return rows.withColumn("passed", F.when(F.col("measure") == "distance", m <= 1.25).when(F.col("measure") == "time", m.between(1.1, 2.6)).otherwise(m.between(8.0, 30.0)))

@@ -41,6 +41,11 @@ def replay_stream(spark, sf_dir):
     return st.drain(st.replay_stream(stream(spark, sf_dir), 1704200000.0), "append", "replay").select("camera_id", "event_id")
 
 
+@query(f"{R} SELECT camera_id, event_id FROM readings WHERE t <= 1705000000 AND 1705000000 - t <= 1500")
+def stream_late_drop(spark, sf_dir):
+    return st.drain(st.stream_late_drop(stream(spark, sf_dir), 1705000000.0), "append", "fresh").select("camera_id", "event_id")
+
+
 @query(f"{R} SELECT camera_id, event_id, t FROM readings QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY t DESC, event_id DESC) <= 64", "t")
 def state_history(spark, sf_dir):
     from pyspark.sql import Window

@@ -147,3 +147,24 @@ def window_observation(spark, sf_dir):
     points = b.detections(spark, sf_dir)
     found = de.window_observation(frames(spark, sf_dir), de.class_counts(points))
     return found.withColumn("af", F.try_element_at("classes", F.lit("AF"))).drop("classes")
+
+
+@query("""WITH r AS (SELECT o_totalprice / 20 AS metres, 300 + o_totalprice / 300 AS seconds, o_totalprice / (20 + o_custkey % 5) AS ref_metres, 200 + o_totalprice / 400 AS ref_seconds FROM orders),
+m AS (SELECT unnest(['distance', 'time', 'speed']) AS measure, unnest([round(metres / ref_metres, 3), round(seconds / ref_seconds, 3), round(3.6 * metres / seconds, 3)]) AS v FROM r),
+g AS (SELECT measure, median(v) AS median, min(v) AS least, max(v) AS greatest FROM m GROUP BY 1)
+SELECT *, CASE measure WHEN 'distance' THEN median <= 1.25 WHEN 'time' THEN median BETWEEN 1.1 AND 2.6 ELSE median BETWEEN 8 AND 30 END AS passed FROM g""", "median least greatest")
+def sanity_ratios(spark, sf_dir):
+    price = F.col("o_totalprice")
+    rows = b.table(spark, sf_dir, "orders").select((price / 20).alias("metres"), (300 + price / 300).alias("seconds"), (price / (20 + F.col("o_custkey") % 5)).alias("ref_metres"), (200 + price / 400).alias("ref_seconds"))
+    return tr.sanity_ratios(rows)
+
+
+_DEPTH = "(0.82 * 288 / greatest({} - 0.18 * 288, 0.04 * 288))"
+
+
+@query(f"""WITH {b.DETECTIONS}, p AS (SELECT l_orderkey, l_linenumber, l_partkey, x, y, (x * 3) % 352 AS x2, (y * 5) % 288 AS y2 FROM detections)
+SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(pow(50.0 * ({_DEPTH.format('y2')} - {_DEPTH.format('y')}), 2) + pow((x2 - x) * 35.0 / 352 * {_DEPTH.format('((y + y2) / 2)')}, 2)), 4) AS metres FROM p""")
+def ground_distance(spark, sf_dir):
+    p = b.detections(spark, sf_dir).withColumns({"x2": (F.col("x") * 3) % 352, "y2": (F.col("y") * 5) % 288})
+    metres = tf.ground_distance(F.col("y"), F.col("x"), F.col("y2"), F.col("x2"), F.lit(288), F.col("frame_w"))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", F.round(metres, 4).alias("metres"))

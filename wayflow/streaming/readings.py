@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import STALE_S
 from ..storage import shared_dir
 
 
@@ -32,6 +33,11 @@ def replay_stream(stream: DataFrame, clock: float) -> DataFrame:
     return stream.where(F.col("t") <= clock)
 
 
+def stream_late_drop(stream: DataFrame, clock: float, oldest_s: float = STALE_S) -> DataFrame:
+    """Readings that describe the moment ``clock``: at most ``oldest_s`` older."""
+    return stream.withWatermark("ts", f"{int(oldest_s)} seconds").where((F.col("t") <= clock) & (clock - F.col("t") <= oldest_s))
+
+
 def drain(stream: DataFrame, mode: str, tag: str) -> DataFrame:
     """Runs a query over all that is there now and returns its result: the last state in complete mode, else all rows.
 
