@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language, near_dedup, packing, quality, secrets, segmenting, toxicity, training, urls
+from . import byte_bpe, divergence, exact_dedup, fingerprints, language, near_dedup, packing, quality, secrets, segmenting, toxicity, training, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,53 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.learn())
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+  SELECT k, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM docs)
+),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+each_one AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, t.term) AS of_lang, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total, v
+  FROM groups g JOIN kept t USING (lang) JOIN vocabulary USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+),
+shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000 * (n + 1)::HUGEINT) // (total + v)::HUGEINT)::HUGEINT AS p,
+         (1 + (1000000000 * (of_lang + 1)::HUGEINT) // (lang_total + v)::HUGEINT)::HUGEINT AS q FROM each_one
+),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+best AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM best))
+WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -91,5 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_duplicates": op9_exact_duplicates,
     "op10_url_filter": op10_url_filter,
+    "op11_source_audit": op11_source_audit,
+    "op12_byte_bpe": op12_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_duplicates": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_exact_duplicates": OP9_SQL, "op11_source_audit": OP11_SQL}

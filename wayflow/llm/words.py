@@ -63,9 +63,9 @@ def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]
         i = j
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each text the number of its first word (one more at the end)."""
-    word = ~_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each text the number of its first word (one more at the end). ``apart`` says of each byte whether it parts words."""
+    word = ~apart[data]
     before = np.empty(len(data) + 1, bool)
     before[0], before[1:] = False, word
     before[at] = False
