@@ -163,8 +163,8 @@ def _shards(kept: DataFrame, shards: int) -> DataFrame:
 class _Slots:
     """Dense counts of a task, by (language, source, shard)."""
 
-    def __init__(self, held: dict[int, bytes], shards: int):
-        self.held, self.shards, self.dense, self.cells = {k: pickle.loads(x) for k, x in held.items()}, shards, {}, 0
+    def __init__(self, held: dict[int, bytes], shards: int, most: int):
+        self.held, self.shards, self.most, self.dense, self.cells = {k: pickle.loads(x) for k, x in held.items()}, shards, most, {}, 0
 
     def add(self, langs: pa.Array, lang_of: np.ndarray, sources: list[str], group: np.ndarray, term: np.ndarray, count: np.ndarray, distinct: pa.Array) -> Batches:
         """Counts of terms in groups; ``group`` ascends. Puts out what the arrays hold whenever they hold too many cells."""
@@ -189,7 +189,7 @@ class _Slots:
                     self.dense[name] = np.zeros(end - first, np.int64)
                     self.cells += end - first
                 self.dense[name][slot[own[a:b]]] += count[own[a:b]]
-        if self.cells > TASK_CELLS:
+        if self.cells > self.most:
             yield from self.drain()
 
     def drain(self) -> Batches:
@@ -232,14 +232,14 @@ def recount(docs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
         held = context.broadcast({x["shard"]: bytes(x["blob"]) for x in found})
 
         def from_texts(batches: Batches, held=held) -> Batches:
-            slots = _Slots(held.value, shards)
+            slots = _Slots(held.value, shards, TASK_CELLS)
             for batch in batches:
                 for found in _group_counts(batch):
                     yield from slots.add(*found[:3], *found[3:6], found[6])
             yield from slots.drain()
 
         def from_counts(batches: Batches, held=held) -> Batches:
-            slots = _Slots(held.value, shards)
+            slots = _Slots(held.value, shards, TASK_CELLS)
             for batch in batches:
                 lang, source, term = (_strings(batch.column(k)).dictionary_encode() for k in range(3))
                 groups, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
@@ -287,8 +287,8 @@ def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _block(said: list[str], groups: list[tuple[str, int, int]], matrix: np.ndarray, lang: str) -> pa.RecordBatch:
-    """Partial sums of the pairs, and the best terms, of one block: ``groups`` as (source, total, kept terms of the language)."""
+def _block(said: list[str], groups: list[tuple[str, int, int]], matrix: np.ndarray, lang: str, top: int) -> pa.RecordBatch:
+    """Partial sums of the pairs, and the ``top`` best terms, of one block: ``groups`` as (source, total, kept terms of the language)."""
     sources = [s for s, _, _ in groups]
     totals = np.array([n for _, n, _ in groups], np.int64)
     kept = groups[0][2]
@@ -302,13 +302,13 @@ def _block(said: list[str], groups: list[tuple[str, int, int]], matrix: np.ndarr
             out += [("pair", sources[a], sources[b], int(x)) for b, x in enumerate(sums) if b != a]
         at = np.flatnonzero((matrix[a] > 0) & (own > q))
         values = (own[at] - q[at]) ** 2 // q[at]
-        best = np.argsort(-values, kind="stable")[:TOP_TERMS]  # slots ascend by term
+        best = np.argsort(-values, kind="stable")[:top]  # slots ascend by term
         out += [("term", sources[a], said[t], int(v)) for t, v in zip(at[best].tolist(), values[best].tolist(), strict=True)]
     columns = [pa.array([lang] * len(out), pa.string()), *(pa.array([r[k] for r in out], pa.string()) for k in (1, 0, 2)), pa.array([r[3] for r in out], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
 
-def _compare(batches: Batches) -> Batches:
+def _compare(batches: Batches, top: int) -> Batches:
     """Blocks of rows sorted by block and kind: 0 its terms, 1 its groups, 2 partial counts, which are added one after the other."""
     rows = itertools.chain.from_iterable(x.to_pylist() for b in batches for x in (b.slice(i, 64) for i in range(0, len(b), 64)))
     for (lang, _, _), block in itertools.groupby(rows, key=lambda r: (r["lang"], r["shard"], r["block"])):
@@ -325,7 +325,7 @@ def _compare(batches: Batches) -> Batches:
                 matrix[place[r["source"]], np.frombuffer(r["slots"], "<i4")] += np.frombuffer(r["counts"], "<i8")
         if matrix is None:
             matrix = np.zeros((len(groups), len(said)), np.int64)
-        yield _block(said, groups, matrix, lang)
+        yield _block(said, groups, matrix, lang, top)
 
 
 def _compared(built: DataFrame, counted: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def _compared(built: DataFrame, counted: DataFrame, groups: DataFrame, langs: Da
     each = blocks.select("lang", "shard", "block").join(totals, "lang")
     all_rows = rows(blocks, 0, ("terms",)).unionByName(rows(each, 1, ("source", "n", "kept"))).unionByName(rows(counted, 2, ("source", "slots", "counts")))
     placed = all_rows.repartition("lang", "shard", "block").sortWithinPartitions("lang", "shard", "block", "kind", "source")
-    return map_batches(placed, _compare, "lang string, source string, part string, item string, value long")
+    return map_batches(placed, lambda batches: _compare(batches, TOP_TERMS), "lang string, source string, part string, item string, value long")
 
 
 def _ranked(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, exact_dedup, fingerprints, language, near_dedup, packing, quality, secrets, segmenting, toxicity, training, urls
+from . import byte_bpe, divergence, exact_dedup, fingerprints, language, near_dedup, packing, prefix_trie, quality, secrets, segmenting, toxicity, training, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -113,6 +117,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 200
 """
 
+OP13_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r)::VARCHAR || ':' || r || t)) AS pos, r, t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+),
+crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(s[k // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * length(s))
+),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(c, 4294967295::BIGINT) % 6 AS h FROM crc WHERE k = 8 * length(s)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.pos, r, t FROM convs c JOIN turns t ON t.conv_id = c.head AND t.pos <= h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, r, t FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > h
+),
+paths AS (
+  SELECT conv_id, coalesce(list({'r': r, 't': t} ORDER BY own, pos) FILTER (WHERE r IS NOT NULL), []) AS path
+  FROM (SELECT * FROM rebuilt UNION ALL SELECT conv_id, 2, 0, NULL, NULL FROM convs) GROUP BY conv_id
+),
+steps AS (SELECT conv_id, d, path[1:d] AS node, len(path) = d AS ends FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM steps GROUP BY node, d
+),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+own AS (SELECT a.*, coalesce(k.n, 0) AS n_children, CASE WHEN a.d = 0 THEN 0 ELSE (n_convs - 1) * length(a.node[a.d].t) END AS saved FROM nodes a LEFT JOIN kids k USING (node)),
+sums AS (
+  SELECT node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT node[1:up] AS node, leaf, saved FROM (SELECT node, (n_children = 0)::INT AS leaf, saved, unnest(range(d + 1)) AS up FROM own)) GROUP BY node
+)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums s USING (node) LEFT JOIN nodes p ON o.d > 0 AND p.node = o.node[1:o.d - 1]
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -134,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_source_audit": op11_source_audit,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_duplicates": OP9_SQL, "op11_source_audit": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_exact_duplicates": OP9_SQL, "op11_source_audit": OP11_SQL, "op13_prefix_trie": OP13_SQL}
