@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wayflow.llm import bloom, components, exact_dedup, fingerprints, language, near_dedup, packing, quality, queries, secrets, segmenting, toxicity, training, urls
@@ -229,6 +230,56 @@ def test_secrets_as_plain_search(spark):
     assert time.process_time() - start < 10
 
 
+def test_candidates_are_whole_strings():
+    """A sensitive word inside a string doesn't cut it; letters alone count if capitals are among them."""
+    c = secrets.compressor()
+    said = lambda text: [text[a:b] for a, _, b in secrets.scan_text(text, c)[1]]
+    for key in ("q8Zr-T4kjwtWx9Lm2Vp", "Zx8Qw3Er5Ty7Uitoken9Lm2Vp7Ycq8Zr", "qwJkTzVbXnRmPdLsWc"):
+        assert said(f"the secret key {key} is here") == [key]
+        assert said(f"{key} is the passphrase") == [key]
+    assert said("q8Zr-T4kjwtWx9Lm2Vp alone") == ["q8Zr-T4kjwtWx9Lm2Vp"]
+    assert said("secret internationalisation Internationalisation INTERNATIONALISATION get_session_id_of_user1") == []
+    assert said("session_id q8ZrT4kWx9Lm2Vp7Yc== end") == ["q8ZrT4kWx9Lm2Vp7Yc=="]
+
+
+def test_novelty_as_plain_search(spark):
+    """Every maximal string against every sensitive word, and its marginal bytes by two plain compressions."""
+    r = random.Random(17)
+    parts = ["bearer ", "the secret ", " jwt", "q8Zr-T4kWx9Lm2Vp7Yc", "Zx8Qw3Er5Ty7Ui", "some_identifier_1", " ", " ", "é", "road " * 12, "AbCdEfGhIjKlMnOp", "==", "longlowercaseword", "99999999999999"]
+    learned = "some_identifier road"
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 40))), "", "", 0) for i in range(200)]
+    packer = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(f"{learned}\n{secrets.IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    size = lambda x: len(packer.compress(x.encode()))
+    got = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame(rows, SCHEMA), learned).collect()}
+    found = 0
+    for i, text, *_ in rows:
+        base = secrets.base_spans(text)
+        near = [(a, a + len(w)) for w in secrets.SENSITIVE for a in range(len(text)) if text[a : a + len(w)].lower() == w]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_~!@#$%^&*-]+=*", text):
+            a, b = m.start(), m.end()
+            whole = re.match(r"[^=]*={0,2}", m[0])[0]
+            b = a + len(whole)
+            if len(whole.rstrip("=")) < 12 or not any(s <= b + 80 and e >= a - 80 for s, e in near) or any(s < b and e > a for s, _, e in base):
+                continue
+            if (re.search("[a-z]", whole) is not None) + (re.search("[0-9]", whole) is not None) + (re.search("[A-Z]", whole[1:]) is not None) < 2:
+                continue
+            around = text[max(0, a - 256) : a], text[b : b + 256]
+            if (size(around[0] + whole + around[1]) - size("".join(around))) / len(whole.encode()) >= 0.7:
+                want.append(f"novel:{a}:{b}")
+        assert [x for x in got[i]["spans"].split(",") if x.startswith("novel")] == want
+        found += len(want)
+    assert found > 50
+
+
+def test_learned_identifiers(spark, docs, empty):
+    rows = [(i, f"frobnicate_widget q8ZrTkWxLmVpYcAbCd only_in_{'abcdefghij'[i % 10] * 5}", "", "", 0) for i in range(2)] + [(9 + i, "frobnicate_widget turn", "", "", 0) for i in range(5)]
+    learned = secrets.learn(spark.createDataFrame(rows, SCHEMA))
+    assert learned.split() == ["turn", "frobnicate_widget"]
+    assert secrets.learn(empty) == "" and secrets.scan(empty, "").count() == 0
+    assert len(secrets.learn(docs, rows=20)) <= secrets.LEARNED_BYTES
+
+
 def test_novelty_reach():
     c, key = secrets.compressor(), "q8Zr-T4kWx9Lm2Vp7Yc"
     far = f"secret {'road ' * 17}{key}"
@@ -251,6 +302,31 @@ def test_maximal_segments_as_brute_force():
         at = [i for i, s in enumerate(scores) if s > 0]
         got = toxicity.segments(np.array(at, np.int64), np.array([scores[i] for i in at]), 1.0)
         assert sum(s for s, _, _ in got) == pytest.approx(sum(s for s, _, _ in best(0, len(scores))))
+        assert len(got) == len(best(0, len(scores)))
+
+
+def test_toxicity_as_plain_scan(spark):
+    """Scores of whole texts by the recursive definition of segments and the formulas of the docstring."""
+    r = random.Random(21)
+    model = toxicity.Model({"scoundrel": 1.7, "rascal": 0.9, "queue": -0.4}, rate=0.8, size=0.05, weights=np.array([0.7, 0.5, -2.0]))
+    words = ["scoundrel", "rascal", "queue", "road", "lane", "Rascal", "42"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 25))), "", "", 0) for i in range(120)] + [(500, None, "", "", 0)]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    for i, text, *_ in rows:
+        tokens = re.findall(r"[^\W\d_]+", (text or "").lower())
+        gains = [model.scores.get(w, -toxicity.DRIFT) for w in tokens]
+
+        def best(lo, hi):
+            runs = [(sum(gains[a : b + 1]), a - b, a, b) for a in range(lo, hi) for b in range(a, hi)]
+            top = max(runs, default=None)
+            return [] if top is None or top[0] <= 0 else [*best(lo, top[2]), top, *best(top[3] + 1, hi)]
+
+        floor = np.log(max(model.size * len(tokens), 1.0))
+        worths = [(model.rate * s - floor, a, b) for s, _, a, b in best(0, len(gains)) if model.rate * s - floor > -np.log(toxicity.EXPECTED)]
+        z = np.dot([np.log1p(sum(w for w, _, _ in worths)), float(bool(worths)), 1.0], model.weights)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and got[i]["n_segments"] == len(worths)
+        assert got[i]["worth"] == pytest.approx(sum(w for w, _, _ in worths), abs=1e-6)
+        assert got[i]["passages"] == ",".join(f"{a}:{b}" for _, a, b in worths)
 
 
 def labelled(spark, bad: str, label: str):
@@ -403,15 +479,25 @@ def test_urls(spark):
         assert x["verdict"] in ("allow", "block") and verdict in (None, x["verdict"])
 
 
+HARMLESS = """wikipedia.org github.com python.org mozilla.org debian.org bbc.co.uk nytimes.com berlin.de univ-paris.fr linux-kernel.net stackoverflow.com gutenberg.org
+    nasa.gov mit.edu ox.ac.uk lemonde.fr elpais.es spiegel.de arxiv.org openstreetmap.org apache.org who.int unesco.org imdb.com goodreads.com britannica.com nature.com
+    guardian.co.uk weather.gov amtrak.com ikea.com lufthansa.de sncf.fr renfe.es rijksmuseum.nl louvre.fr britishmuseum.org example-site.com johnsmith.me springfield-il.us
+    bluebottle.com quartz.net kqvvorm.com zanthro.org plimble.de""".split()
+HARMFUL = """mega-casino777.com pokerstarz.net luckyslots.info xxxtube.com hotporn4u.net nudegirls.info cheapviagra.biz pillstore-rx.com replicawatches.net
+    paydayloans-now.com freeprizes-win.com spamking.info adtracker-pixel.com clickads-network.com warezworld.net keygen-cracks.org malware-drop.ru bet-bonus24.com
+    jackpotcity.net adultwebcams.net trackingpixel.io casinobonus.eu""".split()
+
+
 def test_urls_on_unknown_hosts(spark, empty):
-    """Hosts that the labelled table lacks; and the model's score computed plainly."""
-    bad, good = "mega-casino pokerbets pill-shop adult-cams spam-links ads-click".split(), "gardening histories weatherman mathematics thoughts museums".split()
-    assert not set(bad + good) & set(urls.BLOCKED_HOSTS + urls.ALLOWED_HOSTS)
-    rows = [(i, f"https://www.{h}.net/en/{i}") for i, h in enumerate(bad + good)]
+    """Hosts that the labelled table lacks, ordinary ones most of all; and the model's score computed plainly."""
+    known = {urls._split(u)[0] for u, _ in urls.LABELLED}
+    assert not known & {*HARMLESS, *HARMFUL}
+    rows = [(i, f"https://{h}/{'index' if i % 2 else ''}") for i, h in enumerate(HARMFUL + HARMLESS)]
     weights = urls.learn()
-    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit(1) for n in ("host", "path", "score", "rule", "verdict")}), weights).collect()}
-    right = sum((got[i]["verdict"] == "block") == (i < len(bad)) for i in got)
-    assert right >= 11
+    clashing = {n: F.lit(1) for n in ("host", "path", "score", "rule", "verdict")}
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumns(clashing), weights, rules=()).collect()}
+    blocked = [got[i]["verdict"] == "block" for i in range(len(rows))]
+    assert np.mean(blocked[: len(HARMFUL)]) >= 0.7 and np.mean(blocked[len(HARMFUL) :]) <= 0.1
     for i, url in rows:
         f = urls._features(*urls._split(url))
         assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(len(f)) + weights[-1]))))

@@ -25,7 +25,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments.
 
-A token is the first STEM letters of a lower-cased word. Its score is the log-odds of toxic against clean texts with
+A token is a lower-cased word. Its score is the log-odds of toxic against clean texts with
 an informative Dirichlet prior (the token's rate in both together), less a drift that makes clean text score
 below zero. One pass over the prefix sums finds all maximal-scoring segments of a text. A segment's
 score S among n tokens is worth ``lambda S - ln(K n)`` (extreme-value statistics); lambda solves
@@ -27,7 +27,7 @@ from . import training
 from .batches import Batches, map_batches
 
 SAMPLE_ROWS = 10_000  # learned from about so many labelled texts of either kind
-STEM, PRIOR_SHARE, DRIFT, LEAST_Z = 5, 0.05, 0.08, 3.0  # the prior weighs this share of all tokens counted
+PRIOR_SHARE, DRIFT, LEAST_Z = 0.05, 0.08, 3.0  # the prior weighs this share of all tokens counted
 #: A segment counts if fewer than so many such would be expected in a clean text.
 EXPECTED = 0.01
 _WORD = re.compile(r"[^\W\d_]+")
@@ -42,7 +42,7 @@ class Model:
 
 
 def tokens(text: str) -> list[str]:
-    return [w[:STEM] for w in _WORD.findall(text.lower())]
+    return _WORD.findall(text.lower())
 
 
 def segments(at: np.ndarray, gains: np.ndarray, drift: float) -> list[tuple[float, int, int]]:

@@ -10,6 +10,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -24,23 +25,48 @@ from .batches import Batches, map_batches
 # The rules of the registered query, (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-# A small labelled table of host names as they are usual on either side, none taken from the tables judged.
-BLOCKED_HOSTS = """royal-casino vegas-slots poker-bonus jackpot-city roulette-spins betting-tips sportbets bet-online best-bets pharma-pills
-    diet-pills pillstore rx-pharmacy cheap-viagra cheap-rolex cheapest-meds xxx-videos adults-only adult-dating adultcams porn-hub sexy-chat
-    spam-mailer spambot bulk-spam spamfarm link-farms content-farm farm-links free-iphone free-gift win-prize winner-club big-wins lottery-win ads-server adserver
-    popup-ads banner-ads click-ads ad-tracker tracking-pixel trackers user-track track-clicks malware-host phishing-login warez-keygen crack-download""".split()
-ALLOWED_HOSTS = """docs wiki news library museum university research journal weather recipes garden history science travel music
-    region market school city theater books maps forum code archive health sports film math physics daily notes
-    letters painting rivers station builder kitchen village harbour teacher northern weekend thinker others morning
-    nation mention strand winter bread thread shelter together method lesson wooden shire thorn matter""".split()
-LABELLED = tuple(
-    (f"https://{sub}{site}.{tld}{path}", y)
-    for y, sites in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
-    for k, site in enumerate(sites)
-    for sub, tld, path in (("", "example.com", "/en/12"), (("www.", "m.", "blog.")[k % 3], ("example.org", "example.net")[k % 2], ("/fr/7.html", "/de/33/", "/es/401", "/en/9")[k % 4]))
-)
-
-FEATURES, SIZES = 1 << 13, (3, 4, 5)
+# Words that are common in the names of unwanted and of ordinary sites, from general knowledge of the web.
+UNWANTED = """casino poker roulette jackpot slots blackjack baccarat betting bookmaker wager gamble lottery sweepstakes viagra cialis levitra pharmacy pills
+    steroids porn xxx nude naked erotic hentai escort webcam adult hookup sexdating fetish milf warez keygen cracked serials torrent
+    malware trojan ransomware phishing spyware botnet exploit hacked carding spam scam clickbait popunder popup banner adserver adclick adnetwork tracker tracking
+    pixel affiliate payday loan credit replica rolex handbags weightloss slimming miracle botox enlargement giveaway freebies prize winner
+    bonus promo cheapest discount doorway linkfarm backlinks followers proxies""".split()
+ORDINARY = """library museum university college school institute hospital council parliament ministry court police station airport harbour railway
+    bridge river mountain forest garden meadow village market kitchen bakery restaurant hotel theatre cinema orchestra opera gallery
+    archive journal gazette herald tribune newspaper magazine encyclopedia dictionary atlas weather climate ocean geology botany zoology biology
+    chemistry physics mathematics statistics astronomy telescope engineering robotics electronics computing software compiler database network kernel
+    browser editor manual documentation tutorial forum community foundation society union federation church cathedral heritage history archaeology
+    philosophy literature poetry novel translation language grammar teacher student classroom lecture scholarship laboratory research
+    science medicine nursing dentist clinic surgery nutrition recipes cooking cycling running football tennis hockey chess sailing
+    climbing hiking camping fishing photography painting sculpture pottery knitting carpentry architecture furniture building insurance banking
+    accounting law justice election democracy government embassy travel tourism transport traffic highway energy solar water recycling
+    wildlife birds horses dogs farming agriculture vineyard brewery coffee flowers children family parents toys music guitar piano radio
+    television podcast calendar maps postal telephone satellite aviation space""".split()
+_TLDS = "com org net edu gov info io de fr es uk it nl pl se ch eu ca".split()
+_BESIDE = "best my the new top online world city north daily open first 24 7 2020 pro".split()
+_PATHS = ("", "/", "/index.html", "/about", "/2019/05/12/summer", "/item-12", "/a/b.php", "/docs/guide/chapter3.html", "/~user/notes.txt", "/products/list", "/contact/", "/img/logo.png")
+
+
+def labelled_table() -> tuple[tuple[str, int], ...]:
+    """The small labelled table of urls: each word alone, beside a neutral word, and beside a word of its list or an ordinary one, under
+    domains and paths that both kinds share; and unwanted words in the path of an ordinary host.
+    """
+    out = []
+    for y, words in ((1, UNWANTED), (0, ORDINARY)):
+        for k, word in enumerate(words):
+            other, far, beside = words[(7 * k + 3) % len(words)], ORDINARY[(11 * k + 5) % len(ORDINARY)], _BESIDE[k % len(_BESIDE)]
+            names = (word, f"{beside}-{word}" if k % 2 else f"{word}{beside}", f"{word}-{other}" if k % 3 else f"{word}{other}", f"{far}-{word}" if k % 2 else f"{word}.{far}")
+            for j, name in enumerate(names):
+                sub = ("", "www.", "", "m.", "blog.")[(k + j) % 5]
+                out.append((f"https://{sub}{name}.{_TLDS[(5 * k + j) % len(_TLDS)]}{_PATHS[(k + 3 * j) % len(_PATHS)]}", y))
+            path = f"/{beside}/{word}-{other}.html" if k % 2 else f"/{word}/{beside}"
+            out.append((f"http://{far}.{_TLDS[k % len(_TLDS)]}{path}", y))
+    return tuple(out)
+
+
+LABELLED = labelled_table()
+
+FEATURES, SIZES = 1 << 16, (3, 4, 5)
 _FOLD = re.compile(r"^(www|m|blog)\.")
 
 
@@ -77,26 +103,25 @@ def _split(url: str) -> tuple[str, str]:
     return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def learn(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 1000, step: float = 0.5, decay: float = 1e-4, share: float = 0.2) -> np.ndarray:
-    """Weights (the intercept last) by gradient steps on the small table.
+@functools.cache
+def learn(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 1500, step: float = 100.0, decay: float = 1e-5, share: float = 0.2) -> np.ndarray:
+    """Weights (the intercept last) by gradient steps on the small table, kept for the next call.
 
     The table holds either kind as often as its author listed it; ``share`` is that of blocked urls to reckon with, and sets the intercept.
     """
     rows = [_features(*_split(u)) for u, _ in labelled]
+    sizes = np.array([len(r) for r in rows])
+    at, row = np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(np.arange(len(rows)), sizes)
+    scale = 1 / np.sqrt(np.maximum(sizes, 1))
     y = np.array([k for _, k in labelled], float)
-    scale = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
-    w = np.zeros(FEATURES + 1)
+    w, b = np.zeros(FEATURES), 0.0
     for _ in range(rounds):
-        z = np.array([w[r].sum() * s for r, s in zip(rows, scale, strict=True)]) + w[-1]
+        z = np.bincount(row, w[at], len(rows)) * scale + b
         e = 1 / (1 + np.exp(-z)) - y
-        g = decay * w
-        for r, s, x in zip(rows, scale, e, strict=True):
-            g[r] += x * s / len(y) * 10
-        g[-1] = e.mean()
-        w -= step * g
+        w -= step * (np.bincount(at, (e * scale)[row], FEATURES) / len(y) + decay * w)
+        b -= e.mean()
     here = np.clip(y.mean(), 0.01, 0.99)
-    w[-1] += np.log(share / (1 - share)) - np.log(here / (1 - here))
-    return w
+    return np.append(w, b + np.log(share / (1 - share)) - np.log(here / (1 - here)))
 
 
 def judge(pages: DataFrame, weights: np.ndarray, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
