@@ -39,6 +39,12 @@ def observed_ratio(observations: DataFrame, expected: DataFrame) -> DataFrame:
     return met.withColumn("ratio", tf.clip(F.col("speed_kph") / F.col("hist"), 0.12, 2.2))
 
 
+def one_per_edge(observations: DataFrame) -> DataFrame:
+    """Of several observations of an edge that of the least sensor."""
+    columns = [c for c in observations.columns if c not in ("edge", "camera_id")]
+    return observations.groupBy("edge").agg(F.min_by(F.struct("camera_id", *columns), "camera_id").alias("o")).select("edge", "o.*")
+
+
 def nowcast_state(expected: DataFrame, fused: DataFrame, observations: DataFrame, memory: DataFrame | None = None, prior_sigma: float = 0.16) -> DataFrame:
     """Per edge: kph, anomaly, sigma, support, queue_m, observed, and the memory for the next tick (from before observed edges are pinned)."""
     mem = memory if memory is not None else expected.select("edge", F.lit(1.0).alias("memory"))

@@ -198,9 +198,7 @@ def parts(spark, sf_dir):
     edges = b.edges(spark, sf_dir)
     expected = nc.expected_speed(edges, F.lit(C0))
     obs = nc.observed_ratio(rd.observations(spark, sf_dir), expected)
-    columns = [c for c in obs.columns if c != "edge"]
-    one = obs.groupBy("edge").agg(F.min(F.struct("camera_id", *[c for c in columns if c != "camera_id"])).alias("o")).select("edge", "o.*")
-    return edges, expected, one
+    return edges, expected, nc.one_per_edge(obs)
 
 
 def state(spark, sf_dir):

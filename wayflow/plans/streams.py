@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import bindings as b
+from ..operators import nowcast as nc
+from ..operators import readings as op
+from ..storage import new_folder, save
 from ..streaming import readings as st
+from . import readings as rd
+from . import roads
 from .core import query
 from .readings import R
 
@@ -41,14 +46,75 @@ def replay_stream(spark, sf_dir):
     return st.drain(st.replay_stream(stream(spark, sf_dir), 1704200000.0), "append", "replay").select("camera_id", "event_id")
 
 
-@query(f"{R} SELECT camera_id, event_id FROM readings WHERE t <= 1705000000 AND 1705000000 - t <= 1500")
+TICKS = 12
+_SPAN = "span AS (SELECT min(t) AS lo, (max(t) - min(t)) / 12 AS width FROM readings)"
+_TICK = "CAST(least(floor((t - lo) / width), 11) AS INTEGER)"
+
+
+def dealt(rows: DataFrame, moment: Column, ticks: int = TICKS) -> DataFrame:
+    """Rows with the one of ``ticks`` equal stretches of time, from the first reading to the last, that a moment falls in; a written table."""
+    span = rows.agg(F.min("t").alias("lo"), ((F.max("t") - F.min("t")) / ticks).alias("width"))
+    tick = F.greatest(F.lit(0), F.least(F.floor((moment - F.col("lo")) / F.col("width")), F.lit(ticks - 1))).cast("int")
+    return save(rows.crossJoin(F.broadcast(span)).withColumn("tick", F.coalesce(tick, F.lit(0))).drop("lo", "width"), "dealt")
+
+
+_LATE, _LATE_S = "36 hours", 36 * 3600
+#: Every tenth reading comes four days after its time.
+_COMES = "t + CASE WHEN event_id % 10 = 3 THEN 345600 ELSE 0 END"
+
+
+@query(f"""{R}, {_SPAN}, dealt AS (SELECT camera_id, event_id, t, CAST(least(floor(({_COMES} - lo) / width), 11) AS INTEGER) AS tick FROM readings, span),
+tops AS (SELECT tick, max(t) AS top FROM dealt GROUP BY tick), marks AS (SELECT tick, max(top) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM tops)
+SELECT camera_id, event_id, tick FROM dealt JOIN marks USING (tick) WHERE top IS NULL OR round(t * 1000000) > floor(round(top * 1000000) / 1000) * 1000 - {_LATE_S} * 1000000.0""")
 def stream_late_drop(spark, sf_dir):
-    return st.drain(st.stream_late_drop(stream(spark, sf_dir), 1705000000.0), "append", "fresh").select("camera_id", "event_id")
+    folder = new_folder(spark, "late")
+    r = b.readings(spark, sf_dir).select("camera_id", "event_id", "t", F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("long")).alias("ts"))
+    rows = dealt(r, F.expr(_COMES)).withColumn("came", F.col("tick"))
+    st.in_ticks(rows, TICKS, lambda s: st.batches_of(folder)(st.stream_late_drop(s, _LATE)))
+    return spark.read.parquet(f"{folder}/rows").select("camera_id", "event_id", F.col("came").alias("tick"))
+
+
+@query(f"""{R}, ticks AS (SELECT camera_id AS edge, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY t, event_id) AS INTEGER) AS tick, moving_frac / 2 - 0.2 AS support, 0.5 + tracks / 6.0 AS anomaly FROM readings),
+g AS (SELECT *, max(CASE WHEN support > 0.02 THEN tick END) OVER (PARTITION BY edge ORDER BY tick) AS at FROM ticks) SELECT g.edge, g.tick, coalesce(1 + (s.anomaly - 1) * pow(0.86, g.tick - g.at), 1.0) AS memory FROM g LEFT JOIN ticks s ON s.edge = g.edge AND s.tick = g.at""", "memory")
+def stream_memory(spark, sf_dir):
+    folder = new_folder(spark, "memory")
+    number = F.row_number().over(Window.partitionBy("camera_id").orderBy("t", "event_id"))
+    ts = F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("long"))
+    rows = dealt(b.readings(spark, sf_dir), F.col("t")).select("tick", F.col("camera_id").alias("edge"), number.alias("own"), (F.col("moving_frac") / 2 - 0.2).alias("support"), (0.5 + F.col("tracks") / 6.0).alias("anomaly"), ts.alias("ts"))
+    start = lambda s: st.batches_of(folder)(st.stream_memory(s.withColumnRenamed("own", "tick"), "1 hour", 60 * 86400.0))
+    st.in_ticks(rows, TICKS, start)
+    return spark.read.parquet(f"{folder}/rows").select("edge", "tick", "memory")
+
+
+_NOWCAST = f"""{R.replace("WITH ", "WITH RECURSIVE ", 1)}, {rd.BASE}, {rd.CONG}, {b.EDGES}, {b.SENSORS}, {b.WATCH}, {roads.KERNEL}, {roads.HIST}, {_SPAN},
+dealt AS (SELECT cong.*, {_TICK} AS came FROM cong, span), ticks AS (SELECT CAST(unnest(range(12)) AS INTEGER) AS tick),
+latest AS (SELECT tick, dealt.* FROM dealt JOIN ticks ON came <= tick QUALIFY row_number() OVER (PARTITION BY tick, camera_id ORDER BY t DESC, event_id) = 1),
+clock AS (SELECT tick, max(t) AS now FROM latest GROUP BY tick),
+obs AS (SELECT tick, camera_id, e.edge, greatest(3.5, e.kph * (1 - 0.8 * congestion)) AS speed_kph, 80 * (1 - moving_frac) AS queue_m,
+ least(greatest(0.35 + 0.45 * greatest(0.0, 1 - (now - t) / {rd.STALE}) + 0.05 * least(tracks, 4), 0.15), 0.95) AS confidence
+ FROM latest JOIN clock USING (tick) JOIN watch USING (camera_id) JOIN edges e ON e.edge = watch.edge WHERE congestion IS NOT NULL AND now - t <= {rd.STALE}),
+one AS (SELECT obs.*, least(greatest(speed_kph / hist, 0.12), 2.2) AS ratio FROM obs JOIN hist USING (edge) QUALIFY row_number() OVER (PARTITION BY tick, edge ORDER BY camera_id) = 1),
+sums AS (SELECT tick, k.edge, sum(weight * confidence * ln(ratio)) AS num, sum(weight * confidence) AS den FROM kernel k JOIN one USING (camera_id) GROUP BY ALL),
+fused AS (SELECT tick, edge, den / (den + 0.3) AS support, exp(num / greatest(den, 1e-9) * (den / (den + 0.3))) AS anomaly FROM sums),
+each_edge AS (SELECT tick, h.edge, hist, coalesce(support, 0.0) AS support, anomaly, max(CASE WHEN support > 0.02 THEN tick END) OVER (PARTITION BY h.edge ORDER BY tick) AS at
+ FROM hist h CROSS JOIN ticks LEFT JOIN fused f USING (tick, edge)),
+made AS (SELECT e.tick, e.edge, e.hist, e.support, coalesce(1 + (l.anomaly - 1) * pow(0.86, e.tick - e.at), 1.0) AS memory, o.speed_kph, o.confidence, coalesce(o.queue_m, 0.0) AS queue_m, o.edge IS NOT NULL AS observed
+ FROM each_edge e LEFT JOIN each_edge l ON l.edge = e.edge AND l.tick = e.at LEFT JOIN one o ON o.edge = e.edge AND o.tick = e.tick)"""
+
+
+@query(f"""{_NOWCAST} SELECT tick, edge, support, memory, queue_m, observed, CASE WHEN observed THEN greatest(speed_kph * confidence + greatest(hist * memory, 3.5) * (1 - confidence), 3.5) ELSE greatest(hist * memory, 3.5) END AS kph,
+ CASE WHEN observed THEN 0.06 + 0.05 * (1 - confidence) ELSE 0.16 * (1 - 0.72 * support) + 0.06 END AS sigma FROM made""", "support memory queue_m kph sigma")
+def stream_nowcast(spark, sf_dir):
+    folder = new_folder(spark, "nowcast")
+    edges = save(b.edges(spark, sf_dir), "edges")
+    r = b.readings(spark, sf_dir)
+    free = save(b.watched(spark, sf_dir).join(edges.select("edge", "kph"), "edge"), "free")
+    fixed = save(op.sensor_baselines(r, 60), "baselines"), free, save(nc.expected_speed(edges, F.lit(roads.C0)), "expected"), save(roads.kernel(spark, sf_dir), "kernel")
+    st.in_ticks(dealt(r, F.col("t")), TICKS, lambda s: st.nowcast_stream(s, folder, *fixed, stale_s=rd.STALE))
+    return spark.read.parquet(f"{folder}/state").select("tick", "edge", "support", "memory", "queue_m", "observed", "kph", "sigma")
 
 
 @query(f"{R} SELECT camera_id, event_id, t FROM readings QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY t DESC, event_id DESC) <= 64", "t")
 def state_history(spark, sf_dir):
-    from pyspark.sql import Window
-
     back = F.row_number().over(Window.partitionBy("camera_id").orderBy(F.desc("t"), F.desc("event_id")))
     return b.readings(spark, sf_dir).withColumn("back", back).where("back <= 64").select("camera_id", "event_id", "t")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +10,28 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. A machine's own folder would be lost on other machines, so there is none in its place."""
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-wayflow-")
-        spark.conf.set(CHECKPOINT_DIR, found)
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (a folder for each value of the column ``by``) and return the table read back.
 
     Lineage is cut: what follows survives the loss of any executor and never computes ``df`` again.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
