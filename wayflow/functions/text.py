@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 
 def oneway_flag(oneway: Column, junction: Column, hw: Column) -> Column:
-    """1 along, -1 against, 0 both ways, from map tags."""
-    return F.when(oneway == "-1", -1).when(oneway.isin("yes", "true", "1") | (junction == "roundabout") | hw.isin("motorway", "motorway_link"), 1).otherwise(0)
+    """1 along, -1 against, 0 both ways, from map tags. Roundabouts and motorways are one-way unless the tag says no."""
+    said = F.lower(F.coalesce(oneway, F.lit("")))
+    implied = F.coalesce(junction.isin("roundabout", "circular"), F.lit(False)) | F.coalesce(hw.isin("motorway", "motorway_link"), F.lit(False))
+    return F.when(said.isin("yes", "true", "1"), 1).when(said.isin("-1", "reverse"), -1).when(implied & (said != "no"), 1).otherwise(0)
 
 
-def lane_count(tag: Column, rank: Column) -> Column:
-    """First number of the tag, else by rank."""
-    said = F.regexp_extract(F.coalesce(tag, F.lit("")), r"(\d+)", 1).try_cast("int")
-    return F.coalesce(F.when(said > 0, said), F.when(rank <= 2, 3).when(rank <= 4, 2).otherwise(1))
+def lane_count(tag: Column, rank: Column, oneway: Column) -> Column:
+    """Lanes of a direction: the tag's number before a semicolon, halved for both directions (one at least); without a number by rank."""
+    said = F.trim(F.substring_index(F.coalesce(tag, F.lit("")), ";", 1)).try_cast("double").cast("int")
+    half = F.greatest(F.lit(1), F.floor(said / 2).cast("int"))
+    return F.when(said > 0, F.when(oneway, said).otherwise(half)).otherwise(F.when(rank <= 1, 3).when(rank <= 3, 2).otherwise(1))
 
 
 def next_occurrence(hour: Column, now: Column) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import files, places, readings, roads, routes, streams, texts, trips, validation  # noqa: F401
+from . import ingest, files, places, readings, roads, routes, streams, texts, trips, validation  # noqa: F401
 from .core import ORACLE_SQL, QUERIES  # noqa: F401

@@ -11,13 +11,16 @@ from .core import query
 from .readings import R
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN -1 WHEN p_size % 5 = 1 OR p_brand = 'Brand#11' THEN 1 ELSE 0 END AS INTEGER) AS flag,
- CAST(coalesce(CASE WHEN try_cast(regexp_extract(p_name, '(\\d+)', 1) AS INTEGER) > 0 THEN try_cast(regexp_extract(p_name, '(\\d+)', 1) AS INTEGER) END, CASE WHEN p_size % 9 <= 2 THEN 3 WHEN p_size % 9 <= 4 THEN 2 ELSE 1 END) AS INTEGER) AS lanes FROM part""".replace("\\\\", "\\"))
+@query("""WITH p AS (SELECT *, p_size % 5 AS k, CASE WHEN p_size % 5 IN (0, 3) THEN -1 WHEN p_size % 5 = 1 OR (p_size % 5 = 2 AND p_brand = 'Brand#11') THEN 1 ELSE 0 END AS flag FROM part)
+SELECT p_partkey, CAST(flag AS INTEGER) AS flag, CAST(CASE WHEN p_size % 3 > 0 THEN CASE WHEN flag <> 0 THEN p_size ELSE greatest(1, p_size // 2) END WHEN p_size % 9 <= 1 THEN 3 WHEN p_size % 9 <= 3 THEN 2 ELSE 1 END AS INTEGER) AS lanes FROM p""")
 def oneway_lanes(spark, sf_dir):
     p = b.table(spark, sf_dir, "part")
-    tag = F.when(F.col("p_size") % 5 == 0, "-1").when(F.col("p_size") % 5 == 1, "yes").otherwise("no")
-    junction = F.when(F.col("p_brand") == "Brand#11", "roundabout").otherwise("")
-    return p.select("p_partkey", tx.oneway_flag(tag, junction, F.lit("primary")).alias("flag"), tx.lane_count(F.col("p_name"), F.col("p_size") % 9).alias("lanes"))
+    k, size = F.col("p_size") % 5, F.col("p_size").cast("string")
+    tag = F.when(k == 0, "-1").when(k == 1, "Yes").when(k == 3, "reverse").when(k == 4, "no")
+    junction = F.when(F.col("p_brand") == "Brand#11", "roundabout")
+    lanes = F.when(F.col("p_size") % 3 == 1, F.concat(size, F.lit(";9"))).when(F.col("p_size") % 3 == 2, F.concat(size, F.lit(".5")))
+    flag = tx.oneway_flag(tag, junction, F.lit("primary"))
+    return p.select("p_partkey", flag.alias("flag"), tx.lane_count(lanes, F.col("p_size") % 9, flag != 0).alias("lanes"))
 
 
 @query(f"""{R}, n AS (SELECT event_id, 1 + event_id % 11 AS h, CAST(floor(t) AS BIGINT) % 86400 AS now FROM readings)
