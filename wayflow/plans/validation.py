@@ -99,13 +99,13 @@ def fit_blend(spark, sf_dir):
 _CUTS = "o AS (SELECT t, row_number() OVER (ORDER BY t, event_id) - 1 AS k FROM readings), cut AS (SELECT (SELECT t FROM o WHERE k = floor(0.6 * 0.75 * ((SELECT count(*) FROM readings) - 1))) AS cut1, (SELECT t FROM o WHERE k = floor(0.6 * ((SELECT count(*) FROM readings) - 1))) AS cut2)"
 
 
-@query(
-    f"""{R}, {_CUTS}, {SLOPES}, {PAIRS}, {profile_sql('prof', 't <= (SELECT cut1 FROM cut)')}, {expected_sql('prof')},
+VALIDATED = f"""{R}, {_CUTS}, {SLOPES}, {PAIRS}, {profile_sql('prof', 't <= (SELECT cut1 FROM cut)')}, {expected_sql('prof')},
  tune AS (SELECT e.* FROM expected e, cut WHERE t0 > cut1 AND t1 <= cut2), test AS (SELECT e.* FROM expected e, cut WHERE t0 > cut2), {_GRID}, {fit_sql('tune')},
  three AS (SELECT 'blend' AS forecaster, {blend_sql('tau', 'damp')} AS predicted, c1 FROM test, fit UNION ALL SELECT 'persistence', c0, c1 FROM test UNION ALL SELECT 'historical', h_then, c1 FROM test)
- SELECT forecaster, {SCORE}, (SELECT CAST(tau AS DOUBLE) FROM fit) AS tau, (SELECT CAST(damp AS DOUBLE) FROM fit) AS damp, (SELECT count(*) FROM tune) AS tuning_pairs FROM three GROUP BY 1""",
-    SCORES + " tau damp",
-)
+ SELECT forecaster, {SCORE}, (SELECT CAST(tau AS DOUBLE) FROM fit) AS tau, (SELECT CAST(damp AS DOUBLE) FROM fit) AS damp, (SELECT count(*) FROM tune) AS tuning_pairs FROM three GROUP BY 1"""
+
+
+@query(VALIDATED, SCORES + " tau damp")
 def validate_forecast(spark, sf_dir):
     return va.validate_forecast(b.readings(spark, sf_dir), H, TOL)
 
