@@ -29,9 +29,9 @@ def leg(speed, e, t):
 def cost(path, speed, depart=0.0):
     t, var = depart, 0.0
     for before, e in zip([None, *path], path, strict=False):
-        drive, seconds, sigma = leg(speed, e, t)
+        _, seconds, sigma = leg(speed, e, t)
         t += seconds + TURNS.get((before, e), 0.0)
-        var += (drive * sigma) ** 2 * rt.WIDEN
+        var += (seconds * sigma) ** 2 * rt.WIDEN
     return t - depart, math.sqrt(var), sum(BY[e][3] for e in path)
 
 
@@ -74,6 +74,54 @@ def net(spark):
     }
 
 
+def solve_with_risk(o, d, speed, depart, risk, weight, dear):
+    """Dijkstra over edges, settled by cost; the clock runs beside it."""
+    best, heap = {}, []
+
+    def push(e, via, cost, clock, var, turn):
+        _, seconds, sigma = leg(speed, e, clock)
+        mean, sd = dear.get(e, 1.0) * seconds, seconds * sigma
+        heapq.heappush(heap, (cost + mean + turn + risk * sd, e, via, clock + mean + turn, var + sd * sd))
+
+    for e in BY:
+        if BY[e][1] == o:
+            push(e, None, 0.0, depart, 0.0, 0.0)
+    while heap:
+        cost, e, via, clock, var = heapq.heappop(heap)
+        if e not in best:
+            best[e] = cost, via, clock, var
+            for (a, b), s in TURNS.items():
+                if a == e and b not in best:
+                    push(b, e, cost, clock, var, s * weight)
+    ends = [(best[e][0], e) for e in best if BY[e][2] == d]
+    if not ends:
+        return None
+    path = [min(ends)[1]]
+    cost, _, clock, var = best[path[0]]
+    while best[path[0]][1] is not None:
+        path.insert(0, best[path[0]][1])
+    return path, cost, clock - depart, math.sqrt(var * rt.WIDEN)
+
+
+def test_risk_departure_and_preferences(spark, net):
+    """Risk 0, 1 and 2.5 at three departures, with turns weighed and edges liked; equal to Dijkstra's labels."""
+    rows = [(100 * k + t, o, d, depart, risk, weight) for t, o, d in TRIPS for k, (depart, risk, weight) in enumerate((x, y, 1.0 if y else 0.5) for x in (0.0, 700.0, 4000.0) for y in (0.0, 1.0, 2.5))]
+    likes = [(row[0], e, 0.6 + (e % 5) / 4) for row in rows if row[0] % 2 for e in BY if e % 3 == 0]
+    trips = spark.createDataFrame(rows, "trip long, origin long, dest long, depart_s double, risk double, turn_weight double")
+    liking = spark.createDataFrame(likes, "trip long, edge long, factor double")
+    got = {x["trip"]: x for x in rt.batch_shortest_paths(trips, net["live"], net["edges"], net["turns"], penalty=liking).collect()}
+    want = {t: solve_with_risk(o, d, LIVE, depart, risk, weight, {e: f for k, e, f in likes if k == t}) for t, o, d, depart, risk, weight in rows}
+    assert set(got) == {t for t, x in want.items() if x}
+    for t, x in got.items():
+        assert x["edges"] == want[t][0]
+        assert [x["cost_s"], x["mean_s"], x["sd_s"]] == pytest.approx(want[t][1:], abs=1e-3)
+    assert len({tuple(x["edges"]) for x in got.values()}) > len(TRIPS)
+    asked = trips.select(trips["trip"].alias("route"), "depart_s", "turn_weight")
+    told = rt.evaluate_route(rt.along(rt.batch_shortest_paths(trips, net["live"], net["edges"], net["turns"])), net["live"], net["edges"], net["turns"], asked=asked).collect()
+    plain = {t: solve_with_risk(o, d, LIVE, depart, risk, weight, {}) for t, o, d, depart, risk, weight in rows}
+    assert {x["route"]: [pytest.approx(x["mean_s"], abs=1e-3), pytest.approx(x["sd_s"], abs=1e-3)] for x in told} == {t: list(x[2:]) for t, x in plain.items() if x}
+
+
 def test_alternatives(net):
     want = {}
     for trip, o, d in TRIPS:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import traffic as tf
-from ..storage import save
+from ..storage import Rounds, save
 
 STEPS, STEP_S = 46, 120.0
 WIDEN = 1.28 * 1.28  # variance inflation
@@ -31,15 +31,20 @@ def _driven(path: Column, depart: Column) -> Column:
         now = F.get(e["steps"], step)
         drive = e["len"] / (now["kph"] / 3.6)
         seconds = drive + now["delay_s"] + e["turn_s"]
-        return F.struct((a["t"] + seconds).alias("t"), (a["mean"] + seconds).alias("mean"), (a["var"] + F.pow(drive * now["sigma"], 2) * WIDEN).alias("var"), (a["metres"] + e["len"]).alias("metres"))
+        return F.struct((a["t"] + seconds).alias("t"), (a["mean"] + seconds).alias("mean"), (a["var"] + F.pow((drive + now["delay_s"]) * now["sigma"], 2) * WIDEN).alias("var"), (a["metres"] + e["len"]).alias("metres"))
 
     zero = F.struct(depart.cast("double").alias("t"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"), F.lit(0.0).alias("metres"))
     return F.aggregate(path, zero, advance)
 
 
-def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, depart: float = 0.0) -> DataFrame:
-    """(route, mean_s, sd_s, metres) of routes that start ``depart`` seconds into the profile."""
-    folded = _paths(routes, packed, edges, turns).withColumn("r", _driven(F.col("path"), F.lit(depart)))
+def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, depart: float = 0.0, asked: DataFrame | None = None) -> DataFrame:
+    """(route, mean_s, sd_s, metres) of routes that start ``depart`` seconds into the profile, or as (route, depart_s, turn_weight) ``asked`` says."""
+    folded = _paths(routes, packed, edges, turns)
+    if asked is None:
+        folded = folded.withColumn("r", _driven(F.col("path"), F.lit(depart)))
+    else:
+        weighed = F.transform("path", lambda e: e.withField("turn_s", e["turn_s"] * F.col("turn_weight")))
+        folded = folded.join(asked.select("route", "depart_s", "turn_weight"), "route").withColumn("path", weighed).withColumn("r", _driven(F.col("path"), F.col("depart_s")))
     return folded.select("route", F.col("r.mean").alias("mean_s"), F.sqrt("r.var").alias("sd_s"), F.col("r.metres").alias("metres"))
 
 
@@ -150,44 +155,72 @@ def learn_feedback(feedback: DataFrame, strength: float = 0.08) -> DataFrame:
     return roads.join(votes.select("user_id", F.aggregate("v", F.lit(0.8), moved).alias("risk"), F.size("v").alias("trips")), "user_id")
 
 
-def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, most_rounds: int = 300, penalty: DataFrame | None = None) -> DataFrame:
-    """(trip, cost_s, edges) of many origin-destination pairs at once, on time-dependent profiles.
+def as_asked(trips: DataFrame) -> DataFrame:
+    """(trip, origin, dest, depart_s, risk, turn_weight) of trips that may lack the last three: seconds into the profile (0), what a second of deviation costs (0), and the weight of turns (1)."""
+    given = {"depart_s": 0.0, "risk": 0.0, "turn_weight": 1.0}
+    return trips.select("trip", "origin", "dest", *(F.coalesce(F.col(c).cast("double"), F.lit(x)).alias(c) if c in trips.columns else F.lit(x).alias(c) for c, x in given.items()))
 
-    ``penalty``: (trip, edge, factor) by which a trip holds an edge dearer; ``cost_s`` then counts it in.
 
-    Labels are (trip, edge): least cost to have driven that edge. Every round computes all labels anew from their
-    predecessors' current ones (never keeping an old lower one, which a changed clock may have made stale) and is
-    written to the shared folder; it ends when no label changes.
-    """
+def batch_shortest_paths(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, most_rounds: int = 300, penalty: DataFrame | None = None) -> DataFrame:
+    """(trip, cost_s, mean_s, sd_s, edges) of many trips at once, on time-dependent profiles; each trip with its own departure, risk aversion and weight of turns (see ``as_asked``).
 
-    def seconds(clock: Column, steps: Column, length: Column) -> Column:
-        now = F.get(steps, F.least(F.floor(clock / STEP_S), F.lit(STEPS - 1)).cast("int"))
-        return length / (now["kph"] / 3.6) + now["delay_s"]
+    A leg's mean is its drive and delay at the step that the clock has reached, times ``penalty`` (trip, edge, factor) where there is one; its deviation
+    is drive and delay times sigma. Cost grows by mean, turn and risk times deviation, the clock by mean and turn alone. ``mean_s`` and ``sd_s`` are those of the search, penalties counted in.
 
-    dearer = lambda df: df.withColumn("factor", F.lit(1.0)) if penalty is None else df.join(penalty, ["trip", "edge"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    Labels are (trip, edge). A round computes anew those whose predecessors changed in the round before, from all their
+    predecessors as they are now: a changed clock may make a label dearer, too. Costs grow along a path, so what stands still is what Dijkstra's algorithm settles.
+    Rounds are tables in the shared folder. Paths are walked back by doubling: a table of predecessors twice as far away each time.
+    """
+    spark = trips.sparkSession
+    asked = save(as_asked(trips), "asked")
+    dearer = lambda df: df.withColumn("factor", F.lit(1.0)) if penalty is None else df.join(penalty.select("trip", "edge", "factor"), ["trip", "edge"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     road = save(edges.select("edge", "u", "v", "len").join(packed, "edge"), "roads")
-    seeds = save(dearer(trips.select("trip", "origin").join(road, F.col("u") == F.col("origin"))).select("trip", "edge", F.round(F.col("factor") * seconds(F.lit(0.0), F.col("steps"), F.col("len")), 6).alias("cost"), F.lit(None).cast("bigint").alias("via")), "seeds")
-    follow = save(turns.join(road.select(F.col("edge").alias("next"), "len", "steps"), "next"), "turns")
-    labels = seeds
+    into = save(turns.select(F.col("edge").alias("via"), F.col("next").alias("edge"), "turn_s").join(road.select("edge", "len", "steps"), "edge"), "turns")
+
+    def labelled(rows: DataFrame, cost: Column, clock: Column, var: Column, turn: Column, via: Column) -> DataFrame:
+        now = F.get("steps", F.least(F.greatest(F.floor(clock / STEP_S), F.lit(0)), F.lit(STEPS - 1)).cast("int"))
+        drive = F.col("len") / (F.col("now.kph") / 3.6)
+        plain = drive + F.col("now.delay_s")
+        mean, sd = F.col("factor") * plain, plain * F.col("now.sigma")
+        met = rows.withColumn("now", now).withColumns({"mean": mean, "sd": sd})
+        new_cost = F.round(cost + F.col("mean") + turn + F.col("risk") * F.col("sd"), 6)
+        return met.select("trip", "edge", new_cost.alias("cost"), F.round(clock + F.col("mean") + turn, 6).alias("clock"), (var + F.col("sd") * F.col("sd")).alias("var"), via.alias("via"))
+
+    start = dearer(asked.join(road, F.col("u") == F.col("origin")))
+    seeds = save(labelled(start, F.lit(0.0), F.col("depart_s"), F.lit(0.0), F.lit(0.0), F.lit(-1).cast("bigint")), "seeds")
+    rounds = Rounds(spark, "labels")
+    labels = rounds.put(seeds.withColumn("changed", F.lit(True)))
     for _ in range(most_rounds):
-        onward = dearer(labels.select("trip", F.col("edge").alias("via"), "cost").join(follow, F.col("via") == F.col("edge")).drop("edge").withColumnRenamed("next", "edge"))
-        onward = onward.select("trip", "edge", F.round(F.col("cost") + F.col("turn_s") + F.col("factor") * seconds(F.col("cost"), F.col("steps"), F.col("len")), 6).alias("cost"), "via")
-        best = F.min(F.struct("cost", F.coalesce("via", F.lit(-1)).alias("via")))
-        new = save(onward.unionByName(seeds).groupBy("trip", "edge").agg(best.alias("b")).select("trip", "edge", "b.cost", F.when(F.col("b.via") >= 0, F.col("b.via")).alias("via")), "labels")
-        changed = new.join(labels.select("trip", "edge", F.col("cost").alias("old")), ["trip", "edge"], "left").where(F.col("old").isNull() | (F.col("old") != F.col("cost"))).isEmpty()
-        labels = new
-        if changed:
+        touched = labels.where("changed").select("trip", F.col("edge").alias("via")).join(into.select("via", "edge"), "via").select("trip", "edge").distinct()
+        before = labels.select("trip", F.col("edge").alias("via"), "cost", "clock", "var")
+        onward = dearer(touched.join(into, "edge").join(before, ["trip", "via"]).join(asked.select("trip", "risk", "turn_weight"), "trip"))
+        onward = labelled(onward, F.col("cost"), F.col("clock"), F.col("var"), F.col("turn_s") * F.col("turn_weight"), F.col("via"))
+        tried = onward.unionByName(seeds.join(touched, ["trip", "edge"], "left_semi"))
+        new = tried.groupBy("trip", "edge").agg(F.min(F.struct("cost", "via", "clock", "var")).alias("new"))
+        old = labels.select("trip", "edge", F.struct("cost", "via", "clock", "var").alias("old"))
+        met = old.join(new, ["trip", "edge"], "full").withColumn("is", F.coalesce("new", "old"))
+        changed = F.col("new").isNotNull() & ~F.coalesce((F.col("new.cost") == F.col("old.cost")) & (F.col("new.clock") == F.col("old.clock")) & (F.col("new.via") == F.col("old.via")), F.lit(False))
+        labels = rounds.put(met.select("trip", "edge", "is.cost", "is.clock", "is.var", "is.via", changed.alias("changed")))
+        if labels.where("changed").isEmpty():
             break
     else:
         raise RuntimeError(f"labels still change after {most_rounds} rounds")
-    ends = labels.join(road.select("edge", "v"), "edge").join(trips.select("trip", "dest"), "trip").where("v = dest")
-    at = ends.groupBy("trip").agg(F.min(F.struct("cost", "edge")).alias("b")).select("trip", F.col("b.cost").alias("cost_s"), F.col("b.edge").alias("at"), F.array("b.edge").alias("edges"))
-    for _ in range(most_rounds):
-        back = labels.select("trip", F.col("edge").alias("at"), "via")
-        at = save(at.join(back, ["trip", "at"], "left").select("trip", "cost_s", F.coalesce("via", F.lit(-1)).alias("at"), F.when(F.col("via").isNotNull(), F.concat(F.array("via"), "edges")).otherwise(F.col("edges")).alias("edges")), "paths")
-        if at.where("at >= 0").isEmpty():
+    ends = labels.join(road.select("edge", "v"), "edge").join(asked.select("trip", "dest", "depart_s"), "trip").where("v = dest")
+    best = ends.groupBy("trip").agg(F.min(F.struct("cost", "edge", "clock", "var", "depart_s")).alias("b"))
+    best = save(best.select("trip", F.col("b.cost").alias("cost_s"), (F.col("b.clock") - F.col("b.depart_s")).alias("mean_s"), F.sqrt(F.col("b.var") * WIDEN).alias("sd_s"), F.col("b.edge").alias("edge")), "ends")
+    found, hop = best.select("trip", "edge", F.lit(0).alias("back")), 1
+    jump = labels.where("via >= 0").select("trip", "edge", "via")
+    walked, jumps = Rounds(spark, "walked"), Rounds(spark, "jumps")
+    while True:
+        farther = found.join(jump, ["trip", "edge"]).select("trip", F.col("via").alias("edge"), (F.col("back") + hop).alias("back"), F.lit(True).alias("farther"))
+        whole = walked.put(found.withColumn("farther", F.lit(False)).unionByName(farther))
+        found = whole.drop("farther")
+        if whole.where("farther").isEmpty():
             break
-    return at.select("trip", "cost_s", "edges")
+        jump = jumps.put(jump.join(jump.select("trip", F.col("edge").alias("via"), F.col("via").alias("to")), ["trip", "via"]).select("trip", "edge", F.col("to").alias("via")))
+        hop *= 2
+    paths = found.groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "edge"))), lambda x: x["edge"]).alias("edges"))
+    return best.drop("edge").join(paths, "trip").select("trip", "cost_s", "mean_s", "sd_s", "edges")
 
 
 def route_speed_ratios(routes: DataFrame, packed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -203,13 +236,14 @@ def route_speed_ratios(routes: DataFrame, packed: DataFrame, edges: DataFrame) -
     return rows.select("route", F.explode(F.aggregate("path", zero, advance)["out"]).alias("r")).select("route", "r.pos", "r.ratio")
 
 
-def replay_route(routes: DataFrame, measured: DataFrame, edges: DataFrame, slice_s: float = 45.0) -> DataFrame:
-    """(route, seconds): a fixed path driven through measured speeds (edge, slice, kph); the last slice holds on."""
+def replay_route(routes: DataFrame, measured: DataFrame, edges: DataFrame, slice_s: float = 45.0, departs: DataFrame | None = None) -> DataFrame:
+    """(route, seconds): a fixed path driven through measured speeds (edge, slice, kph) from the first slice on, or from (route, depart_s); the last slice holds on."""
     slices = measured.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "kph"))), lambda s: s["kph"]).alias("speeds"))
     met = routes.join(slices, "edge").join(edges.select("edge", "len"), "edge")
     rows = met.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "speeds"))).alias("path"))
+    rows = rows.withColumn("depart_s", F.lit(0.0)) if departs is None else rows.join(departs.select("route", "depart_s"), "route")
     drive = lambda t, e: t + e["len"] / (F.get(e["speeds"], F.least(F.floor(t / slice_s).cast("int"), F.size(e["speeds"]) - 1)) / 3.6)
-    return rows.select("route", F.aggregate("path", F.lit(0.0), drive).alias("seconds"))
+    return rows.select("route", (F.aggregate("path", F.col("depart_s"), drive) - F.col("depart_s")).alias("seconds"))
 
 
 def near_but_off_route(routes: DataFrame, incidents: DataFrame, mids: DataFrame, most_m: float = 450.0, every: int = 4) -> DataFrame:
@@ -232,16 +266,21 @@ def along(solved: DataFrame) -> DataFrame:
     return solved.select(F.col("trip").alias("route"), F.posexplode("edges").alias("p", "edge")).select("route", (F.col("p") + 1).alias("pos"), "edge")
 
 
-def alternative_routes(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, tries: int = TRIES) -> DataFrame:
+def _routes_asked(trips: DataFrame) -> DataFrame:
+    return as_asked(trips).select(F.col("trip").alias("route"), "depart_s", "turn_weight")
+
+
+def alternative_routes(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, tries: int = TRIES, preference: DataFrame | None = None) -> DataFrame:
     """(trip, place, edges, mean_s, sd_s, metres, label): up to ``tries`` different routes a trip, at their true cost, in the order found.
 
     Each try is one solve of all trips, in which the edges that the trip's earlier tries used are dearer; a route too like a kept one is dropped and its try is spent.
+    ``preference`` (trip, edge, factor) weighs edges in every try.
     """
-    kept, penalty = None, None
+    kept, penalty = None, preference
     for turn in range(tries):
         found = save(batch_shortest_paths(trips, packed, edges, turns, penalty=penalty).select("trip", "edges", F.lit(turn).alias("turn")), "tries")
         used = found.select("trip", F.explode("edges").alias("edge"), F.lit(DIVERSE).alias("factor"))
-        penalty = save(used if penalty is None else penalty.unionByName(used).groupBy("trip", "edge").agg(F.product("factor").alias("factor")), "penalty")
+        penalty = save(used if penalty is None else penalty.select("trip", "edge", "factor").unionByName(used).groupBy("trip", "edge").agg(F.product("factor").alias("factor")), "penalty")
         if kept is None:
             kept = found
             continue
@@ -250,7 +289,8 @@ def alternative_routes(trips: DataFrame, packed: DataFrame, edges: DataFrame, tu
         kept = save(kept.unionByName(found.join(same, "trip", "left_anti")), "kept")
     place = F.row_number().over(Window.partitionBy("trip").orderBy("turn")) - 1
     kept = save(kept.withColumn("place", place).select(F.struct("trip", "place").alias("route"), "edges"), "kept")
-    cost = evaluate_route(along(kept.withColumnRenamed("route", "trip")), packed, edges, turns)
+    asked = kept.select("route", F.col("route.trip").alias("trip")).join(as_asked(trips), "trip").select("route", "depart_s", "turn_weight")
+    cost = evaluate_route(along(kept.withColumnRenamed("route", "trip")), packed, edges, turns, asked=asked)
     return route_label(kept.join(cost, "route").select("route.trip", "route.place", "edges", "mean_s", "sd_s", "metres"))
 
 
@@ -304,35 +344,37 @@ def compact_steps(steps: DataFrame, least_m: float = 130.0) -> DataFrame:
     return spoken.unionByName(arrival)
 
 
-def snapshot_baseline(trips: DataFrame, snapshot: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFrame:
+def snapshot_baseline(trips: DataFrame, snapshot: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, preference: DataFrame | None = None) -> DataFrame:
     """(trip, claimed_s, mean_s, sd_s, metres): the route that the frozen profile picks, what it promises, and what it costs under the forecast."""
-    solved = save(batch_shortest_paths(trips, snapshot, edges, turns), "solved")
-    honest = evaluate_route(along(solved), packed, edges, turns).withColumnRenamed("route", "trip")
-    return solved.select("trip", F.col("cost_s").alias("claimed_s")).join(honest, "trip")
+    solved = save(batch_shortest_paths(trips, snapshot, edges, turns, penalty=preference), "solved")
+    asked, path = _routes_asked(trips), along(solved)
+    claimed = evaluate_route(path, snapshot, edges, turns, asked=asked).select(F.col("route").alias("trip"), F.col("mean_s").alias("claimed_s"))
+    honest = evaluate_route(path, packed, edges, turns, asked=asked).withColumnRenamed("route", "trip")
+    return claimed.join(honest, "trip")
 
 
-def congestion_detours(trips: DataFrame, live: DataFrame, plain: DataFrame, edges: DataFrame, turns: DataFrame, least_m: float = 1500.0, least_min: float = 2.0, least_km: float = 0.2) -> DataFrame:
+def congestion_detours(trips: DataFrame, live: DataFrame, plain: DataFrame, edges: DataFrame, turns: DataFrame, least_m: float = 1500.0, least_min: float = 2.0, least_km: float = 0.2, preference: DataFrame | None = None) -> DataFrame:
     """(trip, chosen_km, chosen_min, short_km, short_min, saved_min, extra_km): trips (with ``straight_m``) whose live route is longer but clearly quicker than the traffic-blind one, both under the live profile."""
     far = save(trips.where(F.col("straight_m") >= least_m), "far")
 
     def cost(profile: DataFrame, name: str) -> DataFrame:
-        found = evaluate_route(along(save(batch_shortest_paths(far, profile, edges, turns), "solved")), live, edges, turns)
+        found = evaluate_route(along(save(batch_shortest_paths(far, profile, edges, turns, penalty=preference), "solved")), live, edges, turns, asked=_routes_asked(far))
         return found.select(F.col("route").alias("trip"), (F.col("metres") / 1000).alias(f"{name}_km"), (tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), 0.0) / 60).alias(f"{name}_min"))
 
     met = cost(live, "chosen").join(cost(plain, "short"), "trip").withColumns({"saved_min": F.col("short_min") - F.col("chosen_min"), "extra_km": F.col("chosen_km") - F.col("short_km")})
     return met.where((F.col("saved_min") >= least_min) & (F.col("extra_km") > least_km))
 
 
-def backtest_routers(trips: DataFrame, profiles: dict[str, DataFrame], measured: DataFrame, edges: DataFrame, turns: DataFrame, hot: DataFrame, natural: str = "historical") -> DataFrame:
+def backtest_routers(trips: DataFrame, profiles: dict[str, DataFrame], measured: DataFrame, edges: DataFrame, turns: DataFrame, hot: DataFrame, natural: str = "historical", preference: DataFrame | None = None) -> DataFrame:
     """(trip, method, claimed_s, promised_p90_s, actual_s, distance_m, disrupted): each profile's route, what it promises, and its drive through ``measured``.
 
     A trip is disrupted where the ``natural`` profile's route has one of the ``hot`` edges. Trips that a profile can't solve drop out.
     """
     rows, disrupted = None, None
     for name, packed in profiles.items():
-        solved = save(batch_shortest_paths(trips, packed, edges, turns), "solved")
+        solved = save(batch_shortest_paths(trips, packed, edges, turns, penalty=preference), "solved")
         path = along(solved)
-        told = evaluate_route(path, packed, edges, turns).join(replay_route(path, measured, edges), "route")
+        told = evaluate_route(path, packed, edges, turns, asked=_routes_asked(trips)).join(replay_route(path, measured, edges, departs=_routes_asked(trips)), "route")
         late = tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), P90)
         part = told.select(F.col("route").alias("trip"), F.lit(name).alias("method"), F.col("mean_s").alias("claimed_s"), late.alias("promised_p90_s"), F.col("seconds").alias("actual_s"), F.col("metres").alias("distance_m"))
         rows = part if rows is None else rows.unionByName(part)

@@ -104,7 +104,7 @@ def costs(spark, sf_dir):
 @query(f"""{rd.WITH_STATE}, {rd.DEGREE}, {rd._WEIGHT}, {rd.profile_sql('forecast')}, {rd.TURNS}, {ROUTES},
 path AS (SELECT r.route, r.pos, r.edge, e.len, coalesce(t.turn_s, 0) AS turn_s FROM routes r JOIN edges e USING (edge) LEFT JOIN routes p ON p.route = r.route AND p.pos = r.pos - 1 LEFT JOIN turns t ON t.edge = p.edge AND t.next = r.edge),
 fold(route, pos, t, var, metres) AS (SELECT DISTINCT route, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM routes UNION ALL
- SELECT f.route, p.pos, f.t + p.len / (q.kph / 3.6) + q.delay_s + p.turn_s, f.var + pow(p.len / (q.kph / 3.6) * q.sigma, 2) * 1.6384, f.metres + p.len
+ SELECT f.route, p.pos, f.t + p.len / (q.kph / 3.6) + q.delay_s + p.turn_s, f.var + pow((p.len / (q.kph / 3.6) + q.delay_s) * q.sigma, 2) * 1.6384, f.metres + p.len
  FROM fold f JOIN path p ON p.route = f.route AND p.pos = f.pos + 1 JOIN prof q ON q.edge = p.edge AND q.step = CAST(least(floor(f.t / 120.0), 45) AS INTEGER))
 SELECT route, round(t, 4) AS mean_s, round(sqrt(var), 4) AS sd_s, round(metres, 4) AS metres FROM fold QUALIFY row_number() OVER (PARTITION BY route ORDER BY pos DESC) = 1""")
 def evaluate_route(spark, sf_dir):
@@ -114,14 +114,33 @@ def evaluate_route(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    """(trip, origin, dest, straight_m): the orders of each customer are one trip request between two nodes of the grid; equal pairs are one trip, the least order's."""
+    """Orders as trip requests between nodes of the grid, and the trips that differ.
+
+    (o_orderkey, trip) of all orders whose ends differ, and (trip, origin, dest, straight_m, depart_s, risk, turn_weight, taste): requests that are equal in all are one trip, the least order's.
+    """
     n = rd.xy(b.nodes(spark, sf_dir)).select("node", "x", "y")
     count = n.agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"))
     k = b.table(spark, sf_dir, "orders").crossJoin(F.broadcast(count))
-    pairs = k.select("o_orderkey", (F.col("lo") + F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("lo") + F.col("o_custkey") * 31 % F.col("n")).alias("dest")).where("origin <> dest")
-    trips = pairs.groupBy("origin", "dest").agg(F.min("o_orderkey").alias("trip"))
+    taste = F.col("o_custkey") % 3
+    wishes = (((F.col("o_custkey") % 2) * 1500.0).alias("depart_s"), (taste * 1.25).alias("risk"), F.when(taste == 1, 0.5).otherwise(1.0).alias("turn_weight"), taste.alias("taste"))
+    wished = k.select("o_orderkey", (F.col("lo") + F.col("o_custkey") % F.col("n")).alias("origin"), (F.col("lo") + F.col("o_custkey") * 31 % F.col("n")).alias("dest"), *wishes).where("origin <> dest")
+    what = ("origin", "dest", "depart_s", "risk", "turn_weight", "taste")
+    trips = wished.groupBy(*what).agg(F.min("o_orderkey").alias("trip"))
     met = trips.join(n.select(F.col("node").alias("origin"), F.col("x").alias("x1"), F.col("y").alias("y1")), "origin").join(n.select(F.col("node").alias("dest"), F.col("x").alias("x2"), F.col("y").alias("y2")), "dest")
-    return save(met.select("trip", "origin", "dest", F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)).alias("straight_m")), "asked")
+    straight = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2))
+    return save(wished.join(trips, list(what)).select("o_orderkey", "trip"), "orders"), save(met.select("trip", *what, straight.alias("straight_m")), "asked")
+
+
+def liking(trips, edges):
+    """(trip, edge, factor): tastes of road classes by customer, where they are not neutral."""
+    tastes = edges.sparkSession.createDataFrame([(1, 0.5, 0.0, 0.2), (2, 0.0, 1.0, 0.0)], "user_id long, avoid_narrow double, prefer_arterial double, size_penalty double")
+    users = tastes.withColumn("road_bias", F.create_map(F.lit("Row 2"), F.lit(0.9)))
+    factors = rt.edge_preference(users.select("user_id").crossJoin(edges.select("edge")), edges, users).where("factor <> 1")
+    return save(trips.select("trip", F.col("taste").alias("user_id")).join(factors, "user_id").select("trip", "edge", "factor"), "liking")
+
+
+def to_orders(orders, found):
+    return orders.join(found, "trip").drop("trip")
 
 
 def profiles(spark, sf_dir, *kinds):
@@ -137,22 +156,31 @@ def network(spark, sf_dir):
 
 @query()
 def batch_shortest_paths(spark, sf_dir):
-    return rt.batch_shortest_paths(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast"), *network(spark, sf_dir))
+    edges, turns = network(spark, sf_dir)
+    orders, trips = asked(spark, sf_dir)
+    return to_orders(orders, rt.batch_shortest_paths(trips, *profiles(spark, sf_dir, "forecast"), edges, turns, penalty=liking(trips, edges)))
 
 
 @query()
 def alternative_routes(spark, sf_dir):
-    return rt.alternative_routes(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast"), *network(spark, sf_dir))
+    edges, turns = network(spark, sf_dir)
+    orders, trips = asked(spark, sf_dir)
+    return to_orders(orders, rt.alternative_routes(trips, *profiles(spark, sf_dir, "forecast"), edges, turns, preference=liking(trips, edges)))
 
 
 @query()
 def snapshot_baseline(spark, sf_dir):
-    return rt.snapshot_baseline(asked(spark, sf_dir), *profiles(spark, sf_dir, "snapshot", "forecast"), *network(spark, sf_dir))
+    edges, turns = network(spark, sf_dir)
+    orders, trips = asked(spark, sf_dir)
+    return to_orders(orders, rt.snapshot_baseline(trips, *profiles(spark, sf_dir, "snapshot", "forecast"), edges, turns, preference=liking(trips, edges)))
 
 
 @query()
 def congestion_detours(spark, sf_dir):
-    return rt.congestion_detours(asked(spark, sf_dir), *profiles(spark, sf_dir, "forecast", "free"), *network(spark, sf_dir))
+    """The grid of the smallest tables is a kilometre wide, so trips count from 300 m on, and detours from six seconds and 20 m on."""
+    edges, turns = network(spark, sf_dir)
+    orders, trips = asked(spark, sf_dir)
+    return to_orders(orders, rt.congestion_detours(trips, *profiles(spark, sf_dir, "forecast", "free"), edges, turns, 300.0, 0.1, 0.02))
 
 
 def measured(edges):
@@ -164,8 +192,10 @@ def measured(edges):
 def backtest_routers(spark, sf_dir):
     kinds = ("forecast", "snapshot", "historical")
     edges, turns = network(spark, sf_dir)
+    orders, trips = asked(spark, sf_dir)
     hot = b.incidents(spark, sf_dir).select(F.explode("edges").alias("edge"))
-    return rt.backtest_routers(asked(spark, sf_dir), dict(zip(kinds, profiles(spark, sf_dir, *kinds), strict=True)), measured(edges), edges, turns, hot)
+    packed = dict(zip(kinds, profiles(spark, sf_dir, *kinds), strict=True))
+    return to_orders(orders, rt.backtest_routers(trips, packed, measured(edges), edges, turns, hot, preference=liking(trips, edges)))
 
 
 @query()

@@ -32,6 +32,23 @@ def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
 
     Lineage is cut: what follows survives the loss of any executor and never computes ``df`` again.
     """
-    path = new_folder(df.sparkSession, tag)
+    return save_as(df, new_folder(df.sparkSession, tag), by)
+
+
+def save_as(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of an iteration, of which each is read to write the next: the one before goes once the new one is there."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self._spark, self._tag, self._path = spark, tag, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spent, self._path = self._path, new_folder(self._spark, self._tag)
+        saved = save_as(df, self._path)
+        if spent:
+            forget(self._spark, spent)
+        return saved
