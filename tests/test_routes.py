@@ -193,6 +193,32 @@ def test_leave_by(spark, net):
     assert None in got.values()
 
 
+def test_planned_departures_and_leave_by(spark, net):
+    """Planned anew at every departure and at every probe."""
+    rows = [(t, o, d, 1.0, 0.5) for t, o, d in TRIPS]
+    trips = spark.createDataFrame(rows, "trip long, origin long, dest long, risk double, turn_weight double")
+    plan = lambda o, d, depart: solve_with_risk(o, d, LIVE, depart, 1.0, 0.5, {})
+    want = {(t, w): plan(o, d, 60.0 * w)[2:] for t, o, d in TRIPS for w in (0, 30) if plan(o, d, 60.0 * w)}
+    got = {(x["trip"], x["wait"]): (x["median_s"], x["p90_s"]) for x in rt.planned_departures(trips, net["live"], net["edges"], net["turns"], waits=(0, 30)).collect()}
+    assert got == {k: pytest.approx((percentile(*v, 0.0), percentile(*v, rt.P90)), abs=1e-3) for k, v in want.items()}
+    ends = {t: (1.0, 2500.0, 700.0, 4000.0)[k] for k, (t, _, _) in enumerate(TRIPS)}
+    best = {}
+    for t, o, d in TRIPS:
+        lo, hi, best[t] = 50.0, ends[t], None
+        for _ in range(4):
+            mid = (lo + hi) / 2
+            found = plan(o, d, mid)
+            if found is None:
+                break
+            if mid + percentile(*found[2:], rt.P90) <= ends[t]:
+                lo = best[t] = mid
+            else:
+                hi = mid
+    asked = spark.createDataFrame([(*row, 50.0, ends[row[0]]) for row in rows], "trip long, origin long, dest long, risk double, turn_weight double, now double, deadline double")
+    found = {x["trip"]: x["depart_s"] for x in rt.leave_by_planned(asked, net["live"], net["edges"], net["turns"], probes=4).collect()}
+    assert found == best and None in found.values() and any(found.values())
+
+
 def test_steps_worth_saying(spark):
     rows = [
         (1, 0, "A", "Head out on", 90.0, 9.0), (1, 1, "B", "Turn left onto", 200.0, 20.0), (1, 2, "C", "Bear left onto", 40.0, 4.0), (1, 3, "B", "Bear right onto", 300.0, 30.0), (1, 4, "B", "Turn right onto", 150.0, 15.0),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import traffic as tf
+from ..storage import save
+from .quantiles import exact_quantiles, with_medians
 
 HOUR = 3600.0
 
@@ -21,13 +23,10 @@ def sensor_baselines(readings: DataFrame, least: int = 6) -> DataFrame:
 
 def coverage_overview(readings: DataFrame) -> DataFrame:
     """One row: readings, sensors, least, upper-median and most readings a sensor, span in hours."""
-    per = readings.groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    # the list has one number a sensor
-    ranks = F.sort_array(F.collect_list("n"))
-    return per.agg(
-        F.sum("n").alias("readings"), F.count(F.lit(1)).alias("sensors"), F.min("n").alias("least"), F.element_at(ranks, (F.floor(F.size(ranks) / 2) + 1).cast("int")).alias("upper_median"),
-        F.max("n").alias("most"), ((F.max("hi") - F.min("lo")) / HOUR).alias("span_h"),
-    )
+    per = save(readings.groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")), "per_sensor")
+    middle = exact_quantiles(per, "n", (), (0.5,), upper=True).select(F.col("quantile").cast("long").alias("upper_median"))
+    sums = per.agg(F.sum("n").alias("readings"), F.count(F.lit(1)).alias("sensors"), F.min("n").alias("least"), F.max("n").alias("most"), ((F.max("hi") - F.min("lo")) / HOUR).alias("span_h"))
+    return sums.join(middle, F.lit(True), "left").select("readings", "sensors", "least", "upper_median", "most", "span_h")
 
 
 def hour_of_day_profile(readings: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -56,7 +55,8 @@ def class_shares(readings: DataFrame) -> DataFrame:
 
 
 def moving_stats(readings: DataFrame) -> DataFrame:
-    return readings.where("tracks >= 2").agg(F.count(F.lit(1)).alias("n"), F.avg("moving_frac").alias("mean_moving"), F.median("moving_frac").alias("median_moving"))
+    rows = readings.where("tracks >= 2")
+    return with_medians(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("moving_frac").alias("mean_moving")), rows, (), {"median_moving": "moving_frac"})
 
 
 def busiest_sensors(readings: DataFrame, most: int = 6) -> DataFrame:

@@ -13,6 +13,8 @@ WIDEN = 1.28 * 1.28  # variance inflation
 P90 = 1.2815515655446004
 # Fixed values of alternatives: what a used edge costs more, the likeness from which a route is none, and how many are tried
 DIVERSE, ALIKE, TRIES = 1.7, 0.72, 3
+# Minutes of waiting that are compared with leaving now.
+WAITS_MIN = (0, 15, 30, 45, 60)
 
 
 def _paths(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFrame:
@@ -48,6 +50,46 @@ def evaluate_route(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns
     return folded.select("route", F.col("r.mean").alias("mean_s"), F.sqrt("r.var").alias("sd_s"), F.col("r.metres").alias("metres"))
 
 
+def costed_departures(routes: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, waits: tuple[int, ...] = WAITS_MIN) -> DataFrame:
+    """(trip, wait, median_s, p90_s) of fixed routes costed at each departure, all in one fold; for ``trips.go_now_or_wait``."""
+    each = F.explode(F.array(*map(F.lit, waits)))
+    rows = routes.withColumn("wait", each).select(F.struct("route", "wait").alias("route"), "pos", "edge")
+    asked = routes.select("route").distinct().withColumn("wait", each).select(F.struct("route", "wait").alias("route"), (F.col("wait") * 60.0).alias("depart_s"), F.lit(1.0).alias("turn_weight"))
+    found = evaluate_route(rows, packed, edges, turns, asked=asked)
+    return found.select(F.col("route.route").alias("trip"), "route.wait", *_median_p90())
+
+
+def _median_p90() -> tuple[Column, Column]:
+    return tuple(tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), z).alias(n) for z, n in ((0.0, "median_s"), (P90, "p90_s")))
+
+
+def planned_departures(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, waits: tuple[int, ...] = WAITS_MIN, preference: DataFrame | None = None) -> DataFrame:
+    """(trip, wait, median_s, p90_s) of trips that are planned anew at each departure; one solve of all trips and departures."""
+    each = as_asked(trips).withColumn("wait", F.explode(F.array(*map(F.lit, waits))))
+    each = save(each.withColumns({"trip": F.struct("trip", "wait"), "depart_s": F.col("depart_s") + F.col("wait") * 60}).drop("wait"), "departures")
+    likes = None if preference is None else preference.withColumn("wait", F.explode(F.array(*map(F.lit, waits)))).select(F.struct("trip", "wait").alias("trip"), "edge", "factor")
+    path = along(save(batch_shortest_paths(each, packed, edges, turns, penalty=likes), "solved"))
+    found = evaluate_route(path, packed, edges, turns, asked=_routes_asked(each))
+    return found.select("route.trip", "route.wait", *_median_p90())
+
+
+def leave_by_planned(trips: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, z: float = P90, probes: int = 9, preference: DataFrame | None = None) -> DataFrame:
+    """(trip, depart_s) of trips with ``now`` and ``deadline``: the latest departure found at which the trip, planned anew, arrives in time at the percentile; null where none is.
+
+    Bisection of all trips at once: each probe is one solve. A trip without a way has no departure.
+    """
+    whole = as_asked(trips).join(trips.select("trip", F.col("now").cast("double").alias("lo"), F.col("deadline").cast("double").alias("hi"), F.col("deadline").cast("double").alias("deadline")), "trip")
+    state = save(whole.drop("depart_s").withColumn("best", F.lit(None).cast("double")), "probes")
+    for _ in range(probes):
+        tried = state.withColumn("depart_s", (F.col("lo") + F.col("hi")) / 2)
+        path = along(save(batch_shortest_paths(tried, packed, edges, turns, penalty=preference), "solved"))
+        found = evaluate_route(path, packed, edges, turns, asked=_routes_asked(tried)).select(F.col("route").alias("trip"), tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), z).alias("took"))
+        met = tried.join(found, "trip").withColumn("meets", F.col("depart_s") + F.col("took") <= F.col("deadline"))
+        pick = lambda yes, no: F.when(F.col("meets"), F.col(yes)).otherwise(F.col(no))
+        state = save(met.select("trip", "origin", "dest", "risk", "turn_weight", "deadline", pick("depart_s", "lo").alias("lo"), pick("hi", "depart_s").alias("hi"), pick("depart_s", "best").alias("best")), "probes")
+    return trips.select("trip").join(state.select("trip", F.col("best").alias("depart_s")), "trip", "left")
+
+
 def leave_by(routes: DataFrame, deadlines: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, z: float = P90, probes: int = 9) -> DataFrame:
     """(route, depart_s) for (route, now, deadline): the latest departure found whose percentile of arrival meets the deadline; null where none does.
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_medians
+
 
 def router_scores(trips: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
     """Per method: trips, minutes, error of the claimed time, bias, share on time, km."""
-    e = (F.col("claimed_s") - F.col("actual_s")) / 60
-    return trips.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (F.avg("actual_s") / 60).alias("mean_min"), (F.median("actual_s") / 60).alias("median_min"), F.avg(F.abs(e)).alias("mae_min"), F.median(F.abs(e)).alias("median_ae_min"),
-        F.avg(e).alias("bias_min"), (100 * F.avg((F.col("actual_s") <= F.col("promised_p90_s")).cast("double"))).alias("on_time"), (F.avg("distance_m") / 1000).alias("mean_km"),
+    rows = trips.withColumns({"e": (F.col("claimed_s") - F.col("actual_s")) / 60, "actual_min": F.col("actual_s") / 60}).withColumn("off", F.abs("e"))
+    means = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("actual_min").alias("mean_min"), F.avg("off").alias("mae_min"), F.avg("e").alias("bias_min"),
+        (100 * F.avg((F.col("actual_s") <= F.col("promised_p90_s")).cast("double"))).alias("on_time"), (F.avg("distance_m") / 1000).alias("mean_km"),
     )
+    whole = with_medians(means, rows, by, {"median_min": "actual_min", "median_ae_min": "off"})
+    return whole.select(*by, "n", "mean_min", "median_min", "mae_min", "median_ae_min", "bias_min", "on_time", "mean_km")
 
 
 def paired_compare(trips: DataFrame, ours: str, theirs: str) -> DataFrame:
@@ -26,10 +30,11 @@ def paired_compare(trips: DataFrame, ours: str, theirs: str) -> DataFrame:
 def win_tie_loss(pairs: DataFrame, tie_s: float = 20.0) -> DataFrame:
     share = lambda c: 100 * F.avg(c.cast("double"))
     s = F.col("saving_s")
-    return pairs.agg(
-        F.count(F.lit(1)).alias("n"), (F.avg(s) / 60).alias("saving_min"), (F.median(s) / 60).alias("median_saving_min"), (100 * F.sum(s) / F.sum("their_s")).alias("saving_pct"),
+    means = pairs.agg(
+        F.count(F.lit(1)).alias("n"), (F.avg(s) / 60).alias("saving_min"), (100 * F.sum(s) / F.sum("their_s")).alias("saving_pct"),
         share(s > tie_s).alias("win"), share(F.abs(s) <= tie_s).alias("tie"), share(s < -tie_s).alias("loss"), (100 * (1 - F.avg("our_error") / F.avg("their_error"))).alias("error_reduction"),
     )
+    return with_medians(means, pairs.withColumn("saving", s / 60), (), {"median_saving_min": "saving"})
 
 
 def subgroup_scores(trips: DataFrame, least: int = 5) -> DataFrame:
@@ -42,11 +47,21 @@ def compare_destinations(costed: DataFrame, close_s: float = 120.0) -> DataFrame
     return costed.select("origin", "dest", "median_s", F.row_number().over(w).alias("place"), F.coalesce(F.lead("median_s").over(w) - F.col("median_s") < close_s, F.lit(False)).alias("too_close"))
 
 
-def go_now_or_wait(trips: DataFrame, offsets: tuple[int, ...] = (0, 15, 30, 45, 60)) -> DataFrame:
-    """(trip, arrive_first, drive_least): best waits in minutes of trips costed by offset (trip, drive_s at offset 0, slope a minute)."""
-    tried = trips.withColumn("wait", F.explode(F.array(*map(F.lit, offsets)))).withColumn("drive", F.col("drive_s") + F.col("slope") * F.col("wait"))
-    arrival = F.round(F.col("drive") + F.col("wait") * 60, 6)
-    return tried.groupBy("trip").agg(F.min(F.struct(arrival.alias("v"), "wait")).alias("a"), F.min(F.struct(F.round("drive", 6).alias("v"), "wait")).alias("d")).select("trip", F.col("a.wait").alias("arrive_first"), F.col("d.wait").alias("drive_least"))
+def go_now_or_wait(costed: DataFrame) -> DataFrame:
+    """(trip, arrive_first, drive_least, now_s, now_p90_s, saving_min, later_min, verdict) of trips costed at several departures (trip, wait, median_s, p90_s), wait in minutes.
+
+    ``arrive_first`` and ``drive_least`` are the waits of earliest arrival and shortest drive, the shorter wait on a tie. The verdict goes by arrival: "wait" where a later
+    departure arrives earlier, "now" where waiting doesn't save two minutes of driving, else "now, though the drive would be shorter".
+    """
+    arrival = F.round(F.col("median_s") + F.col("wait") * 60, 6)
+    drive = F.round("median_s", 6)
+    best = costed.groupBy("trip").agg(
+        F.min(F.struct(arrival.alias("v"), "wait")).alias("a"), F.min(F.struct(drive.alias("v"), "wait")).alias("d"), F.min_by(F.struct("median_s", "p90_s"), "wait").alias("now")
+    )
+    minutes = lambda s: F.bround(s / 60).cast("int")
+    saving, later = minutes(F.col("now.median_s") - F.col("d.v")), minutes(F.col("d.v") + F.col("d.wait") * 60 - F.col("now.median_s"))
+    verdict = F.when(F.col("a.wait") > 0, "wait").when(saving >= 2, "now, though the drive would be shorter").otherwise("now")
+    return best.select("trip", F.col("a.wait").alias("arrive_first"), F.col("d.wait").alias("drive_least"), F.col("now.median_s").alias("now_s"), F.col("now.p90_s").alias("now_p90_s"), saving.alias("saving_min"), later.alias("later_min"), verdict.alias("verdict"))
 
 
 def incident_envelope(t, start, duration, onset: float = 0.12, power: float = 1.4):

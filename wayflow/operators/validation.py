@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import traffic as tf
+from ..storage import save
 from . import readings as op
+from .quantiles import with_medians
 
 # The grid of decay times and trend weights.
 TAUS = (120.0, 240.0, 360.0, 600.0, 900.0, 1200.0, 1800.0, 2700.0, 3600.0, 7200.0, 1e9)
@@ -66,10 +68,9 @@ def fit_blend(pairs: DataFrame, horizon: float) -> DataFrame:
 
 def forecast_scores(pairs: DataFrame) -> DataFrame:
     """Scores by forecaster of rows (forecaster, predicted, c1)."""
-    e = F.col("predicted") - F.col("c1")
-    return pairs.groupBy("forecaster").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.abs(e) / F.greatest("c1", F.lit(1.0)))).alias("mape"), F.median(F.abs(e)).alias("median_ae")
-    )
+    rows = save(pairs.select("forecaster", (F.col("predicted") - F.col("c1")).alias("e"), "c1").withColumn("off", F.abs("e")), "errors")
+    means = rows.groupBy("forecaster").agg(F.count(F.lit(1)).alias("n"), F.avg("off").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (100 * F.avg(F.col("off") / F.greatest("c1", F.lit(1.0)))).alias("mape"))
+    return with_medians(means, rows, ("forecaster",), {"median_ae": "off"})
 
 
 def predictions(pairs: DataFrame, horizon: float, tau: Column, damp: Column) -> DataFrame:

@@ -9,9 +9,11 @@ from .. import bindings as b
 from ..operators import nowcast as nc
 from ..operators import roads as ro
 from ..operators import routes as rt
+from ..operators import trips as tr
 from ..storage import save
 from . import roads as rd
 from .core import query
+from .trips import VERDICTS
 
 ROUTES = f"routes AS (SELECT u // {b.GRID_W} AS route, row_number() OVER (PARTITION BY u // {b.GRID_W} ORDER BY u) AS pos, edge FROM edges WHERE name LIKE 'Row%' AND edge % 4 = 0)"
 E = rd.E + ", " + ROUTES
@@ -113,6 +115,21 @@ def evaluate_route(spark, sf_dir):
     return found.select("route", *[F.round(c, 4).alias(c) for c in ("mean_s", "sd_s", "metres")])
 
 
+_CV = "(1 + pow(sd_s / mean_s, 2))"
+
+
+@query(f"""{rd.WITH_STATE}, {rd.DEGREE}, {rd._WEIGHT}, {rd.profile_sql('forecast')}, {rd.TURNS}, {ROUTES},
+path AS (SELECT r.route, r.pos, r.edge, e.len, coalesce(t.turn_s, 0) AS turn_s FROM routes r JOIN edges e USING (edge) LEFT JOIN routes p ON p.route = r.route AND p.pos = r.pos - 1 LEFT JOIN turns t ON t.edge = p.edge AND t.next = r.edge),
+fold(route, wait, pos, t, var) AS (SELECT DISTINCT route, wait, 0::BIGINT, wait * 60.0::DOUBLE, 0.0::DOUBLE FROM routes, (SELECT unnest([0, 15, 30, 45, 60]) AS wait) UNION ALL
+ SELECT f.route, f.wait, p.pos, f.t + p.len / (q.kph / 3.6) + q.delay_s + p.turn_s, f.var + pow((p.len / (q.kph / 3.6) + q.delay_s) * q.sigma, 2) * 1.6384
+ FROM fold f JOIN path p ON p.route = f.route AND p.pos = f.pos + 1 JOIN prof q ON q.edge = p.edge AND q.step = CAST(least(floor(f.t / 120.0), 45) AS INTEGER)),
+ends AS (SELECT route AS trip, wait, t - wait * 60 AS mean_s, sqrt(var) AS sd_s FROM fold QUALIFY row_number() OVER (PARTITION BY route, wait ORDER BY pos DESC) = 1),
+costed AS (SELECT trip, wait, mean_s / sqrt{_CV} AS median_s, mean_s / sqrt{_CV} * exp(1.2815515655446004 * sqrt(ln{_CV})) AS p90_s FROM ends), {VERDICTS}""", "now_s now_p90_s")
+def go_now_or_wait(spark, sf_dir):
+    packed, edges, turns = costs(spark, sf_dir)
+    return tr.go_now_or_wait(rt.costed_departures(routes(spark, sf_dir), save(packed, "profile"), edges, turns))
+
+
 def asked(spark, sf_dir):
     """Orders as trip requests between nodes of the grid, and the trips that differ.
 

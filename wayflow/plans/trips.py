@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import traffic as tf
 from ..operators import detections as de
+from ..operators import routes as rt
 from ..operators import trips as tr
 from .core import query
 
@@ -61,12 +62,21 @@ def compare_destinations(spark, sf_dir):
     return tr.compare_destinations(costed)
 
 
-@query(f"""{T}, w AS (SELECT o_orderkey AS trip, wait, actual_s + ((o_orderkey % 200) - 150.0) * wait AS drive FROM trips, (SELECT unnest([0, 15, 30, 45, 60]) AS wait))
-SELECT a.trip, a.wait AS arrive_first, d.wait AS drive_least FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY trip ORDER BY round(drive + wait * 60, 6), wait) = 1) a
- JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY trip ORDER BY round(drive, 6), wait) = 1) d USING (trip)""")
-def go_now_or_wait(spark, sf_dir):
-    t = b.trips(spark, sf_dir).select(F.col("o_orderkey").alias("trip"), F.col("actual_s").alias("drive_s"), ((F.col("o_orderkey") % 200) - 150.0).alias("slope"))
-    return tr.go_now_or_wait(t)
+# of costed departures (trip, wait, median_s, p90_s)
+VERDICTS = """a AS (SELECT trip, wait, median_s FROM costed QUALIFY row_number() OVER (PARTITION BY trip ORDER BY round(median_s + wait * 60, 6), wait) = 1),
+d AS (SELECT trip, wait, round(median_s, 6) AS v FROM costed QUALIFY row_number() OVER (PARTITION BY trip ORDER BY round(median_s, 6), wait) = 1),
+v AS (SELECT trip, a.wait AS arrive_first, d.wait AS drive_least, n.median_s AS now_s, n.p90_s AS now_p90_s, CAST(round_even((n.median_s - d.v) / 60, 0) AS INTEGER) AS saving_min,
+ CAST(round_even((d.v + d.wait * 60 - n.median_s) / 60, 0) AS INTEGER) AS later_min FROM a JOIN d USING (trip) JOIN (SELECT * FROM costed WHERE wait = 0) n USING (trip))
+SELECT *, CASE WHEN arrive_first > 0 THEN 'wait' WHEN saving_min >= 2 THEN 'now, though the drive would be shorter' ELSE 'now' END AS verdict FROM v"""
+
+
+@query(f"""{T}, costed AS (SELECT o_orderkey AS trip, wait, actual_s + ((o_orderkey % 200) - 150.0) * wait AS median_s, (actual_s + ((o_orderkey % 200) - 150.0) * wait) * 1.25 AS p90_s FROM trips, (SELECT unnest([0, 15, 30, 45, 60]) AS wait)), {VERDICTS}""", "now_s now_p90_s")
+def departure_verdicts(spark, sf_dir):
+    """Orders whose drive gets longer or shorter by a constant rate."""
+    wait = F.explode(F.array(*map(F.lit, rt.WAITS_MIN)))
+    rows = b.trips(spark, sf_dir).select(F.col("o_orderkey").alias("trip"), "actual_s", ((F.col("o_orderkey") % 200) - 150.0).alias("slope"), wait.alias("wait"))
+    drive = F.col("actual_s") + F.col("slope") * F.col("wait")
+    return tr.go_now_or_wait(rows.select("trip", "wait", drive.alias("median_s"), (drive * 1.25).alias("p90_s")))
 
 
 @query(f"{T} SELECT o_orderkey AS trip, wait, actual_s + wait * 60 AS arrives FROM trips, (SELECT unnest([0, 15, 30, 45, 60]) AS wait)", "arrives")
