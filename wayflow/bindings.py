@@ -114,12 +114,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("clip"), (F.col("l_orderkey") % 100).alias("frame"), (F.col("l_partkey") % 20).alias("track"),
         F.concat("l_returnflag", "l_linestatus").alias("cls"), (F.col("l_quantity") * 7).alias("x"), (F.col("l_extendedprice") % 288).alias("y"),
-        F.lit(352).alias("frame_w"), "l_orderkey", "l_linenumber", "l_partkey",
+        F.lit(352).alias("frame_w"), F.lit(288).alias("frame_h"), "l_orderkey", "l_linenumber", "l_partkey",
     )
 
 
 DETECTIONS = """detections AS (SELECT l_suppkey AS clip, l_orderkey % 100 AS frame, l_partkey % 20 AS track, l_returnflag || l_linestatus AS cls,
- l_quantity * 7 AS x, l_extendedprice % 288 AS y, 352 AS frame_w, l_orderkey, l_linenumber, l_partkey FROM lineitem)"""
+ l_quantity * 7 AS x, l_extendedprice % 288 AS y, 352 AS frame_w, 288 AS frame_h, l_orderkey, l_linenumber, l_partkey FROM lineitem)"""
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:

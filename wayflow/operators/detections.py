@@ -1,10 +1,12 @@
-"""Operators on detected vehicles: (clip, frame, track, cls, x, y, frame_w); order by (frame, l_orderkey, l_linenumber, l_partkey)."""
+"""Operators on detected vehicles: (clip, frame, track, cls, x, y, frame_w, frame_h); order by (frame, l_orderkey, l_linenumber, l_partkey)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import traffic as tf
+
 ORDER = ("frame", "l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -18,31 +20,45 @@ def moving_fraction(points: DataFrame) -> DataFrame:
 
 
 def clip_measurement(points: DataFrame) -> DataFrame:
-    """(clip, frames, count_mean, count_max, classes): counts of frames, then of clips; classes are means a frame."""
+    """(clip, frames, count_mean, count_max, classes, tracks, moving): counts of frames, then of clips; classes are means a frame, and what moves of the tracks."""
     frames = points.groupBy("clip", "frame", "cls").agg(F.count(F.lit(1)).alias("n"))
     whole = frames.groupBy("clip", "frame").agg(F.sum("n").alias("n")).groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.avg("n").alias("count_mean"), F.max("n").alias("count_max"))
     classes = frames.groupBy("clip", "cls").agg(F.sum("n").alias("n")).join(whole.select("clip", "frames"), "clip")
     mapped = classes.groupBy("clip").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", (F.col("n") / F.col("frames")).alias("mean"))))).alias("classes"))
-    return whole.join(mapped, "clip")
+    return whole.join(mapped, "clip").join(moving_fraction(points), "clip")
+
+
+# Points of a track looked back on, its least seconds, and speeds (km/h) from which a jump is no drive and under which a vehicle stands
+TRACK_POINTS, LEAST_S, JUMP_KPH, STANDING_KPH = 12, 1e-3, 180.0, 3.0
+CAR_M = 4.2  # length of a vehicle of unknown class
+
 
+def track_speed(points: DataFrame, fps: float = 25.0, window: int = TRACK_POINTS) -> DataFrame:
+    """Points with the speed in km/h over the track's last ``window``: ground covered from point to point, over the seconds since the first; null until three points.
 
-def track_speed(points: DataFrame, window: int = 12) -> DataFrame:
-    """Points with the speed over the track's last ``window``: ground covered over frames elapsed; null until three points."""
+    Ground distance is that on the road seen by the camera, along it and across.
+    """
     w = Window.partitionBy("clip", "track").orderBy(*ORDER)
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    stepped = points.withColumn("step", step)
+    before = lambda c: F.lag(c).over(w)
+    step = tf.ground_distance(before("y"), before("x"), F.col("y"), F.col("x"), F.col("frame_h"), F.col("frame_w"))
+    seconds = (F.col("frame") - F.first("frame").over(w.rowsBetween(-(window - 1), 0))) / F.lit(fps)
     ground = F.sum("step").over(w.rowsBetween(-(window - 2), 0))
-    elapsed = F.col("frame") - F.first("frame").over(w.rowsBetween(-(window - 1), 0))
-    return stepped.withColumn("speed", F.when((F.row_number().over(w) >= 3) & (elapsed > 0), ground / elapsed)).drop("step")
+    speed = ground / F.greatest(seconds, F.lit(LEAST_S)) * 3.6
+    return points.withColumn("step", step).withColumn("speed", F.when(F.row_number().over(w) >= 3, speed)).drop("step")
 
 
 def frame_stats(points: DataFrame, lengths: DataFrame, view_m: float = 100.0, lanes: int = 2) -> DataFrame:
-    """(clip, frame, total, median_speed, stopped, occupancy) of points with speeds; ``lengths``: (cls, length)."""
-    met = points.join(F.broadcast(lengths), "cls", "left")
-    return met.groupBy("clip", "frame").agg(
-        F.count(F.lit(1)).alias("total"), F.median(F.when(F.col("speed") < 180, F.col("speed"))).alias("median_speed"), F.sum((F.coalesce("speed", F.lit(99.0)) < 3).cast("int")).cast("bigint").alias("stopped"),
-        F.least(F.lit(1.0), F.sum(F.coalesce("length", F.lit(4.5))) / (view_m * lanes)).alias("occupancy"),
+    """(clip, frame, total, median_speed, stopped, occupancy, counts) of points with speeds; ``lengths``: (cls, length).
+
+    Speeds of JUMP_KPH or more come from mistaken tracks and don't count; without any speed the median is 0. ``counts`` has the vehicles of each class.
+    """
+    met = points.join(F.broadcast(lengths), "cls", "left").withColumn("real", F.when(F.col("speed") < JUMP_KPH, F.col("speed")))
+    stats = met.groupBy("clip", "frame").agg(
+        F.count(F.lit(1)).alias("total"), F.coalesce(F.median("real"), F.lit(0.0)).alias("median_speed"), F.count_if(F.col("real") < STANDING_KPH).alias("stopped"),
+        F.least(F.lit(1.0), F.sum(F.coalesce("length", F.lit(CAR_M))) / F.greatest(F.lit(view_m * lanes), F.lit(1.0))).alias("occupancy"),
     )
+    counts = class_counts(points).groupBy("clip", "frame").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", "n")))).alias("counts"))
+    return stats.join(counts, ["clip", "frame"])
 
 
 def class_counts(points: DataFrame) -> DataFrame:

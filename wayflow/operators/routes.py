@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import traffic as tf
 from ..storage import Rounds, save
@@ -179,22 +187,94 @@ def edge_preference(asked: DataFrame, edges: DataFrame, users: DataFrame) -> Dat
     return met.select("user_id", "edge", (narrow * main * bulk * bias).alias("factor"))
 
 
+# Fixed values of learning: a road's bias at first, its least and greatest; risk aversion at first, least and greatest, and its moves by a vote up or down
+BIAS, RISK, RISK_MOVES = (1.0, 0.6, 1.8), (0.8, 0.0, 2.5), (-0.04, 0.12)
+#: Biases are kept to three decimals, so a road's bias has so many states and a stretch of votes is a table from each to the one it leads to.
+_STATES = np.arange(round(BIAS[1] * 1000), round(BIAS[2] * 1000) + 1)
+
+
+def _moved(now: np.ndarray, move: float) -> np.ndarray:
+    """Biases in thousandths after a vote: clipped, and kept as they were where they hardly move."""
+    old = now / 1000
+    new = np.clip(old + move, BIAS[1], BIAS[2])
+    return np.where(np.abs(new - old) > 1e-3, np.floor(np.round(new * 1000, 9) + 0.5).astype(now.dtype), now)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], keys: int, start: Callable, step: Callable) -> Iterator[tuple[tuple, object, bool]]:
+    """(key, state, whole) of each run of equal keys in sorted rows: ``step`` folds what follows the keys. The first and the last run may go on in other partitions."""
+    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+    held = None
+    for number, (key, votes) in enumerate(itertools.groupby(rows, key=lambda r: r[:keys])):
+        if held is not None:
+            yield held
+        state = start()
+        for vote in votes:
+            state = step(state, *vote[keys:])
+        held = key, state, number > 0
+    if held is not None:
+        yield held[0], held[1], False
+
+
+def _learned_bias(feedback: DataFrame, strength: float) -> DataFrame:
+    """(user_id, name, bias) by stretches of votes in order: a range of all votes a task, whoever's they are."""
+
+    def tables(batches):
+        step = lambda table, _, share, up: _moved(table, (-4 if up else 4) * strength * (share or 0.0))
+        for (user, name), table, whole in _stretches(batches, 2, _STATES.copy, step):
+            value = None if whole is False else int(table[round(BIAS[0] * 1000) - _STATES[0]])
+            yield pa.RecordBatch.from_arrays([pa.array([user], kind), pa.array([name], pa.string()), pa.array([TaskContext.get().partitionId()]), pa.array([value], pa.int64()), pa.array([None if whole else table.astype("<i2").tobytes()], pa.binary())], names)
+
+    def joined(batches):
+        for b in batches:
+            out = []
+            for parts in b.column(2).to_pylist():
+                now = round(BIAS[0] * 1000)
+                for part in parts:
+                    now = int(np.frombuffer(part["states"], "<i2")[now - _STATES[0]])
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["user_id", "name", "value"])
+
+    names = ["user_id", "name", "part", "value", "states"]
+    user = feedback.schema["user_id"].dataType
+    kind = to_arrow_type(user)
+    order = ("user_id", "name", "seq")
+    placed = feedback.select(*order, F.col("share").cast("double").alias("share"), "up").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = save(placed.mapInArrow(tables, f"user_id {user.simpleString()}, name string, part long, value long, states binary"), "votes")
+    # a user's road has one stretch a partition at most
+    several = found.where("value is null").groupBy("user_id", "name").agg(F.array_sort(F.collect_list(F.struct("part", "states"))).alias("parts"))
+    whole = found.where("value is not null").select("user_id", "name", "value").unionByName(several.mapInArrow(joined, f"user_id {user.simpleString()}, name string, value long"))
+    return whole.select("user_id", "name", (F.col("value") / 1000).alias("bias"))
+
+
+def _learned_risk(feedback: DataFrame) -> DataFrame:
+    """(user_id, risk, trips): a stretch of votes shifts risk aversion and clips it, which is one shift between two bounds again."""
+
+    def shifts(batches):
+        def step(state, _, up):
+            move = RISK_MOVES[0] if up else RISK_MOVES[1]
+            clip = lambda x: min(max(x + move, RISK[1]), RISK[2])
+            return state[0] + move, clip(state[1]), clip(state[2]), state[3] + 1
+
+        for (user,), state, _ in _stretches(batches, 1, lambda: (0.0, -math.inf, math.inf, 0), step):
+            yield pa.RecordBatch.from_arrays([pa.array([user], kind), pa.array([TaskContext.get().partitionId()]), *(pa.array([x]) for x in state)], names)
+
+    names = ["user_id", "part", "shift", "lo", "hi", "n"]
+    user = feedback.schema["user_id"].dataType
+    kind = to_arrow_type(user)
+    votes = feedback.select("user_id", "seq", "up").distinct().repartitionByRange("user_id", "seq").sortWithinPartitions("user_id", "seq")
+    found = save(votes.mapInArrow(shifts, f"user_id {user.simpleString()}, part long, shift double, lo double, hi double, n long"), "votes")
+    parts = found.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("part", "shift", "lo", "hi"))).alias("parts"), F.sum("n").cast("int").alias("trips"))
+    risk = F.aggregate("parts", F.lit(RISK[0]), lambda now, p: F.least(F.greatest(now + p["shift"], p["lo"]), p["hi"]))
+    return parts.select("user_id", risk.alias("risk"), "trips")
+
+
 def learn_feedback(feedback: DataFrame, strength: float = 0.08) -> DataFrame:
     """(user_id, name, bias, risk, trips) from votes (user_id, seq, name, share, up): ``share`` of the way that the vote's route had on road ``name``.
 
-    A road's bias moves with its share, risk aversion with each vote. Each step clips, so both are folds over a user's votes in order.
+    A road's bias moves with its share, risk aversion with each vote; each step clips. Votes are range-partitioned in order, a task folds its
+    stretches, and a user's stretches are composed in order, so a user with a third of all votes is dealt over many tasks.
     """
-    clip = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
-    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c))).alias("v")
-
-    def step(now: Column, v: Column) -> Column:
-        new = clip(now + F.when(v["up"], -strength * 4).otherwise(strength * 4) * v["share"], 0.6, 1.8)
-        return F.when(F.abs(new - now) > 1e-3, F.round(new, 3)).otherwise(now)
-
-    roads = feedback.groupBy("user_id", "name").agg(listed("seq", "share", "up")).select("user_id", "name", F.aggregate("v", F.lit(1.0), step).alias("bias"))
-    moved = lambda now, v: clip(now + F.when(v["up"], -0.04).otherwise(0.12), 0.0, 2.5)
-    votes = feedback.select("user_id", "seq", "up").distinct().groupBy("user_id").agg(listed("seq", "up"))
-    return roads.join(votes.select("user_id", F.aggregate("v", F.lit(0.8), moved).alias("risk"), F.size("v").alias("trips")), "user_id")
+    return _learned_bias(feedback, strength).join(_learned_risk(feedback), "user_id")
 
 
 def as_asked(trips: DataFrame) -> DataFrame:

@@ -109,23 +109,30 @@ def top_incidents(spark, sf_dir):
 _ORD = "frame, l_orderkey, l_linenumber, l_partkey"
 
 
-@query(f"""{D}, e AS (SELECT clip, track, count(*) AS n, first(x ORDER BY {_ORD}) AS ax, first(y ORDER BY {_ORD}) AS ay, last(x ORDER BY {_ORD}) AS bx, last(y ORDER BY {_ORD}) AS b_y, max(frame_w) AS w FROM detections GROUP BY 1, 2)
-SELECT clip, count(*) AS tracks, round(coalesce(avg(CASE WHEN n >= 3 THEN CASE WHEN sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) > greatest(2.0, 0.012 * w) THEN 1.0 ELSE 0.0 END END), 0), 3) AS moving FROM e GROUP BY 1""", "moving")
+MOVED = f"""e AS (SELECT clip, track, count(*) AS n, first(x ORDER BY {_ORD}) AS ax, first(y ORDER BY {_ORD}) AS ay, last(x ORDER BY {_ORD}) AS bx, last(y ORDER BY {_ORD}) AS b_y, max(frame_w) AS w FROM detections GROUP BY 1, 2),
+moved AS (SELECT clip, count(*) AS tracks, round(coalesce(avg(CASE WHEN n >= 3 THEN CASE WHEN sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) > greatest(2.0, 0.012 * w) THEN 1.0 ELSE 0.0 END END), 0), 3) AS moving FROM e GROUP BY 1)"""
+
+
+@query(f"{D}, {MOVED} SELECT * FROM moved", "moving")
 def moving_fraction(spark, sf_dir):
     return de.moving_fraction(b.detections(spark, sf_dir))
 
 
-@query(f"""{D}, f AS (SELECT clip, frame, count(*) AS n FROM detections GROUP BY 1, 2), w AS (SELECT clip, count(*) AS frames, avg(n) AS count_mean, max(n) AS count_max FROM f GROUP BY 1)
-SELECT w.*, (SELECT round(count(*) / w.frames + 1e-9, 6) FROM detections d WHERE d.clip = w.clip AND cls = 'NO') AS no_mean FROM w""", "count_mean no_mean")
+@query(f"""{D}, {MOVED}, f AS (SELECT clip, frame, count(*) AS n FROM detections GROUP BY 1, 2), w AS (SELECT clip, count(*) AS frames, avg(n) AS count_mean, max(n) AS count_max FROM f GROUP BY 1)
+SELECT w.*, (SELECT round(count(*) / w.frames + 1e-9, 6) FROM detections d WHERE d.clip = w.clip AND cls = 'NO') AS no_mean,
+ (SELECT round(count(*) / w.frames + 1e-9, 6) FROM detections d WHERE d.clip = w.clip AND cls = 'RF') AS rf_mean, tracks, moving FROM w JOIN moved USING (clip)""", "count_mean no_mean rf_mean moving")
 def clip_measurement(spark, sf_dir):
     found = de.clip_measurement(b.detections(spark, sf_dir))
-    return found.withColumn("no_mean", F.coalesce(F.try_element_at("classes", F.lit("NO")), F.lit(0.0))).drop("classes")
+    mean = lambda cls: F.coalesce(F.try_element_at("classes", F.lit(cls)), F.lit(0.0))
+    return found.withColumns({"no_mean": mean("NO"), "rf_mean": mean("RF")}).drop("classes")
 
 
-SPEEDS = f"""st AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM detections WINDOW w AS (PARTITION BY clip, track ORDER BY {_ORD})),
+_ROW = "(0.82 * frame_h / greatest({} - 0.18 * frame_h, 0.04 * frame_h))"
+SPEEDS = f"""prev AS (SELECT *, lag(x) OVER w AS xa, lag(y) OVER w AS ya FROM detections WINDOW w AS (PARTITION BY clip, track ORDER BY {_ORD})),
+st AS (SELECT *, sqrt(pow(50.0 * ({_ROW.format('y')} - {_ROW.format('ya')}), 2) + pow((x - xa) * 35.0 / frame_w * {_ROW.format('((y + ya) / 2)')}, 2)) AS step FROM prev),
 sp AS (SELECT *, row_number() OVER w AS k, sum(step) OVER (PARTITION BY clip, track ORDER BY {_ORD} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS ground,
- frame - first(frame) OVER (PARTITION BY clip, track ORDER BY {_ORD} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS elapsed FROM st WINDOW w AS (PARTITION BY clip, track ORDER BY {_ORD})),
-speeds AS (SELECT *, CASE WHEN k >= 3 AND elapsed > 0 THEN ground / elapsed END AS speed FROM sp)"""
+ (frame - first(frame) OVER (PARTITION BY clip, track ORDER BY {_ORD} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) / 25.0 AS elapsed FROM st WINDOW w AS (PARTITION BY clip, track ORDER BY {_ORD})),
+speeds AS (SELECT *, CASE WHEN k >= 3 THEN ground / greatest(elapsed, 0.001) * 3.6 END AS speed FROM sp)"""
 
 
 @query(f"{D}, {SPEEDS} SELECT clip, track, l_orderkey, l_linenumber, l_partkey, speed FROM speeds", "speed")
@@ -133,9 +140,9 @@ def track_speed(spark, sf_dir):
     return de.track_speed(b.detections(spark, sf_dir)).select("clip", "track", "l_orderkey", "l_linenumber", "l_partkey", "speed")
 
 
-_LENGTHS = (("AF", 4.5), ("NF", 8.0), ("NO", 6.0), ("RF", 12.0))
-FRAMES = f"""len(cls, length) AS (VALUES {', '.join(map(str, _LENGTHS))}), fs AS (SELECT clip, frame, count(*) AS total, median(CASE WHEN speed < 180 THEN speed END) AS median_speed,
- CAST(sum(CASE WHEN coalesce(speed, 99) < 3 THEN 1 ELSE 0 END) AS BIGINT) AS stopped, least(1.0, sum(coalesce(length, 4.5)) / 200.0) AS occupancy FROM speeds LEFT JOIN len USING (cls) GROUP BY 1, 2)"""
+_LENGTHS = (("AF", 4.2), ("NF", 8.0), ("NO", 6.0), ("RF", 12.0))
+FRAMES = f"""len(cls, length) AS (VALUES {', '.join(map(str, _LENGTHS))}), fs AS (SELECT clip, frame, count(*) AS total, coalesce(median(CASE WHEN speed < 180 THEN speed END), 0.0) AS median_speed,
+ count(*) FILTER (WHERE speed < 3) AS stopped, least(1.0, sum(coalesce(length, 4.2)) / 200.0) AS occupancy, count(*) FILTER (WHERE cls = 'NO') AS no FROM speeds LEFT JOIN len USING (cls) GROUP BY 1, 2)"""
 
 
 def frames(spark, sf_dir):
@@ -145,7 +152,7 @@ def frames(spark, sf_dir):
 
 @query(f"{D}, {SPEEDS}, {FRAMES} SELECT * FROM fs", "median_speed occupancy")
 def frame_stats(spark, sf_dir):
-    return frames(spark, sf_dir)
+    return frames(spark, sf_dir).withColumn("no", F.coalesce(F.try_element_at("counts", F.lit("NO")), F.lit(0))).drop("counts")
 
 
 @query(f"""{D}, {SPEEDS}, {FRAMES}, k AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY clip ORDER BY frame DESC) <= 40),
