@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. A machine's own folder would be lost on other machines, so there is none in its place."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where the setting is absent, as in tests on one machine. A cluster has to name one."""
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-wayflow-")
+        spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
 
