@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Texts may be long, and a batch lies in memory several times over (JVM, Python, and again on the way back): a batch has so many rows at most.
-MOST_ROWS = 1000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts may be long, and a batch lies in memory several times over (JVM, Python, and again on the way back): a batch has so many rows and about so many bytes at most.
+MOST_ROWS, MOST_BYTES = 1000, 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Returns memory that a worker's allocators hold but don't use; an idle worker shares its executor's memory with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, body: Callable[[Batches], Batches], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most MOST_ROWS rows. Lowers the session's setting where it is larger, and leaves it so: plans run later."""
+    """``df.mapInArrow`` with batches of at most MOST_ROWS rows and about MOST_BYTES. Lowers the session's settings where they are larger, and leaves them so: plans run later."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_SETTING)) <= MOST_ROWS:
-        conf.set(_SETTING, str(MOST_ROWS))
-    return df.mapInArrow(body, schema)
+    if not 0 < int(conf.get(_ROWS)) <= MOST_ROWS:
+        conf.set(_ROWS, str(MOST_ROWS))
+    # a size may be said with a unit; a bare number counts bytes
+    said = conf.get(_BYTES)
+    if not said.isdigit() or not 0 < int(said) <= MOST_BYTES:
+        conf.set(_BYTES, str(MOST_BYTES))
+
+    def run(batches: Batches) -> Batches:
+        yield from body(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

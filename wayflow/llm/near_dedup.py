@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import save
@@ -40,6 +40,7 @@ WIDTH = BANDS * ROWS
 MARGIN = 0.11
 STAR_BLOCK = 1024  # partners of a pivot for which its text travels once
 BLOCK, SET_BLOCK = 1024, 256  # classes a side of a tile: with registers, with full sets
+SET_BYTES = 4 << 20  # of the full sets of a side of a tile, on average
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -111,12 +112,15 @@ def _verified_stars(pairs: DataFrame, texts: DataFrame, size: int, threshold: in
     return map_batches(ordered, keep, "a long, b long")
 
 
-def _tiled(rows: DataFrame, block: int) -> DataFrame:
+def _tiled(rows: DataFrame, block: int, size: Column | None = None) -> DataFrame:
     """``rows`` (band, key, node, outside, ...) dealt into tiles (band, key, lo, hi): each class of a bucket meets each one outside in one tile.
 
-    A class has a block among all of its bucket and, if outside, one among those outside. ``asks``: it is there as one outside.
+    A class has a block among all of its bucket and, if outside, one among those outside. ``asks``: it is there as one outside. A block has
+    ``block`` classes on average, and where they have a ``size`` in bytes, SET_BYTES of them at most on average.
     """
-    per = rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.ceil(F.count_if("outside") / block).alias("others"))
+    large = lambda part: F.lit(0) if size is None else F.ceil(F.sum(F.when(part, size).otherwise(0)) / SET_BYTES)
+    blocks = lambda part: F.greatest(F.ceil(F.count_if(part) / block), large(part))
+    per = rows.groupBy("band", "key").agg(blocks(F.lit(True)).alias("blocks"), blocks(F.col("outside")).alias("others"))
     met = rows.join(per.where("others > 0"), ["band", "key"])
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -209,7 +213,7 @@ def _forests(rows: DataFrame, least: float, threshold: int) -> DataFrame:
                             out.append((int(node[p]), int(node[k])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    tiles = _tiled(rows, SET_BLOCK).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    tiles = _tiled(rows, SET_BLOCK, F.length("items")).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     return map_batches(tiles.select(*_KEYS, *_SEEN, "items"), link, "a long, b long").distinct()
 
 
