@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +19,6 @@ Batches = Iterator[pa.RecordBatch]
 
 def give_back() -> None:
     """Returns memory that a worker's allocators hold but don't use; an idle worker shares its executor's memory with others."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
