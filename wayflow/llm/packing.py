@@ -31,7 +31,7 @@ from ..storage import save
 from .batches import Batches, map_batches
 
 CAPACITY, GRID, END_ID = 2048, 8, 1
-_CACHE = 250_000
+_CACHE = 900_000
 #: Texts of these characters only are cut at blanks, and unknown words into the tokenizer's own pre-tokens; others go to the library whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
