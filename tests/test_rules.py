@@ -91,6 +91,23 @@ def test_strong_components_as_brute_force(spark):
         assert got == want
 
 
+def test_strong_components_in_blocks(spark, monkeypatch):
+    """A street of many crossings in ranges of a few arcs; random arcs, too, whose ranges hold little of a component. A long street takes no rounds of colouring."""
+    street = {(k, k + 1) for k in range(120)} | {(k + 1, k) for k in range(120) if k not in (40, 90)}
+    for arcs, block in ((street, 16), *(({(r.randrange(30), r.randrange(30)) for _ in range(55)}, 8) for r in map(random.Random, range(1)))):
+        arcs = {(a, b) for a, b in arcs if a != b}
+        reach = {n: {n} for e in arcs for n in e}
+        while any(len(reach[a]) < len(reach[a] | reach[b]) for a, b in arcs):
+            for a, b in arcs:
+                reach[a] |= reach[b]
+        want = {n: min(m for m in reach[n] if n in reach[m]) for n in reach}
+        if arcs == street:
+            monkeypatch.setattr(ro, "_coloured", None)
+        got = {x["node"]: x["component"] for x in ro.strong_components(spark.createDataFrame(sorted(arcs), "u long, v long"), block=block).collect()}
+        monkeypatch.undo()
+        assert got == want
+
+
 def test_greedy_rounds_equal_the_scan(spark):
     r = random.Random(3)
     rows = [(i, float(r.randrange(20))) for i in range(40)]

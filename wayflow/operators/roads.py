@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,13 +183,96 @@ def _reach(start: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node, component) by colouring: forward least labels, then back within a colour from its root.
+#: Arcs of a block whose strong components one task finds at once.
+BLOCK_ARCS = 1 << 16
+
+
+def _local_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least) of the nodes that the arcs of one task join to a lesser one in a strong component: Tarjan's algorithm without recursion."""
+    ahead: dict[int, list[int]] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ahead.setdefault(a, []).append(b)
+    seen, low, stack, placed, found = {}, {}, [], set(), []
+    for root in ahead:
+        if root in seen:
+            continue
+        work = [(root, iter(ahead[root]))]
+        seen[root] = low[root] = len(seen)
+        stack.append(root)
+        while work:
+            at, more = work[-1]
+            for to in more:
+                if to not in seen:
+                    seen[to] = low[to] = len(seen)
+                    stack.append(to)
+                    work.append((to, iter(ahead.get(to, ()))))
+                    break
+                if to not in placed:
+                    low[at] = min(low[at], seen[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == seen[at]:
+                    part = [stack.pop()]
+                    while part[-1] != at:
+                        part.append(stack.pop())
+                    placed.update(part)
+                    least = min(part)
+                    found += [(x, least) for x in part if x != least]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["node", "least"])
+
+
+def _contracted(arcs: DataFrame, names: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """``arcs`` (a, b) and ``names`` (node, component) after each of ``blocks`` ranges of tails has made one node, the least, of each of its strong components.
+
+    All arcs out of a node lie in one range, so no node is in components of two ranges.
+    """
+    least = save(arcs.repartitionByRange(blocks, "a").mapInArrow(_local_components, "node long, least long"), "local")
+    renamed = lambda df, c: df.join(least.select(F.col("node").alias(c), F.col("least").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    new = renamed(renamed(arcs, "a"), "b").where("a <> b").distinct()
+    return save(new, "arcs"), save(renamed(names, "component"), "names")
+
 
-    Nodes without a way in or out are components of their own and go first. Rounds write to the shared folder.
+def strong_components(edges: DataFrame, most_rounds: int = 10_000, block: int = BLOCK_ARCS) -> DataFrame:
+    """(node, component) of the network's strong components, each named by its least node.
+
+    First, ranges of some ``block`` arcs are contracted, a range a task: whatever is strongly connected within a range is so in the whole. What is left
+    is dealt anew until one range holds it all, or until ranges have nothing to contract; then it is coloured in rounds (``_coloured``). Node numbers
+    that lie near each other on the map make for few passes, any others for the same result.
     """
-    left = save(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "arcs")
     nodes = save(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    names = nodes.select("node", F.col("node").alias("component"))
+    left = save(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "arcs")
+    n = left.count()
+    while n:
+        blocks = -(-n // block)
+        left, names = _contracted(left, names, blocks)
+        before, n = n, left.count()
+        if blocks == 1:
+            # one range has seen every arc: no two nodes that are left reach each other
+            return _least_named(names)
+        if n > 0.9 * before:
+            break
+    if not n:
+        return _least_named(names)
+    found = save(_coloured(left, most_rounds), "coloured")
+    met = names.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return _least_named(met.select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _least_named(names: DataFrame) -> DataFrame:
+    least = names.groupBy("component").agg(F.min("node").alias("least"))
+    return names.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _coloured(left: DataFrame, most_rounds: int) -> DataFrame:
+    """(node, component) of arcs (a, b) by colouring: forward least labels, then back within a colour from its root.
+
+    Nodes without a way in or out are components of their own and go first. Rounds write to the shared folder.
+    """
+    nodes = save(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     done = None
     for _ in range(most_rounds):
         while True:
