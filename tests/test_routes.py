@@ -122,6 +122,34 @@ def test_risk_departure_and_preferences(spark, net):
     assert {x["route"]: [pytest.approx(x["mean_s"], abs=1e-3), pytest.approx(x["sd_s"], abs=1e-3)] for x in told} == {t: list(x[2:]) for t, x in plain.items() if x}
 
 
+def test_paths_over_many_regions(spark):
+    """A street of crossings in regions of five nodes, with side roads, one-way stretches, risk and tastes: equal to Dijkstra's labels, in few rounds."""
+    r = random.Random(4)
+    ends = [(k, k + 1) for k in range(40)] + [(k + 1, k) for k in range(40) if k % 9] + [(k, min(k + 2, 40)) for k in range(0, 40, 3)] + [(min(k + 3, 40), k) for k in range(0, 40, 4)]
+    edges = {i: (i, a, b, 100.0 + r.randrange(400)) for i, (a, b) in enumerate(ends) if a != b}
+    speed = {e: [(5.0 + r.randrange(60), 0.1 + r.random() / 5, float(r.randrange(9))) for _ in range(rt.STEPS)] for e in edges}
+    turns = {(a, b): float(r.randrange(9)) for a in edges for b in edges if edges[a][2] == edges[b][1]}
+    liked = {e: 0.7 + e % 4 / 5 for e in edges if e % 3 == 0}
+    rows = [(t, r.randrange(41), r.randrange(41), 300.0 * (t % 3), t % 2 * 1.5, t % 2) for t in range(24)]
+    trips = spark.createDataFrame(rows, "trip long, origin long, dest long, depart_s double, risk double, taste long")
+    packed = spark.createDataFrame(list(speed.items()), "edge long, steps array<struct<kph:double,sigma:double,delay_s:double>>")
+    likes = spark.createDataFrame([(1, *x) for x in liked.items()], "taste long, edge long, factor double")
+    asked = (trips, packed, spark.createDataFrame(list(edges.values()), "edge long, u long, v long, len double"), spark.createDataFrame([(*k, v) for k, v in turns.items()], "edge long, next long, turn_s double"))
+    # 9 regions: far fewer rounds than edges on a path
+    got = {x["trip"]: x for x in rt.batch_shortest_paths(*asked, likes=likes, region_nodes=5, most_rounds=25).collect()}
+    old = BY.copy(), TURNS.copy()
+    try:
+        BY.clear(), TURNS.clear(), BY.update(edges), TURNS.update(turns)
+        want = {t: solve_with_risk(o, d, speed, depart, risk, 1.0, liked if taste else {}) for t, o, d, depart, risk, taste in rows}
+    finally:
+        BY.clear(), TURNS.clear(), BY.update(old[0]), TURNS.update(old[1])
+    assert set(got) == {t for t, x in want.items() if x}
+    assert max(len(x["edges"]) for x in got.values()) > 12
+    for t, x in got.items():
+        assert x["edges"] == want[t][0]
+        assert [x["cost_s"], x["mean_s"], x["sd_s"]] == pytest.approx(want[t][1:], abs=1e-3)
+
+
 def test_alternatives(net):
     want = {}
     for trip, o, d in TRIPS:
