@@ -280,6 +280,13 @@ def test_learned_identifiers(spark, docs, empty):
     assert len(secrets.learn(docs, rows=20)) <= secrets.LEARNED_BYTES
 
 
+def test_identifiers_of_all_texts(spark):
+    """A word in three of 40,000 texts is learned, wherever they are."""
+    text = F.concat(F.lit("turn left "), F.when(F.col("id") % 15_000 == 7, F.lit("frobnicate_widget")).otherwise(""), F.col("id").cast("string"))
+    learned = secrets.learn(spark.range(40_000).select(text.alias("text")))
+    assert learned.split() == ["frobnicate_widget", "turn", "left"]
+
+
 def test_novelty_reach():
     c, key = secrets.compressor(), "q8Zr-T4kWx9Lm2Vp7Yc"
     far = f"secret {'road ' * 17}{key}"

@@ -3,7 +3,7 @@
 Patterns (kinds ``assign``, ``access``, ``hex``) give the base spans. Beyond them, strings in sensitive context are candidates (kind
 ``novel``). Zstandard, primed with identifiers, compresses the text around a candidate with and without it: the extra
 bytes for each of its characters are its novelty. Prose, identifiers and whatever the surroundings repeat cost little, random material almost a
-byte a character. The dictionary holds a fixed list of identifiers and those of a bounded sample of the table (``learn``).
+byte a character. The dictionary holds a fixed list of identifiers and the commonest of all texts of the table (``learn``).
 
 A candidate is a maximal string of LEAST_LENGTH or more letters, digits and ``+/_~!@#$%^&*-`` (with up to two ``=`` behind), under these conditions:
 it holds, or lies within REACH characters of, a sensitive word; and it mixes two kinds of characters among small letters, digits and capitals other than a
@@ -52,9 +52,9 @@ _NEAR = re.compile("|".join(map(re.escape, SENSITIVE)))
 LEAST_LENGTH = 12
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_~!@#$%^&*-]{{{LEAST_LENGTH},}}={{0,2}}")
 _MIXED = (re.compile(r"[a-z]"), re.compile(r"[0-9]"), re.compile(r"(?<=.)[A-Z]", re.DOTALL))
-_IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}")
-#: Rows of a table whose identifiers are learned, texts they occur in at least, and bytes of them kept.
-SAMPLE_ROWS, LEAST_TEXTS, LEARNED_BYTES = 4000, 3, 1 << 15
+_IDENTIFIER = "[A-Za-z_]{4,40}"
+#: Texts that a learned identifier occurs in at least, and bytes of them kept.
+LEAST_TEXTS, LEARNED_BYTES = 3, 1 << 15
 #: Defaults of ``scan`` and ``redact``: characters between a candidate and a sensitive word; characters of surroundings on
 #: either side against which its novelty is measured; the least novelty reported.
 REACH, AROUND, LEAST_NOVELTY = 80, 256, 0.7
@@ -66,23 +66,18 @@ def _novelty(c: zstandard.ZstdCompressor, text: str, start: int, end: int, aroun
     return (len(c.compress(before + found + after)) - len(c.compress(before + after))) / len(found)
 
 
-def learn(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> str:
-    """Identifiers (letters and underscores) of about ``rows`` texts, the commonest last, where Zstandard reaches them at least cost.
+def learn(docs: DataFrame, text_col: str = "text", rows: int | None = None) -> str:
+    """Identifiers (letters and underscores) of all texts, or of about ``rows`` where a caller asks for so few; the commonest last, where Zstandard reaches them at least cost.
 
     Each text counts once and a word has to occur in LEAST_TEXTS, so that a secret that one text repeats is no identifier. The driver gets
     LEARNED_BYTES of words at most.
     """
-    n = docs.count()
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    few = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < (1_000_000 * rows // n if n > rows else 1_000_000))
-
-    def words(batches: Batches) -> Batches:
-        for batch in batches:
-            found = [w for x in batch.column(0).to_pylist() for w in set(_IDENTIFIER.findall(x))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
-
-    counted = map_batches(few, words, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    best = counted.orderBy(F.desc("n"), "word").limit(LEARNED_BYTES // 8).collect()
+    if rows is not None and (n := docs.count()) > rows:
+        docs = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)), F.lit(1_000_000)) < 1_000_000 * rows // n)
+    words = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(_IDENTIFIER), F.lit(0)))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    # a word and its blank take five bytes at least
+    best = counted.orderBy(F.desc("n"), "word").limit(LEARNED_BYTES // 5).collect()
     kept, size = [], 0
     for r in best:
         size += len(r["word"]) + 1
