@@ -46,6 +46,20 @@ def test_memory_leaves_by_timeout(spark):
         assert got[1, 5] == pytest.approx(first) and got[3, 1] == pytest.approx(1 + 0.86)
 
 
+def test_memory_in_tables(spark):
+    """The form with state in tables, without a call of Python an edge: equal to the batch operator where nothing is idle, and rid of edge 1 after its timeout."""
+    rows = [(1, 0, 0.5, 2.0, 0.0), (3, 0, 0.5, 2.0, 0.0)]
+    rows += [(2, k, 0.0, 1.0, 1000.0 * k) for k in range(6)] + [(1, 5, 0.0, 1.0, 5000.0), (3, 1, 0.0, 1.0, 1000.0), (3, 5, 0.0, 1.0, 5000.0)]
+    ticks = stamped(spark.createDataFrame(rows, "edge long, own int, support double, anomaly double, t double"))
+    for idle, first in ((1500.0, 1.0), (1e6, 1 + 0.86**5)):
+        folder = new_folder(spark, "memory")
+        start = lambda s, idle=idle, folder=folder: st.memory_stream(s.withColumnRenamed("own", "tick"), folder, 1.0, idle)
+        st.in_ticks(ticks.withColumn("tick", F.col("own")), 6, start)
+        got = {(x["edge"], x["tick"]): x["memory"] for x in spark.read.parquet(f"{folder}/rows").collect()}
+        assert len(got) == len(rows) and got[1, 5] == pytest.approx(first) and got[3, 1] == pytest.approx(1 + 0.86)
+    assert got == pytest.approx({(x["edge"], x["tick"]): x["memory"] for x in nc.temporal_memory(ticks.withColumnRenamed("own", "tick")).collect()})
+
+
 def test_late_readings_are_dropped(spark):
     rows = [(k, 1000.0 * k, k) for k in range(6)] + [(100, 100.0, 1), (101, 100.0, 5), (102, 3500.0, 5), (0, 0.0, 0), (3, 3000.0, 4)]
     arriving = stamped(spark.createDataFrame(rows, "event_id long, t double, tick int"))

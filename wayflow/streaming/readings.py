@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
@@ -72,6 +72,41 @@ def stream_memory(stream: DataFrame, late: str, idle_s: float) -> DataFrame:
     return keyed.applyInPandasWithState(fade, "edge long, tick int, memory double", "memory double, tick int", "append", "EventTimeTimeout")
 
 
+def memory_stream(stream: DataFrame, folder: str, late_s: float, idle_s: float) -> DataStreamWriter:
+    """``stream_memory`` with its state in tables: ``folder``/rows/batch=k has (edge, tick, memory) of micro-batch k, ``folder``/state/batch=k a row an edge (edge, memory, tick, ts).
+
+    A batch's rows and the state before it are faded in one window an edge, in columns, however many edges there are. An edge's state leaves once the watermark (the latest time
+    seen in earlier batches, less ``late_s``) is ``idle_s`` past its last row. A batch that runs again reads the state of the one before and replaces its own.
+    """
+    spark = stream.sparkSession
+    at = lambda kind, number: f"{folder}/{kind}/batch={number}"
+
+    def fade(batch: DataFrame, number: int) -> None:
+        # what an edge remembers is a supported row at its last tick
+        rows = batch.select("edge", "tick", F.when(F.col("support") > LEAST_SUPPORT, F.col("anomaly")).alias("told"), "ts", F.lit(True).alias("new"))
+        if number:
+            held = spark.read.parquet(at("state", number - 1))
+            seen = spark.read.parquet(at("mark", number - 1))
+            passed = F.unix_micros("ts") + F.lit(int(idle_s * 1_000_000)) > F.unix_micros("top") - F.lit(int(late_s * 1_000_000))
+            kept = held.crossJoin(F.broadcast(seen)).where(F.col("top").isNull() | passed)
+            rows = rows.unionByName(kept.select("edge", "tick", F.col("memory").alias("told"), "ts", F.lit(False).alias("new")))
+        w = Window.partitionBy("edge").orderBy("tick", "new").rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last(F.when(F.col("told").isNotNull(), F.struct("told", F.col("tick").alias("at"))), ignorenulls=True).over(w)
+        memory = F.coalesce(1 + (F.col("last.told") - 1) * F.pow(F.lit(MEMORY), F.col("tick") - F.col("last.at")), F.lit(1.0))
+        rows.withColumn("last", last).select("edge", "tick", memory.alias("memory"), "ts", "new").write.mode("overwrite").parquet(at("faded", number))
+        faded = spark.read.parquet(at("faded", number))
+        faded.where("new").select("edge", "tick", "memory").write.mode("overwrite").parquet(at("rows", number))
+        newest = faded.groupBy("edge").agg(F.max_by(F.struct("memory", "tick"), F.struct("tick", "new")).alias("s"), F.max("ts").alias("ts"))
+        newest.select("edge", "s.memory", "s.tick", "ts").write.mode("overwrite").parquet(at("state", number))
+        tops = batch.select("ts") if not number else batch.select("ts").unionByName(seen.select(F.col("top").alias("ts")))
+        tops.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(at("mark", number))
+        for kind, back in (("faded", 0), ("state", 2), ("mark", 2)):
+            if number >= back:
+                forget(spark, at(kind, number - back))
+
+    return stream.writeStream.foreachBatch(fade).option("checkpointLocation", f"{folder}/progress")
+
+
 def nowcast_stream(stream: DataFrame, folder: str, baselines: DataFrame, free: DataFrame, expected: DataFrame, kernel: DataFrame, stale_s: float = STALE_S, keep: int | None = None) -> DataStreamWriter:
     """The network's state, anew with every micro-batch of readings: ``folder``/state/batch=k has a row for each edge after tick k.
 
