@@ -18,10 +18,12 @@ DAMPS = (0.0, 0.25, 0.5, 0.75, 1.0)
 def nearest_after_join(rows: DataFrame, horizon: float, tolerance: float) -> DataFrame:
     """For each reading the same sensor's reading nearest to ``t + horizon`` within the tolerance; the earlier wins a tie.
 
-    An equi-join on (sensor, time bucket): buckets are a tolerance wide, so a match lies in one of three.
+    An equi-join on (sensor, time bucket): buckets are four tolerances wide, so a match lies in one bucket for half of the rows, else in one of two.
     """
-    slot = lambda t: F.floor(t / tolerance)
-    asked = rows.withColumn("slot", F.explode(F.sequence(slot(F.col("t") + horizon) - 1, slot(F.col("t") + horizon) + 1)))
+    slot = lambda t: F.floor(t / (4 * tolerance))
+    # a second of slack, as sums round; what is too far goes below
+    ends = [slot(F.col("t") + horizon + sign * (tolerance + 1)) for sign in (-1, 1)]
+    asked = rows.withColumn("slot", F.explode(F.sequence(*ends)))
     given = rows.select("camera_id", F.col("t").alias("t1"), F.col("count_mean").alias("c1"), F.col("event_id").alias("event1"), slot(F.col("t")).alias("slot"))
     away = F.abs(F.col("t1") - (F.col("t") + horizon))
     met = asked.join(given, ["camera_id", "slot"]).where(away <= tolerance)
@@ -48,8 +50,14 @@ def profile_fallback_join(rows: DataFrame, time: str, profile: DataFrame, out: s
 
 
 def expected_pairs(pairs: DataFrame, profile: DataFrame, minutes: int = 30, zone: str = "UTC") -> DataFrame:
-    """Pairs with the profile's ``h_now`` and ``h_then``."""
-    return profile_fallback_join(profile_fallback_join(pairs, "t0", profile, "h_now", minutes, zone), "t1", profile, "h_then", minutes, zone)
+    """Pairs with the profile's ``h_now`` and ``h_then``, as ``profile_fallback_join`` finds them; a sensor's buckets are one row, so pairs shuffle once for both times."""
+    buckets = F.map_from_entries(F.collect_list(F.struct("bucket", "mean_count")))
+    fine = profile.where("level = 0 and bucket is not null").groupBy("camera_id").agg(buckets.alias("_fine"))
+    packed = profile.where("level = 1").select("camera_id", F.col("mean_count").alias("_coarse")).join(fine, "camera_id", "left")
+    whole = profile.where("level = 3").select(F.col("mean_count").alias("_whole"))
+    met = pairs.join(packed, "camera_id", "left").join(F.broadcast(whole), how="left")
+    told = lambda t: F.coalesce(F.try_element_at("_fine", tf.tod_bucket(F.col(t), minutes, zone)), "_coarse", "_whole", F.lit(0.0))
+    return met.withColumns({"h_now": told("t0"), "h_then": told("t1")}).drop("_fine", "_coarse", "_whole")
 
 
 def forecast_blend(horizon: float, tau: Column, damp: Column) -> Column:
