@@ -62,7 +62,8 @@ def sample_od_pairs(spark: SparkSession, nodes: DataFrame, landmarks: DataFrame,
         two = asked.where("between").withColumns({"origin_id": _draw(seed, "origin", F.lit(max(m, 1))), "dest_id": _draw(seed, "dest", F.lit(max(m, 1)))})
         two = two.where("origin_id <> dest_id").join(end(marks, "origin"), "origin_id").join(end(marks, "dest"), "dest_id")
         one = asked.where("not between").withColumn("origin_id", _draw(seed, "origin", F.lit(n))).join(end(known, "origin"), "origin_id")
-        one = one.withColumn("cell", F.struct(F.floor(F.col("origin_x") / CELL_M).alias("cx"), F.floor(F.col("origin_y") / CELL_M).alias("cy"))).join(rings, "cell").withColumn("u", _draw(seed, "dest", F.col("total")))
+        # rings are long arrays that unpack to many times their file: never broadcast
+        one = one.withColumn("cell", F.struct(F.floor(F.col("origin_x") / CELL_M).alias("cx"), F.floor(F.col("origin_y") / CELL_M).alias("cy"))).join(rings.hint("merge"), "cell").withColumn("u", _draw(seed, "dest", F.col("total")))
         hit = F.get(F.filter("ring", lambda r: r["upto"] > F.col("u")), F.lit(0))
         one = one.withColumn("hit", hit).select("trip", "between", "attempt", "origin", "origin_x", "origin_y", F.col("hit.to").alias("cell"), (F.col("u") - F.col("hit.upto") + F.col("hit.n")).alias("place"))
         one = one.join(placed.select("cell", F.col("place").cast("long").alias("place"), F.col("node").alias("dest"), F.col("x").alias("dest_x"), F.col("y").alias("dest_y")), ["cell", "place"])
