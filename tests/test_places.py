@@ -79,3 +79,15 @@ def test_no_requests_no_places(spark):
     asks, places = fixture(spark)
     assert pl.geocode_cascade(asks.where("false"), places).count() == 0
     assert pl.geocode_cascade(asks, places.where("false")).count() == 0
+
+
+def test_requests_for_one_text_cost_one_text(spark):
+    """Texts are normalised, and go through the stages of the cascade, once each; requests meet their answers in one join, which keeps all of them."""
+    rows = spark.range(3000).selectExpr("id as ask", "array('Large Ring', 'large rimg', '', null)[cast(id % 4 as int)] as text")
+    asks = pl.asked(rows, "text", "ask")
+    places = spark.createDataFrame([("large ring", 7, "landmark", "Large Ring")], "key string, node long, kind string, name string")
+    assert sorted((r["text"], r["q"], r["count"]) for r in asks.groupBy("text", "q").count().collect()) == [("Large Ring", "large ring", 750), ("large rimg", "large rimg", 750)]
+    assert "regexp_replace" not in asks._jdf.queryExecution().optimizedPlan().toString()  # it was run on distinct texts, before
+    found = pl.geocode_cascade(asks, places)
+    assert sorted((r["key"], r["node"], r["stage"], r["count"]) for r in found.groupBy("key", "node", "stage").count().collect()) == [("large ring", 7, "exact", 750), ("large ring", 7, "typo", 750)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

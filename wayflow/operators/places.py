@@ -22,8 +22,11 @@ TYPO, SOUND, SUGGESTED, OVERLAP = 0.8, 0.9, 0.7, 0.34  # least likeness of the s
 
 
 def asked(texts: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(ask, text, q): requests with their normalised text; those without any are left out."""
-    return texts.select(F.col(id_col).alias("ask"), F.col(text_col).alias("text"), tf.normalise_name(F.col(text_col)).alias("q")).where("q <> ''")
+    """(ask, text, q): requests with their normalised text; those without any are left out. Each distinct text is normalised once."""
+    rows = texts.select(F.col(id_col).alias("ask"), F.col(text_col).alias("text"))
+    # written tables: the test of q would else be put before the distinct, and by the join's equality to all requests
+    known = save(save(rows.select("text").distinct(), "spelt").select("text", tf.normalise_name(F.col("text")).alias("q")).where("q <> ''"), "normalised")
+    return rows.join(known, "text").select("ask", "text", "q")
 
 
 def _texts(asks: DataFrame) -> DataFrame:
@@ -180,8 +183,11 @@ def geocode_typo(asks: DataFrame, places: DataFrame, known: str = "landmark") ->
 
 
 def geocode_cascade(asks: DataFrame, places: DataFrame, nodes: DataFrame | None = None, lat0: float = 0.0) -> DataFrame:
-    """(ask, key, node, stage): exact, phrase, misspelt landmark, partial, misspelt place; each stage gets what the ones before left."""
-    asks, places = save(asks, "asks"), save(places, "places")
+    """(ask, key, node, stage): exact, phrase, misspelt landmark, partial, misspelt place; each stage gets what the ones before left.
+
+    The stages pass distinct texts on to one another, each asking for itself; requests take part in two steps only, where these are found and where they are answered.
+    """
+    texts, places = save(asks.select("text", "q").distinct().withColumn("ask", F.col("text")), "texts"), save(places, "places")
     stages = (
         ("exact", lambda a: geocode_exact(a, places, nodes, lat0)),
         ("phrase", lambda a: geocode_phrase(a, places)),
@@ -189,12 +195,12 @@ def geocode_cascade(asks: DataFrame, places: DataFrame, nodes: DataFrame | None
         ("partial", lambda a: geocode_partial(a, places)),
         ("typo", lambda a: geocode_typo(a, places, "any")),
     )
-    done, left = None, asks
+    done, left = None, texts
     for name, stage in stages:
         found = save(stage(left).select("ask", "key", "node", F.lit(name).alias("stage")), "matched")
         done = found if done is None else done.unionByName(found)
         left = save(left.join(found.select("ask"), "ask", "left_anti"), "left")
-    return done
+    return asks.select("ask", "text").join(done.withColumnRenamed("ask", "text"), "text").select("ask", "key", "node", "stage")
 
 
 def suggest_names(asks: DataFrame, places: DataFrame, most: int = 6, least: float = SUGGESTED) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import traffic as tf
 from ..operators import places as pl
 from ..operators import readings as op
 from ..operators import roads as ro
+from ..operators.numbering import dealt_by
 from ..storage import save
 from . import readings as rd
 from . import roads as rr
@@ -30,7 +31,7 @@ ASKS = "asks AS (SELECT *, " + NORM.format("text") + " AS q FROM (" + " UNION AL
 
 
 def gazetteer(spark, sf_dir):
-    p = b.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").distinct()
+    p = b.table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("p_partkey"))
     names = p.select("p_name", "p_partkey", F.when(F.col("p_name") < "h", "landmark").otherwise("street").alias("kind"))
     both = names.unionByName(p.select(F.concat_ws(" ", "p_name", "p_brand").alias("p_name"), "p_partkey", F.lit("street").alias("kind")))
     return save(both.groupBy(tf.normalise_name(F.col("p_name")).alias("key")).agg(F.min("p_partkey").alias("node"), F.min("kind").alias("kind"), F.min("p_name").alias("name")), "places")
@@ -38,7 +39,9 @@ def gazetteer(spark, sf_dir):
 
 def asks(spark, sf_dir):
     forms = F.explode(F.array(*[F.struct((F.col("p_partkey") * 6 + k).alias("ask"), F.expr(t).alias("text")) for k, t in _FORMS.items()])).alias("r")
-    return save(pl.asked(b.table(spark, sf_dir, "part").select(forms).select("r.*"), "text", "ask"), "asks")
+    # a small file of many rows would be read, and its texts normalised, in one task
+    part = dealt_by(b.table(spark, sf_dir, "part"), "p_partkey", 20_000)
+    return save(pl.asked(part.select(forms).select("r.*"), "text", "ask"), "asks")
 
 
 def grid(spark, sf_dir):
