@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -455,6 +456,32 @@ def test_segmentations_of_many_texts_at_once():
     assert time.process_time() - began < 2
 
 
+def test_segmentations_in_columns():
+    """Units of texts as a regular expression finds them; and the calls of Python a text don't grow with its units (there were two and more a unit)."""
+    r = random.Random(9)
+    texts = ["", " ", "a", " a  b", "\u2581\u2581x \u2581", "\U0001f600 \u4e00\u4e01  ", *("".join(r.choice("ab \u2581\u00e9\U0001f600") for _ in range(r.randrange(40))) for _ in range(60)), ""]
+    code, lengths, spelt, first = segmenting.split(texts)
+    ends = np.cumsum(lengths).tolist()
+    units = ["".join(map(chr, code[b - n : b])) for b, n in zip(ends, lengths.tolist(), strict=True)]
+    assert len(set(units)) == len(units) and len(first) == len(texts) + 1
+    for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert [units[u] for u in spelt[a:b]] == re.findall("\u2581+[^\u2581]*|[^\u2581]+", segmenting.normalise(text))
+    assert [len(x) for x in segmenting.split(["", ""])] == [0, 0, 0, 3]
+    lat = segmenting.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts, calls = [prose(r, 4000) for _ in range(5)], 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        segmenting.samples(texts, list(range(5)), lat)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5000
+
+
 def test_segmentations_table(docs, empty):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     got = segmenting.segmentations(docs.where("doc_id is null or doc_id >= 100"), path, 2).collect()

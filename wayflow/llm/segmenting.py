@@ -24,7 +24,6 @@ from __future__ import annotations
 import functools
 import heapq
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,10 +39,9 @@ from .batches import Batches, map_batches
 from .words import mix
 
 SAMPLES, SMOOTHING = 2, 50.0
-BLOCK = 1 << 20
+BLOCK = 3 << 20
 FEW = 16  # so many walkers go on one by one
 _BLANK = "▁"
-_UNIT = re.compile(f"{_BLANK}+[^{_BLANK}]*|[^{_BLANK}]+")
 _LEAST = 1e-300
 _U = np.uint64
 _STRIDE = 0x9E3779B97F4A7C15
@@ -113,15 +111,13 @@ class Units:
     start's other edges have together (``rest``). A piece below 0 says which of the characters outside the vocabulary it is (-1 - number).
     """
 
-    def __init__(self, units: list[str], lat: Lattice) -> None:
-        lengths = np.array([len(u) for u in units], np.int64)
+    def __init__(self, code: np.ndarray, lengths: np.ndarray, lat: Lattice) -> None:
         order = np.argsort(-lengths, kind="stable")
-        self.n, longest = len(units), int(lengths[order[0]])
+        self.n, longest = len(lengths), int(lengths[order[0]])
         rank = np.empty(self.n, np.int64)
         rank[order] = np.arange(self.n)
         layer = np.concatenate([[0], np.cumsum(self.n - np.searchsorted(np.sort(lengths), np.arange(longest + 1)))])
         self.start = layer[lengths] + rank  # of each unit
-        code = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
         away = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))
         whose = np.repeat(rank, lengths)
         places = int(layer[-1])
@@ -241,16 +237,19 @@ class Units:
             out[begin[w] + k : begin[w] + k + len(path)] = path
         return out, steps
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        piece = self.piece[edges]
-        if (piece >= 0).all():
-            return piece
-        strange = -1 - piece
-        sizes = np.where(piece < 0, np.diff(self.raw_at)[np.maximum(strange, 0)], 1)
-        ids, inside = np.repeat(piece, sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.flatnonzero(ids < 0)
-        ids[at] = self.raw[self.raw_at[-1 - ids[at]] + inside[at]]
-        return ids
+    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        piece = self.piece[np.concatenate(paths)]
+        ends = np.cumsum([0, *map(len, paths)])
+        strange = np.flatnonzero(piece < 0)
+        if len(strange):
+            sizes = np.ones(len(piece), np.int64)
+            sizes[strange] = np.diff(self.raw_at)[-1 - piece[strange]]
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            piece, ends, sizes, first = np.repeat(piece, sizes), begin[ends], sizes[strange], begin[strange]
+            inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.repeat(first, sizes) + inside
+            piece[at] = self.raw[self.raw_at[-1 - piece[at]] + inside]
+        return [piece[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @functools.cache
@@ -263,6 +262,22 @@ def normalise(text: str) -> str:
     return (_BLANK + text.replace(" ", _BLANK)) if text else ""
 
 
+def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different units of texts (their characters in a row, and their lengths), the number of each unit of all texts, and each text's first unit (one more at the end)."""
+    spelt = [normalise(text) for text in texts]
+    cuts = np.cumsum([0, *map(len, spelt)])
+    code = np.frombuffer("".join(spelt).encode("utf-32-le"), "<u4")
+    first = code == ord(_BLANK)
+    first[1:] &= ~first[:-1]
+    first[cuts[:-1][cuts[:-1] < len(code)]] = True
+    begin = np.flatnonzero(first)
+    at = pa.py_buffer(4 * np.append(begin, len(code)))
+    units = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, at, pa.py_buffer(code)]).dictionary_encode()
+    ends = np.frombuffer(units.dictionary.buffers()[1], np.int64)[: len(units.dictionary) + 1] // 4
+    different = np.frombuffer(units.dictionary.buffers()[2] or b"", "<u4")[: ends[-1]]
+    return different.astype(np.int64), np.diff(ends), units.indices.to_numpy(), np.searchsorted(begin, cuts)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1, both excluded, of 64-bit numbers that tell draws apart."""
     return np.clip((mix(x) >> _U(11)).astype(np.float64) * 2.0**-53, 1e-12, 1 - 1e-12)
@@ -319,11 +334,12 @@ def _spread(units: Units, start: np.ndarray, asked: list[tuple[_Search, np.ndarr
             logs[a] += phi
             np.cumsum(logs[a:b], out=logs[a:b])
             down[a], down[a + 1 : b] = phi, logs[a : b - 1]
-    branch = np.flatnonzero(units.rest[path] > 0)
+    rest = units.rest[path]
+    branch = np.flatnonzero(rest > 0)
     cuts = np.searchsorted(branch, ends)
     many = np.diff(cuts)
     draws = _uniform(_seeds(np.repeat(own, many), _ASIDE, turn, branch - np.repeat(ends[:-1], many)))
-    found = _cut_gumbel(down[branch] + np.log(units.rest[path[branch]]), np.repeat(np.array([value for _, _, _, _, value, _, _ in asked]), many), draws)
+    found = _cut_gumbel(down[branch] + np.log(rest[branch]), np.repeat(np.array([value for _, _, _, _, value, _, _ in asked]), many), draws)
     for n, (search, prefix, known, phi, value, _, _) in enumerate(asked):
         a, b, i, j = int(ends[n]), int(ends[n + 1]), int(cuts[n]), int(cuts[n + 1])
         # no more than k of one path's branchings can be needed
@@ -335,13 +351,12 @@ def _spread(units: Units, start: np.ndarray, asked: list[tuple[_Search, np.ndarr
         search.taken.append((np.concatenate([prefix, path[a:b]]), float(logs[b - 1]) if b > a else phi, value, np.concatenate([known, unit[a:b]])))
 
 
-def _taken_next(units: Units, search: _Search, turn: int) -> tuple[_Search, np.ndarray, np.ndarray, float, float, int, int]:
-    """Opens the best branch left aside; its place's other branches go back to the queue."""
+def _taken_next(units: Units, search: _Search, u: np.ndarray) -> tuple[_Search, np.ndarray, np.ndarray, float, float, int, int]:
+    """Opens the best branch left aside; its place's other branches go back to the queue. ``u``: two draws."""
     value, order, parent, step, phi, used = heapq.heappop(search.queue)
     path, _, _, unit = search.taken[parent]
     place = int(units.source[path[step]])
     free = [e for e in range(int(units.first[place]), int(units.first[place + 1])) if e not in used]
-    u = _uniform(_seeds(np.array([search.own], _U), _CHOICE, turn, np.arange(2)))
     mass = units.chance[free]
     edge = free[min(len(free) - 1, int(np.searchsorted(np.cumsum(mass), u[0] * mass.sum(), "right")))]
     if len(free) > 1:
@@ -354,17 +369,13 @@ def _taken_next(units: Units, search: _Search, turn: int) -> tuple[_Search, np.n
 
 def samples(texts: list[str], keys: list, lat: Lattice, k: int = SAMPLES) -> list[list[Sample]]:
     """For each text up to ``k`` distinct segmentations as (ids, log-probability, inclusion score), the largest perturbed value first."""
-    number: dict[str, int] = {}
-    spelt: list[int] = []
-    searches = []
-    for text, key in zip(texts, keys, strict=True):
-        begin = len(spelt)
-        spelt += [number.setdefault(u, len(number)) for u in _UNIT.findall(normalise(text))]
-        searches.append(_Search(begin, len(spelt), xxhash.xxh3_64_intdigest(str(key).encode(), 12)))
+    code, lengths, spelt, first = split(texts)
+    searches = [_Search(begin, end, xxhash.xxh3_64_intdigest(str(key).encode(), 12)) for begin, end, key in zip(first[:-1].tolist(), first[1:].tolist(), keys, strict=True)]
     left = [s for s in searches if s.end > s.begin]
+    ids = iter(())
     if left:
-        units = Units(list(number), lat)
-        start = units.start[np.array(spelt)].astype(np.int32)
+        units = Units(code, lengths, lat)
+        start = units.start[spelt].astype(np.int32)
         none = np.zeros(0, np.int64)
         top = -np.log(-np.log(_uniform(_seeds(np.array([s.own for s in left], _U), _CHOICE, 0, 0))))
         _spread(units, start, [(s, none, none, 0.0, v, 0, -1) for s, v in zip(left, top.tolist(), strict=True)], 0, k)
@@ -372,14 +383,16 @@ def samples(texts: list[str], keys: list, lat: Lattice, k: int = SAMPLES) -> lis
             left = [s for s in left if s.queue]
             if not left:
                 break
-            _spread(units, start, [_taken_next(units, s, turn) for s in left], turn, k)
+            draws = _uniform(_seeds(np.repeat(np.array([s.own for s in left], _U), 2), _CHOICE, turn, np.tile(np.arange(2), len(left)))).reshape(-1, 2)
+            _spread(units, start, [_taken_next(units, s, u) for s, u in zip(left, draws, strict=True)], turn, k)
+        ids = iter(units.ids([path for s in searches for path, *_ in s.taken]))
 
     def result(search: _Search) -> list[Sample]:
         if not search.taken:
             return [(np.zeros(0, np.int32), 0.0, 1.0)]
         bound = -search.queue[0][0] if search.queue and len(search.taken) == k else -math.inf  # the (k+1)-th largest
         score = lambda phi: 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(phi - bound, 700)))
-        return [(units.ids(path), phi, score(phi)) for path, phi, _, _ in search.taken]
+        return [(next(ids), phi, score(phi)) for _, phi, _, _ in search.taken]
 
     return [result(s) for s in searches]
 
@@ -389,7 +402,7 @@ def sample(text: str, key: int | None, lat: Lattice, k: int = SAMPLES) -> list[t
     return [(ids.astype("<u4").tobytes(), phi, score) for ids, phi, score in samples([text], [key], lat, k)[0]]
 
 
-def decode(ids: list[int], lat: Lattice) -> str:
+def decode(ids: list[int] | np.ndarray, lat: Lattice) -> str:
     return lat.model.decode(ids)
 
 
@@ -416,7 +429,7 @@ def segmentations(docs: DataFrame, path: str, k: int = SAMPLES, id_col: str = "d
                     for number, (own, phi, score) in enumerate(got, 1):
                         row.append(at)
                         found.append(own)
-                        rows.append((number, len(own), zlib.crc32(own.astype("<u4").tobytes()), phi, score, decode(own.tolist(), lat) == text))
+                        rows.append((number, len(own), zlib.crc32(own.astype("<u4").tobytes()), phi, score, decode(own, lat) == text))
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
                 number, *others = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
