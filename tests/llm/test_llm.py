@@ -456,6 +456,29 @@ def test_segmentations_of_many_texts_at_once():
     assert time.process_time() - began < 2
 
 
+def test_segmentations_inclusion_scores():
+    """Over many keys a path's indicator over its inclusion score is 1 in the mean, for two samples and for three (branches left aside were often put at their path's value: scores too high or too low)."""
+    lat = segmenting.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    draws = (np.arange(20_000) + 0.5) / 20_000
+    for top in (-1.0, 0.5, 3.0):
+        got = np.array([segmenting._cut(-np.log(-np.log(u)), top) for u in draws.tolist()])
+        for x in (top - 2, top - 0.5, top - 0.01):
+            assert (got <= x).mean() == pytest.approx(np.exp(np.exp(-top) - np.exp(-x)), abs=1e-3)
+    text, n = "cat", 4000
+    every = {raw: np.exp(phi) for raw, phi, _ in segmenting.sample(text, 0, lat, 50)}
+    assert sum(every.values()) == pytest.approx(1) and len(every) > 3
+    for k in (2, 3):
+        sums = collections.defaultdict(list)
+        for key in range(n):
+            for raw, _, score in segmenting.sample(text, key, lat, k):
+                sums[raw].append(1 / score)
+        for raw in every:
+            x = np.zeros(n)
+            x[: len(sums[raw])] = sums[raw]
+            if len(sums[raw]) > 100:
+                assert abs(x.mean() - 1) <= 4.5 * x.std() / np.sqrt(n) + 1e-9
+
+
 def test_segmentations_in_columns():
     """Units of texts as a regular expression finds them; and the calls of Python a text don't grow with its units (there were two and more a unit)."""
     r = random.Random(9)

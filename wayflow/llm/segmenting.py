@@ -288,11 +288,10 @@ def _seeds(own: np.ndarray, kind: int, turn: int, part: np.ndarray | int) -> np.
     return mix(mix(own + _U((kind << 32) + turn)) + np.asarray(part).astype(_U) * _U(_STRIDE))
 
 
-def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel about ``location`` given that it does not exceed ``top``, in a form that loses no digits."""
-    free = location - np.log(-np.log(u))
-    v = top - free + np.log1p(-np.exp(np.minimum(free - top, -1e-12)))
-    return top - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
+def _cut(free: float, top: float) -> float:
+    """A free Gumbel draw as one about the same location given that it does not exceed ``top``: its chance to be below a value, over that of ``top``. In a form that loses no digits."""
+    v = top - free
+    return top - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
 
 
 class _Search:
@@ -339,14 +338,14 @@ def _spread(units: Units, start: np.ndarray, asked: list[tuple[_Search, np.ndarr
     cuts = np.searchsorted(branch, ends)
     many = np.diff(cuts)
     draws = _uniform(_seeds(np.repeat(own, many), _ASIDE, turn, branch - np.repeat(ends[:-1], many)))
-    found = _cut_gumbel(down[branch] + np.log(rest[branch]), np.repeat(np.array([value for _, _, _, _, value, _, _ in asked]), many), draws)
+    free = down[branch] + np.log(rest[branch] / -np.log(draws))
     for n, (search, prefix, known, phi, value, _, _) in enumerate(asked):
         a, b, i, j = int(ends[n]), int(ends[n + 1]), int(cuts[n]), int(cuts[n + 1])
-        # no more than k of one path's branchings can be needed
-        best = i + np.argpartition(-found[i:j], k)[: k + 1] if j - i > k + 1 else np.arange(i, j)
+        # no more than k of one path's branchings can be needed; to be cut off does not change their order
+        best = i + np.argpartition(-free[i:j], k)[: k + 1] if j - i > k + 1 else np.arange(i, j)
         for x in best.tolist():
             at = int(branch[x])
-            entry = -float(found[x]), len(search.queue) + 1000 * len(search.taken), len(search.taken), len(prefix) + at - a, float(down[at]), (int(path[at]),)
+            entry = -_cut(float(free[x]), value), len(search.queue) + 1000 * len(search.taken), len(search.taken), len(prefix) + at - a, float(down[at]), (int(path[at]),)
             heapq.heappush(search.queue, entry)
         search.taken.append((np.concatenate([prefix, path[a:b]]), float(logs[b - 1]) if b > a else phi, value, np.concatenate([known, unit[a:b]])))
 
@@ -361,8 +360,8 @@ def _taken_next(units: Units, search: _Search, u: np.ndarray) -> tuple[_Search,
     edge = free[min(len(free) - 1, int(np.searchsorted(np.cumsum(mass), u[0] * mass.sum(), "right")))]
     if len(free) > 1:
         left = max(sum(float(units.chance[e]) for e in free if e != edge), _LEAST)
-        again = _cut_gumbel(np.array([phi + math.log(left)]), -value, u[1:])[0]
-        heapq.heappush(search.queue, (-float(again), order, parent, step, phi, (*used, edge)))
+        again = _cut(phi + math.log(left / -math.log(u[1])), -value)
+        heapq.heappush(search.queue, (-again, order, parent, step, phi, (*used, edge)))
     prefix, known = np.append(path[:step], edge), unit[: step + 1]
     return search, prefix, known, phi + math.log(units.chance[edge]), -value, int(unit[step]), int(units.to[edge])
 
