@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayflow.operators import nowcast as nc
 from wayflow.operators import readings as op
+from wayflow.plans import streams
 from wayflow.storage import new_folder
 from wayflow.streaming import readings as st
 
@@ -125,3 +126,25 @@ def test_spent_tables_go(spark, network):
     st.in_ticks(readings(spark), 5, lambda s: st.nowcast_stream(s, folder, *network, stale_s=150.0, keep=2))
     there = lambda kind: sorted(x for x in os.listdir(f"{folder.removeprefix('file://')}/{kind}") if x.startswith("batch="))
     assert there("latest") == ["batch=3", "batch=4"] and there("state") == ["batch=3", "batch=4"]
+
+
+@pytest.mark.parametrize("name, columns", [("stream_nowcast", set(st.READING)), ("stream_memory", {"edge", "own", "support", "anomaly", "ts"}), ("stream_late_drop", {"camera_id", "event_id", "t", "ts", "came"})])
+def test_a_tick_reads_its_own_rows(spark, monkeypatch, name, columns):
+    """No tick reads the rows of the others, makes a window over all or carries columns that nothing asks for; and no row is lost or in two ticks."""
+
+    class Fed(Exception):
+        pass
+
+    def fed(rows, ticks, start):
+        raise Fed(rows)
+
+    monkeypatch.setattr(st, "in_ticks", fed)
+    with pytest.raises(Fed) as got:
+        getattr(streams, name)(spark, "/root/testdata/sf0.001")
+    rows = got.value.args[0]
+    assert set(rows.columns) == columns | {"tick"}
+    a_file = rows.groupBy(F.input_file_name()).agg(F.count_distinct("tick").alias("ticks")).collect()
+    assert a_file and all(x["ticks"] == 1 for x in a_file)
+    plan = rows.where(F.col("tick") == 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tick" in plan and "Window" not in plan
+    assert sum(rows.where(F.col("tick") == k).count() for k in range(streams.TICKS)) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()

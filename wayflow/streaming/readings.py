@@ -15,6 +15,9 @@ from ..operators import readings as op
 from ..schema import LEAST_SUPPORT, MEMORY, STALE_S
 from ..storage import forget, new_folder
 
+#: What a nowcast takes of a reading.
+READING = ("camera_id", "event_id", "t", "count_mean", "tracks", "moving_frac")
+
 
 def stream_latest(stream: DataFrame) -> DataFrame:
     """Newest reading of each sensor; state is one row a sensor. Complete or update mode."""
@@ -116,11 +119,10 @@ def nowcast_stream(stream: DataFrame, folder: str, baselines: DataFrame, free: D
     replaces its own. Spent tables of readings go; states go after ``keep`` ticks, if that is given.
     """
     spark = stream.sparkSession
-    columns = ("camera_id", "event_id", "t", "count_mean", "tracks", "moving_frac")
     at = lambda kind, number: f"{folder}/{kind}/batch={number}"
 
     def tick(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*columns)
+        rows = batch.select(*READING)
         memory = None
         if number:
             rows = rows.unionByName(spark.read.parquet(at("latest", number - 1)))
