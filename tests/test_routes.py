@@ -7,6 +7,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayflow.operators import routes as rt
 from wayflow.storage import save
@@ -150,6 +151,42 @@ def test_paths_over_many_regions(spark):
         assert [x["cost_s"], x["mean_s"], x["sd_s"]] == pytest.approx(want[t][1:], abs=1e-3)
 
 
+def _street(spark, nodes):
+    """A two-way street: (trips end to end and back, edges, turns, profile)."""
+    edges = [(2 * k, k, k + 1, 100.0) for k in range(nodes - 1)] + [(2 * k + 1, k + 1, k, 100.0) for k in range(nodes - 1)]
+    turns = [(e[0], e[0] + d, 1.0) for e in edges for d in ((2,) if e[0] % 2 == 0 else (-2,)) if 0 <= e[0] + d < 2 * nodes - 2]
+    steps = F.transform(F.sequence(F.lit(0), F.lit(rt.STEPS - 1)), lambda k: F.struct((F.lit(36.0) - k % 3).alias("kph"), F.lit(0.1).alias("sigma"), F.lit(0.5).alias("delay_s")))
+    rows = save(spark.createDataFrame(edges, "edge long, u long, v long, len double"), "edges")
+    trips = spark.createDataFrame([(0, 0, nodes - 1), (1, nodes - 1, 0)], "trip long, origin long, dest long")
+    return trips, rows, save(spark.createDataFrame(turns, "edge long, next long, turn_s double"), "turns"), save(rows.select("edge", steps.alias("steps")), "packed")
+
+
+def test_long_street_in_one_round(spark):
+    """A network of some thousand nodes lies in one region: one round, not one for each region crossed."""
+    trips, edges, turns, packed = _street(spark, 2500)
+    got = {x["trip"]: x for x in rt.batch_shortest_paths(trips, packed, edges, turns, most_rounds=1).collect()}
+    assert {t: x["edges"] for t, x in got.items()} == {0: list(range(0, 4998, 2)), 1: list(range(4997, 0, -2))}
+    clock = 0.0
+    for k in range(2499):
+        clock += 100.0 / ((36.0 - min(int(clock // rt.STEP_S), rt.STEPS - 1) % 3) / 3.6) + 0.5 + (1.0 if k else 0.0)
+    assert [x["mean_s"] for x in got.values()] == [pytest.approx(clock, abs=1e-2)] * 2
+
+
+def test_driven_over_many_regions(spark):
+    """Paths driven region by region cost what they cost edge by edge."""
+    trips, edges, turns, packed = _street(spark, 40)
+    asked = rt.as_asked(trips.withColumn("depart_s", F.col("trip") * 700.0).withColumn("turn_weight", F.lit(0.5)))
+    solved = rt.batch_shortest_paths(asked, packed, edges, turns, region_nodes=7)
+    want = {x["route"]: x for x in rt.evaluate_route(rt.along(solved), packed, edges, turns, asked=rt._routes_asked(asked)).collect()}
+    for nodes in (7, 100):
+        net = rt.network(packed, edges, turns, region_nodes=nodes)
+        assert net.regions == (6 if nodes == 7 else 1)
+        got = {x["trip"]: x for x in rt.driven(solved, asked, {"a": (net, rt.STEP_S)}).collect()}
+        assert len(got) == len(want) == 2
+        for t, x in got.items():
+            assert [x["mean_s"], x["sd_s"], x["metres"], x["seconds"]] == pytest.approx([want[t]["mean_s"], want[t]["sd_s"], want[t]["metres"], want[t]["mean_s"]], abs=1e-6)
+
+
 def test_alternatives(net):
     want = {}
     for trip, o, d in TRIPS:
