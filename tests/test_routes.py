@@ -172,6 +172,18 @@ def test_long_street_in_one_round(spark):
     assert [x["mean_s"] for x in got.values()] == [pytest.approx(clock, abs=1e-2)] * 2
 
 
+def test_trips_without_a_way(spark):
+    """None of the trips has a way on a one-way street, which is told without a search."""
+    trips, edges, turns, packed = _street(spark, 30)
+    ahead = edges.where("edge % 2 = 0")
+    assert rt.batch_shortest_paths(trips.where("trip = 1"), packed, ahead, turns.where("edge % 2 = 0"), most_rounds=1).count() == 0
+
+
+def test_baseline_drives_paths_side_by_side(net, monkeypatch):
+    monkeypatch.setattr(rt, "evaluate_route", None)
+    assert rt.snapshot_baseline(net["trips"], net["frozen"], net["live"], net["edges"], net["turns"]).count() > 0
+
+
 def test_driven_over_many_regions(spark):
     """Paths driven region by region cost what they cost edge by edge."""
     trips, edges, turns, packed = _street(spark, 40)

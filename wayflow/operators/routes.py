@@ -600,11 +600,12 @@ def compact_steps(steps: DataFrame, least_m: float = 130.0) -> DataFrame:
 
 def snapshot_baseline(trips: DataFrame, snapshot: DataFrame, packed: DataFrame, edges: DataFrame, turns: DataFrame, preference: DataFrame | None = None) -> DataFrame:
     """(trip, claimed_s, mean_s, sd_s, metres): the route that the frozen profile picks, what it promises, and what it costs under the forecast."""
-    solved = save(batch_shortest_paths(trips, snapshot, edges, turns, **_weighed(preference)), "solved")
-    asked, path = _routes_asked(trips), along(solved)
-    claimed = evaluate_route(path, snapshot, edges, turns, asked=asked).select(F.col("route").alias("trip"), F.col("mean_s").alias("claimed_s"))
-    honest = evaluate_route(path, packed, edges, turns, asked=asked).withColumnRenamed("route", "trip")
-    return claimed.join(honest, "trip")
+    weighed = _weighed(preference)
+    frozen, honest = network(snapshot, edges, turns, weighed.get("likes")), network(packed, edges, turns)
+    solved = batch_shortest_paths(trips, snapshot, edges, turns, net=frozen, **weighed)
+    told = driven(solved, as_asked(trips), {"claimed": (frozen, STEP_S), "honest": (honest, STEP_S)})
+    claimed = told.where("network = 'claimed'").select("trip", F.col("mean_s").alias("claimed_s"))
+    return claimed.join(told.where("network = 'honest'").select("trip", "mean_s", "sd_s", "metres"), "trip")
 
 
 def congestion_detours(trips: DataFrame, live: DataFrame, plain: DataFrame, edges: DataFrame, turns: DataFrame, least_m: float = 1500.0, least_min: float = 2.0, least_km: float = 0.2, preference: DataFrame | None = None) -> DataFrame:
