@@ -184,6 +184,16 @@ def test_baseline_drives_paths_side_by_side(net, monkeypatch):
     assert rt.snapshot_baseline(net["trips"], net["frozen"], net["live"], net["edges"], net["turns"]).count() > 0
 
 
+def test_alternatives_solve_on_one_network(spark, net, monkeypatch):
+    """Profiles are packed once for all tries, and routes don't meet profiles edge by edge."""
+    made = []
+    whole = rt.network
+    monkeypatch.setattr(rt, "network", lambda *a, **k: made.append(1) or whole(*a, **k))
+    monkeypatch.setattr(rt, "evaluate_route", None)
+    rt.alternative_routes(net["trips"], net["live"], net["edges"], net["turns"]).collect()
+    assert len(made) == 1
+
+
 def test_driven_over_many_regions(spark):
     """Paths driven region by region cost what they cost edge by edge."""
     trips, edges, turns, packed = _street(spark, 40)
