@@ -194,6 +194,13 @@ def test_alternatives_solve_on_one_network(spark, net, monkeypatch):
     assert len(made) == 1
 
 
+def test_backtest_drives_paths_side_by_side(spark, net, monkeypatch):
+    monkeypatch.setattr(rt, "evaluate_route", None)
+    monkeypatch.setattr(rt, "replay_route", None)
+    hot = spark.createDataFrame([(0,)], "edge long")
+    assert rt.backtest_routers(net["trips"], {"a": net["live"]}, net["measured"], net["edges"], net["turns"], hot, natural="a").count() > 0
+
+
 def test_driven_over_many_regions(spark):
     """Paths driven region by region cost what they cost edge by edge."""
     trips, edges, turns, packed = _street(spark, 40)

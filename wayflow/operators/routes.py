@@ -25,6 +25,8 @@ WIDEN = 1.28 * 1.28  # variance inflation
 P90 = 1.2815515655446004
 # Fixed values of alternatives: what a used edge costs more, the likeness from which a route is none, and how many are tried
 DIVERSE, ALIKE, TRIES = 1.7, 0.72, 3
+#: Seconds of a slice of measured speeds.
+SLICE_S = 45.0
 # Minutes of waiting that are compared with leaving now.
 WAITS_MIN = (0, 15, 30, 45, 60)
 
@@ -479,7 +481,7 @@ def route_speed_ratios(routes: DataFrame, packed: DataFrame, edges: DataFrame) -
     return rows.select("route", F.explode(F.aggregate("path", zero, advance)["out"]).alias("r")).select("route", "r.pos", "r.ratio")
 
 
-def replay_route(routes: DataFrame, measured: DataFrame, edges: DataFrame, slice_s: float = 45.0, departs: DataFrame | None = None) -> DataFrame:
+def replay_route(routes: DataFrame, measured: DataFrame, edges: DataFrame, slice_s: float = SLICE_S, departs: DataFrame | None = None) -> DataFrame:
     """(route, seconds): a fixed path driven through measured speeds (edge, slice, kph) from the first slice on, or from (route, depart_s); the last slice holds on."""
     slices = measured.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "kph"))), lambda s: s["kph"]).alias("speeds"))
     met = routes.join(slices, "edge").join(edges.select("edge", "len"), "edge")
@@ -624,16 +626,20 @@ def backtest_routers(trips: DataFrame, profiles: dict[str, DataFrame], measured:
 
     A trip is disrupted where the ``natural`` profile's route has one of the ``hot`` edges. Trips that a profile can't solve drop out.
     """
+    weighed = _weighed(preference)
+    slices = measured.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "kph"))), lambda x: F.struct(x["kph"], F.lit(0.0).alias("sigma"), F.lit(0.0).alias("delay_s"))).alias("steps"))
+    replayed = network(slices, edges, turns.where(F.lit(False)))
     rows, disrupted = None, None
     for name, packed in profiles.items():
-        solved = save(batch_shortest_paths(trips, packed, edges, turns, **_weighed(preference)), "solved")
-        path = along(solved)
-        told = evaluate_route(path, packed, edges, turns, asked=_routes_asked(trips)).join(replay_route(path, measured, edges, departs=_routes_asked(trips)), "route")
+        net = network(packed, edges, turns, weighed.get("likes"))
+        solved = batch_shortest_paths(trips, packed, edges, turns, net=net, **weighed)
+        both = driven(solved, as_asked(trips), {"claimed": (net, STEP_S), "actual": (replayed, SLICE_S)})
+        told = both.where("network = 'claimed'").join(both.where("network = 'actual'").select("trip", F.col("seconds").alias("actual_s")), "trip")
         late = tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), P90)
-        part = told.select(F.col("route").alias("trip"), F.lit(name).alias("method"), F.col("mean_s").alias("claimed_s"), late.alias("promised_p90_s"), F.col("seconds").alias("actual_s"), F.col("metres").alias("distance_m"))
+        part = told.select("trip", F.lit(name).alias("method"), F.col("mean_s").alias("claimed_s"), late.alias("promised_p90_s"), "actual_s", F.col("metres").alias("distance_m"))
         rows = part if rows is None else rows.unionByName(part)
         if name == natural:
-            disrupted = path.join(hot.select("edge").distinct(), "edge").select(F.col("route").alias("trip"), F.lit(True).alias("disrupted")).distinct()
+            disrupted = solved.select("trip", F.explode("edges").alias("edge")).join(hot.select("edge").distinct(), "edge").select("trip", F.lit(True).alias("disrupted")).distinct()
     rows = save(rows, "backtest")
     whole = rows.groupBy("trip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(profiles)).select("trip")
     met = rows.join(whole, "trip").join(disrupted, "trip", "left") if disrupted is not None else rows.join(whole, "trip").withColumn("disrupted", F.lit(None).cast("boolean"))
