@@ -179,11 +179,6 @@ def test_trips_without_a_way(spark):
     assert rt.batch_shortest_paths(trips.where("trip = 1"), packed, ahead, turns.where("edge % 2 = 0"), most_rounds=1).count() == 0
 
 
-def test_baseline_drives_paths_side_by_side(net, monkeypatch):
-    monkeypatch.setattr(rt, "evaluate_route", None)
-    assert rt.snapshot_baseline(net["trips"], net["frozen"], net["live"], net["edges"], net["turns"]).count() > 0
-
-
 def test_alternatives_solve_on_one_network(spark, net, monkeypatch):
     """Profiles are packed once for all tries, and routes don't meet profiles edge by edge."""
     made = []
@@ -194,6 +189,16 @@ def test_alternatives_solve_on_one_network(spark, net, monkeypatch):
     assert len(made) == 1
 
 
+def test_detours_drive_paths_side_by_side(net, monkeypatch):
+    monkeypatch.setattr(rt, "evaluate_route", None)
+    assert rt.congestion_detours(net["trips"], net["live"], net["frozen"], net["edges"], net["turns"], least_min=-99.0, least_km=-99.0).count() > 0
+
+
+def test_baseline_drives_paths_side_by_side(net, monkeypatch):
+    monkeypatch.setattr(rt, "evaluate_route", None)
+    assert rt.snapshot_baseline(net["trips"], net["frozen"], net["live"], net["edges"], net["turns"]).count() > 0
+
+
 def test_backtest_drives_paths_side_by_side(spark, net, monkeypatch):
     monkeypatch.setattr(rt, "evaluate_route", None)
     monkeypatch.setattr(rt, "replay_route", None)

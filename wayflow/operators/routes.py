@@ -82,7 +82,7 @@ def planned_departures(trips: DataFrame, packed: DataFrame, edges: DataFrame, tu
     each = as_asked(trips).withColumn("wait", F.explode(F.array(*map(F.lit, waits))))
     each = save(each.withColumns({"trip": F.struct("trip", "wait"), "depart_s": F.col("depart_s") + F.col("wait") * 60}).drop("wait"), "departures")
     likes = None if preference is None else preference.withColumn("wait", F.explode(F.array(*map(F.lit, waits)))).select(F.struct("trip", "wait").alias("trip"), "edge", "factor")
-    path = along(save(batch_shortest_paths(each, packed, edges, turns, penalty=likes), "solved"))
+    path = along(batch_shortest_paths(each, packed, edges, turns, penalty=likes))
     found = evaluate_route(path, packed, edges, turns, asked=_routes_asked(each))
     return found.select("route.trip", "route.wait", *_median_p90())
 
@@ -96,7 +96,7 @@ def leave_by_planned(trips: DataFrame, packed: DataFrame, edges: DataFrame, turn
     state = save(whole.drop("depart_s").withColumn("best", F.lit(None).cast("double")), "probes")
     for _ in range(probes):
         tried = state.withColumn("depart_s", (F.col("lo") + F.col("hi")) / 2)
-        path = along(save(batch_shortest_paths(tried, packed, edges, turns, penalty=preference), "solved"))
+        path = along(batch_shortest_paths(tried, packed, edges, turns, penalty=preference))
         found = evaluate_route(path, packed, edges, turns, asked=_routes_asked(tried)).select(F.col("route").alias("trip"), tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), z).alias("took"))
         met = tried.join(found, "trip").withColumn("meets", F.col("depart_s") + F.col("took") <= F.col("deadline"))
         pick = lambda yes, no: F.when(F.col("meets"), F.col(yes)).otherwise(F.col(no))
@@ -613,11 +613,14 @@ def congestion_detours(trips: DataFrame, live: DataFrame, plain: DataFrame, edge
     """(trip, chosen_km, chosen_min, short_km, short_min, saved_min, extra_km): trips (with ``straight_m``) whose live route is longer but clearly quicker than the traffic-blind one, both under the live profile."""
     far = save(trips.where(F.col("straight_m") >= least_m), "far")
 
-    def cost(profile: DataFrame, name: str) -> DataFrame:
-        found = evaluate_route(along(save(batch_shortest_paths(far, profile, edges, turns, **_weighed(preference)), "solved")), live, edges, turns, asked=_routes_asked(far))
-        return found.select(F.col("route").alias("trip"), (F.col("metres") / 1000).alias(f"{name}_km"), (tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), 0.0) / 60).alias(f"{name}_min"))
+    weighed = _weighed(preference)
+    nets = [network(p, edges, turns, weighed.get("likes")) for p in (live, plain)]
+
+    def cost(net: Network, name: str) -> DataFrame:
+        found = driven(batch_shortest_paths(far, live, edges, turns, net=net, **weighed), as_asked(far), {name: (nets[0], STEP_S)})
+        return found.select("trip", (F.col("metres") / 1000).alias(f"{name}_km"), (tf.eta_percentile(F.col("mean_s"), F.col("sd_s"), 0.0) / 60).alias(f"{name}_min"))
 
-    met = cost(live, "chosen").join(cost(plain, "short"), "trip").withColumns({"saved_min": F.col("short_min") - F.col("chosen_min"), "extra_km": F.col("chosen_km") - F.col("short_km")})
+    met = cost(nets[0], "chosen").join(cost(nets[1], "short"), "trip").withColumns({"saved_min": F.col("short_min") - F.col("chosen_min"), "extra_km": F.col("chosen_km") - F.col("short_km")})
     return met.where((F.col("saved_min") >= least_min) & (F.col("extra_km") > least_km))
 
 
